@@ -92,6 +92,7 @@ BODIES = {
     "posture_factors": "SELECT *, contribution_cents / 100 AS score_contribution FROM posture_factors_t",
     "posture_factor_findings": "SELECT capture_id, factor, deduction_cents, finding_id FROM deductions WHERE factor <> 'other'",
     "posture_score": "SELECT * FROM posture_scores",
+    "posture_score_from_stored_findings": "SELECT * FROM posture_scores",
     "posture_confidence": "SELECT * FROM posture_confidences",
     "posture_hosts": "SELECT * FROM posture_hosts_t",
     "posture_protocols": "SELECT * FROM posture_protocols_t",

@@ -46,12 +46,23 @@ def validity_days(start: str | Column, not_after: str | Column) -> Column:
     return seconds_between(start, not_after) / 86400
 
 
+def sql_literal(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, (int, float)):
+        return repr(v)
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def case_map(key: Column, mapping: Mapping, default=None) -> Column:
-    """CASE key WHEN k THEN v ... ELSE default."""
-    out = None
-    for k, v in mapping.items():
-        out = F.when(key == F.lit(k), F.lit(v)) if out is None else out.when(key == F.lit(k), F.lit(v))
-    return out.otherwise(default if isinstance(default, Column) else F.lit(default))
+    """Constant lookup: one folded map literal, whatever its number of entries."""
+    entries = ", ".join(f"{sql_literal(k)}, {sql_literal(v)}" for k, v in mapping.items())
+    found = F.try_element_at(F.expr(f"map({entries})"), key)
+    if default is None:
+        return found
+    return F.coalesce(found, default if isinstance(default, Column) else F.lit(default))
 
 
 def threshold_label(score: Column, bands: Sequence[tuple], lowest: str) -> Column:
@@ -97,15 +108,18 @@ def joined(*parts: str | Column) -> Column:
 
 def literal_table(spark: SparkSession, rows: Sequence[Sequence], columns: Sequence[str]) -> DataFrame:
     """A small constant relation the optimizer can size, fold and broadcast."""
+    values = ", ".join("(" + ", ".join(sql_literal(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(columns)})")
 
-    def text(v) -> str:
-        if v is None:
-            return "NULL"
-        if isinstance(v, bool):
-            return "TRUE" if v else "FALSE"
-        if isinstance(v, (int, float)):
-            return repr(v)
-        return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    values = ", ".join("(" + ", ".join(text(v) for v in row) + ")" for row in rows)
-    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(columns)})")
+_MEMO: dict = {}
+
+
+def memo(key, build):
+    """Reuse an expression tree between calls of one JVM (building them costs gateway round trips)."""
+    from pyspark import SparkContext
+
+    full = (id(SparkContext._gateway), key)
+    if full not in _MEMO:
+        _MEMO[full] = build()
+    return _MEMO[full]

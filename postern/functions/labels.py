@@ -11,16 +11,12 @@ from postern.functions.columns import case_map, col, threshold_label
 
 def cipher_suite_name(code: str | Column) -> Column:
     c = col(code)
-    names = F.create_map(*[F.lit(x) for kv in V.CIPHER_SUITE_NAMES.items() for x in kv])
-    return F.when(c.isNotNull(), F.coalesce(F.try_element_at(names, c), F.format_string("0x%04X", c)))
+    return F.when(c.isNotNull(), case_map(c, V.CIPHER_SUITE_NAMES, F.format_string("0x%04X", c)))
 
 
 def cipher_class(code: str | Column) -> Column:
-    c = col(code)
-    out = None
-    for name, codes in V.CIPHER_CLASS_CODES.items():
-        out = F.when(c.isin(*codes), name) if out is None else out.when(c.isin(*codes), name)
-    return out.otherwise("unknown")
+    by_code = {code: name for name, codes in V.CIPHER_CLASS_CODES.items() for code in codes}
+    return case_map(col(code), by_code, "unknown")
 
 
 def key_exchange_for_suite(name: str | Column) -> Column:

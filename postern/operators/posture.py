@@ -3,9 +3,11 @@
 All arithmetic is in integers: deductions in hundredths of a point, severity
 weight times confidence in quarters, every rounding half-to-even. Findings that
 share (rule, observed value, severity, confidence) have the same deduction, so
-the score works on *condition groups* with counts; no step needs the findings of
-one capture together, and a capture holding a third of all rows is spread by
-partial aggregation.
+the score works on *condition groups* with counts. The input is the nested form
+of ``rules.session_hits`` (or ``rules.nest`` over a stored table): because each
+session's findings sit in one row, distinct session counts are plain sums, and
+only group totals are ever shuffled. A capture holding a third of all rows is
+spread by partial aggregation.
 """
 
 from __future__ import annotations
@@ -21,15 +23,40 @@ from postern.functions.columns import cents_text, half_even, literal_table
 CONDITION = ["capture_id", "rule_id", "observed_value"]
 
 
-def session_totals(sessions: DataFrame) -> DataFrame:
-    return sessions.groupBy("capture_id").agg(
-        F.count("*").alias("total_sessions"), F.countDistinct("server_ip").alias("total_hosts")
+def _first_of(key) -> Column:
+    """Whether hit ``i`` is the first of its session with this key (so sums count distinct sessions)."""
+    keys = F.transform("hits", key)
+    return F.array_position(keys, key(F.col("h"))) == F.col("i") + 1
+
+
+def hit_rows(hits: DataFrame) -> DataFrame:
+    """Exploded hits, flagged so that plain sums give distinct session counts."""
+    rows = hits.select("capture_id", "session_id", "server_ip", "hits", F.posexplode("hits").alias("i", "h"))
+    return rows.select(
+        "capture_id", "session_id", "server_ip", F.col("h.rule_id").alias("rule_id"), F.col("h.observed_value").alias("observed_value"),
+        F.col("h.severity").alias("severity"), F.col("h.confidence").alias("confidence"),
+        F.col("h.finding_id").alias("finding_id"), F.col("h.title").alias("title"),
+        F.size("h.evidence_refs").cast("bigint").alias("refs"),
+        _first_of(lambda h: F.struct(h["rule_id"], h["observed_value"])).cast("bigint").alias("first_in_condition"),
+        _first_of(lambda h: h["rule_id"]).cast("bigint").alias("first_in_rule"),
+        _first_of(lambda h: labels.factor_of_rule(h["rule_id"])).cast("bigint").alias("first_in_factor"),
+    )
+
+
+def session_totals(hits: DataFrame) -> DataFrame:
+    """Sessions and hosts, affected sessions and hosts per capture: hosts first, then captures."""
+    hosts = hits.groupBy("capture_id", "server_ip").agg(
+        F.count("*").alias("sessions"), F.count_if(F.size("hits") > 0).alias("affected")
+    )
+    return hosts.groupBy("capture_id").agg(
+        F.sum("sessions").alias("total_sessions"), F.count("*").alias("total_hosts"),
+        F.sum("affected").alias("affected_sessions"), F.count_if(F.col("affected") > 0).alias("affected_hosts"),
     )
 
 
-def condition_prevalence(findings: DataFrame) -> DataFrame:
-    """Distinct sessions per (rule, observed value): two-phase distinct count."""
-    return findings.groupBy(*CONDITION).agg(F.countDistinct("session_id").alias("affected_sessions"))
+def condition_prevalence(hits: DataFrame) -> DataFrame:
+    """Distinct sessions per (rule, observed value), by a plain partial aggregate."""
+    return hit_rows(hits).groupBy(*CONDITION).agg(F.sum("first_in_condition").alias("affected_sessions"))
 
 
 def _quarters(severity: str = "severity", confidence: str = "confidence") -> Column:
@@ -44,37 +71,41 @@ def _deduction_cents(affected: str = "affected_sessions", total: str = "total_se
     return half_even(_quarters() * (n + a) * 100, n * 8)
 
 
-def conditions(findings: DataFrame, sessions: DataFrame) -> DataFrame:
+def conditions(hits: DataFrame) -> DataFrame:
     """Condition groups with counts, deduction and a deterministic representative."""
-    groups = findings.groupBy(*CONDITION, "severity", "confidence").agg(
-        F.count("*").alias("findings"),
-        F.sum(F.size("evidence_refs")).alias("evidence_count"),
+    groups = hit_rows(hits).groupBy(*CONDITION, "severity", "confidence").agg(
+        F.count("*").alias("findings"), F.sum("refs").alias("evidence_count"),
+        F.sum("first_in_condition").alias("sessions"),
         F.min(F.struct("finding_id", "title")).alias("first"),
     )
+    per_condition = F.sum("sessions").over(W.partitionBy(*CONDITION))
     return (
-        groups.join(condition_prevalence(findings), CONDITION)
-        .join(session_totals(sessions), "capture_id")
+        groups.withColumn("affected_sessions", per_condition)
+        .join(session_totals(hits).select("capture_id", "total_sessions"), "capture_id")
         .withColumn("deduction_cents", _deduction_cents())
         .withColumn("factor", labels.factor_of_rule("rule_id"))
     )
 
 
-def finding_deduction(findings: DataFrame, sessions: DataFrame) -> DataFrame:
+def finding_deduction(hits: DataFrame) -> DataFrame:
     """Deduction of every single finding."""
-    per_condition = condition_prevalence(findings).join(session_totals(sessions), "capture_id")
+    per_condition = condition_prevalence(hits).join(
+        session_totals(hits).select("capture_id", "total_sessions"), "capture_id"
+    )
     return (
-        findings.select("finding_id", *CONDITION, "session_id", "severity", "confidence", "title")
+        hit_rows(hits).select("finding_id", *CONDITION, "session_id", "severity", "confidence", "title")
         .join(per_condition, CONDITION)
         .withColumn("deduction_cents", _deduction_cents())
         .withColumn("factor", labels.factor_of_rule("rule_id"))
     )
 
 
-def affected(findings: DataFrame, *keys: str | Column) -> DataFrame:
-    """Distinct affected sessions and hosts per key."""
-    return findings.groupBy(*keys).agg(
-        F.countDistinct("session_id").alias("affected_sessions"),
-        F.countDistinct("server_ip").alias("affected_hosts"),
+def affected(hits: DataFrame, key: str, flag: str) -> DataFrame:
+    """Distinct affected sessions and hosts per (capture, key): hosts first, then captures."""
+    rows = hit_rows(hits).withColumn("factor", labels.factor_of_rule("rule_id"))
+    hosts = rows.groupBy("capture_id", key, "server_ip").agg(F.sum(flag).alias("sessions"))
+    return hosts.groupBy("capture_id", key).agg(
+        F.sum("sessions").alias("affected_sessions"), F.count("*").alias("affected_hosts")
     )
 
 
@@ -83,11 +114,11 @@ def _dominant() -> Column:
     return F.min(F.struct((-F.col("deduction_cents")).alias("order"), F.col("first"), "severity", "confidence"))
 
 
-def posture_factors(findings: DataFrame, sessions: DataFrame) -> DataFrame:
+def posture_factors(hits: DataFrame) -> DataFrame:
     """Every factor of every analysed capture, including the factors without findings."""
-    spark = findings.sparkSession
+    spark = hits.sparkSession
     known = literal_table(spark, list(V.FACTOR_LABELS.items()), ["factor", "label"])
-    groups = conditions(findings, sessions)
+    groups = conditions(hits)
     per_factor = groups.groupBy("capture_id", "factor").agg(
         F.max("deduction_cents").alias("highest"),
         F.sum(F.col("deduction_cents") * F.col("findings")).alias("total"),
@@ -95,8 +126,8 @@ def posture_factors(findings: DataFrame, sessions: DataFrame) -> DataFrame:
         F.max(labels.severity_rank("severity")).alias("worst"),
         _dominant().alias("dominant"),
     )
-    reach = affected(findings.withColumn("factor", labels.factor_of_rule("rule_id")), "capture_id", "factor")
-    every = session_totals(sessions).select("capture_id", "total_sessions").crossJoin(F.broadcast(known))
+    reach = affected(hits, "factor", "first_in_factor")
+    every = session_totals(hits).select("capture_id", "total_sessions").crossJoin(F.broadcast(known))
     rows = every.join(per_factor, ["capture_id", "factor"], "left").join(reach, ["capture_id", "factor"], "left")
     contribution = half_even(F.col("highest") * 3 + F.col("total"), 4)
     return rows.select(
@@ -116,9 +147,9 @@ def posture_factors(findings: DataFrame, sessions: DataFrame) -> DataFrame:
     )
 
 
-def factor_findings(findings: DataFrame, sessions: DataFrame) -> DataFrame:
+def factor_findings(hits: DataFrame) -> DataFrame:
     """Contributing findings of each factor; order by deduction descending, then id."""
-    return finding_deduction(findings, sessions).where(F.col("factor") != "other").select(
+    return finding_deduction(hits).where(F.col("factor") != "other").select(
         "capture_id", "factor", "deduction_cents", "finding_id"
     )
 
@@ -132,7 +163,7 @@ def posture_score(factors: DataFrame) -> DataFrame:
     )
 
 
-def posture_confidence(findings: DataFrame, sessions: DataFrame) -> DataFrame:
+def posture_confidence(hits: DataFrame) -> DataFrame:
     """Weakest confidence among the three largest positive deductions of a capture.
 
     A condition group can stand for several findings; three groups always cover
@@ -142,14 +173,14 @@ def posture_confidence(findings: DataFrame, sessions: DataFrame) -> DataFrame:
         F.col("deduction_cents").desc(), F.col("first.finding_id"), "severity", "confidence"
     )
     top = (
-        conditions(findings, sessions).where(F.col("deduction_cents") > 0)
+        conditions(hits).where(F.col("deduction_cents") > 0)
         .withColumn("position", F.row_number().over(order)).where(F.col("position") <= 3)
     )
     seen = F.sum("findings").over(order.rowsBetween(W.unboundedPreceding, -1))
     used = top.withColumn("seen", F.coalesce(seen, F.lit(0))).where(F.col("seen") < 3)
     weakest = used.groupBy("capture_id").agg(F.min(labels.confidence_rank("confidence")).alias("rank"))
     return (
-        session_totals(sessions).select("capture_id").join(weakest, "capture_id", "left")
+        session_totals(hits).select("capture_id").join(weakest, "capture_id", "left")
         .select("capture_id", F.coalesce(F.when(F.col("rank").isNotNull(), labels.confidence_of_rank("rank")), F.lit("high")).alias("confidence"))
     )
 
@@ -191,15 +222,15 @@ def posture_protocols(sessions: DataFrame, findings: DataFrame) -> DataFrame:
     )
 
 
-def posture_priorities(findings: DataFrame, sessions: DataFrame) -> DataFrame:
+def posture_priorities(hits: DataFrame) -> DataFrame:
     """Finding groups by rule, ranked by priority score; prevalence is per rule here."""
     key = ["capture_id", "rule_id"]
-    per_rule = conditions(findings, sessions).groupBy(*key, "total_sessions").agg(
+    per_rule = conditions(hits).groupBy(*key, "total_sessions").agg(
         _dominant().alias("dominant"), F.sum("evidence_count").alias("evidence_count"),
         F.sum("findings").alias("findings"),
     )
     rows = (
-        per_rule.join(affected(findings, *key), key)
+        per_rule.join(affected(hits, "rule_id", "first_in_rule"), key)
         .withColumns({"severity": F.col("dominant.severity"), "confidence": F.col("dominant.confidence"), "title": F.col("dominant.first.title")})
         .withColumn("prevalence_e4", half_even(F.least("affected_sessions", "total_sessions") * 10000, F.col("total_sessions")))
         .withColumn("priority_cents", half_even(_quarters() * (F.col("prevalence_e4") + 10000), 800))
@@ -265,17 +296,17 @@ def rule_max_severity(findings: DataFrame) -> DataFrame:
     return worst.select("capture_id", "rule_id", labels.severity_of_rank("rank").alias("severity"))
 
 
-def posture_snapshot(captures: DataFrame, sessions: DataFrame, findings: DataFrame, policy) -> DataFrame:
+def posture_snapshot(captures: DataFrame, hits: DataFrame, policy) -> DataFrame:
     """One posture row per capture; a capture without sessions has insufficient evidence."""
-    score = posture_score(posture_factors(findings, sessions))
-    reach = affected(findings, "capture_id")
+    score = posture_score(posture_factors(hits)).select("capture_id", "overall_score", "posture_state")
+    # detected_at is the session end (or start), so it already covers both evidence instants.
+    latest = hits.groupBy("capture_id").agg(F.max("detected_at").alias("generated_at"))
     rows = (
         captures.select("capture_id")
-        .join(session_totals(sessions), "capture_id", "left")
+        .join(session_totals(hits), "capture_id", "left")
         .join(score, "capture_id", "left")
-        .join(posture_confidence(findings, sessions), "capture_id", "left")
-        .join(reach, "capture_id", "left")
-        .join(evidence_time(findings, sessions), "capture_id", "left")
+        .join(posture_confidence(hits), "capture_id", "left")
+        .join(latest, "capture_id", "left")
     )
     zero = lambda name: F.coalesce(name, F.lit(0)).alias(name)
     return rows.select(

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from postern.functions import fixed_values as V
 from postern.functions import ids, labels
-from postern.functions.columns import iso_text, literal_table
+from postern.functions.columns import case_map, iso_text, literal_table, memo
 from postern.sources.policy import Policy
 
 
@@ -319,6 +319,9 @@ class RuleRegistry:
         picked._rules = [r for r in self._rules if r[0] in rule_ids]
         return picked
 
+    def rules(self) -> list[tuple[str, RuleBuilder]]:
+        return self._rules
+
     def columns(self, policy: Policy) -> list[Column]:
         return [build(policy) for _, build in self._rules]
 
@@ -380,37 +383,63 @@ def auth_summary(events: DataFrame) -> DataFrame:
     )
 
 
-def evaluate(
+def _hit_columns(registry: RuleRegistry, policy: Policy) -> Column:
+    """The array of non-NULL findings of a session."""
+
+    def build() -> Column:
+        hits = F.array_compact(F.array(*registry.columns(policy)))
+        titles = {f"{t[0]}/{t[1]}": t[2] for t in registry.texts()}
+        return F.transform(
+            hits,
+            lambda f: f.withField(
+                "finding_id", ids.finding_id(f["rule_id"], F.col("session_id"), f["observed_value"], f["extra"])
+            ).withField("title", case_map(F.concat_ws("/", f["rule_id"], f["variant"]), titles)),
+        )
+
+    return memo((tuple(registry.rules()), policy), build)
+
+
+def session_hits(
     sessions: DataFrame, events: DataFrame | None = None, policy: Policy = Policy(),
     registry: RuleRegistry | None = None,
 ) -> DataFrame:
-    """Findings of every registered rule over many captures at once.
+    """One row per session with the array of its findings (``hits``, possibly empty).
 
-    A rule yields at most one finding per session, so with unique session ids
-    the deterministic finding ids are unique and no deduplicating shuffle runs.
+    A rule yields at most one finding per session, so the array is bounded by
+    the number of rules. Posture works on this nested form without a shuffle.
     """
     registry = registry or default_registry()
-    needs_auth = events is not None and "AUTH-PLAINTEXT-001" in registry.rule_ids()
-    if needs_auth:
+    if events is not None and "AUTH-PLAINTEXT-001" in registry.rule_ids():
         base = sessions.join(auth_summary(events), "session_id", "left")
     else:
-        base = sessions.withColumns(
-            {
-                "auth_commands": F.lit(None).cast("string"),
-                "auth_first_packet": F.lit(None).cast("int"),
-                "auth_last_packet": F.lit(None).cast("int"),
-            }
+        base = sessions.selectExpr(
+            "*", "CAST(NULL AS string) AS auth_commands", "CAST(NULL AS int) AS auth_first_packet",
+            "CAST(NULL AS int) AS auth_last_packet",
         )
-    hits = F.array_compact(F.array(*registry.columns(policy)))
-    rows = base.withColumn("leaf", leaf()).select(
+    return base.withColumn("leaf", leaf()).select(
         "capture_id", "session_id", "protocol", "server_ip", "server_port",
         F.coalesce("ended_at", "started_at").alias("detected_at"),
-        F.explode(hits).alias("f"),
-    ).select("*", "f.*").drop("f")
+        _hit_columns(registry, policy).alias("hits"),
+    )
+
+
+def evaluate(
+    sessions: DataFrame, events: DataFrame | None = None, policy: Policy = Policy(),
+    registry: RuleRegistry | None = None,
+) -> DataFrame:
+    """Findings of every registered rule over many captures at once.
+
+    With unique session ids the deterministic finding ids are unique, so no
+    deduplicating shuffle runs.
+    """
+    registry = registry or default_registry()
+    rows = session_hits(sessions, events, policy, registry).select("*", F.explode("hits").alias("f")).select(
+        "capture_id", "session_id", "protocol", "server_ip", "server_port", "detected_at", "f.*"
+    )
     texts = literal_table(
-        sessions.sparkSession, registry.texts(),
-        ["rule_id", "variant", "title", "category", "expected", "action", "target", "rationale", "priority",
-         "standard_name", "standard_url"],
+        sessions.sparkSession, [t[:2] + t[3:] for t in registry.texts()],
+        ["rule_id", "variant", "category", "expected", "action", "target", "rationale", "priority", "standard_name",
+         "standard_url"],
     )
     filled = lambda name: F.replace(
         F.replace(F.col(name), F.lit("{min}"), F.lit(policy.tls.minimum_version)), F.lit("{observed}"),
@@ -425,8 +454,7 @@ def evaluate(
         F.struct(F.col("standard_name").alias("name"), F.col("standard_url").alias("url")),
     )
     return rows.join(F.broadcast(texts), ["rule_id", "variant"]).select(
-        ids.finding_id(F.col("rule_id"), F.col("session_id"), F.col("observed_value"), F.col("extra")).alias("finding_id"),
-        "capture_id", "session_id", "protocol", "server_ip", "server_port", "rule_id", "title",
+        "finding_id", "capture_id", "session_id", "protocol", "server_ip", "server_port", "rule_id", "title",
         F.concat_ws(": ", "title", "detail").alias("description"),
         "severity", "confidence", "category", "observed_value",
         F.coalesce("own_expected", filled("expected")).alias("expected_value"),
@@ -436,6 +464,17 @@ def evaluate(
     )
 
 
+def nest(findings: DataFrame, sessions: DataFrame) -> DataFrame:
+    """The nested form from a stored findings table: one shuffle by session."""
+    hits = findings.groupBy("session_id").agg(
+        F.collect_list(
+            F.struct("rule_id", "severity", "confidence", "observed_value", "evidence_refs", "finding_id", "title")
+        ).alias("hits")
+    )
+    keys = sessions.select("capture_id", "session_id", "protocol", "server_ip", "server_port", F.coalesce("ended_at", "started_at").alias("detected_at"))
+    return keys.join(hits, "session_id", "left").withColumn("hits", F.coalesce("hits", F.array()))
+
+
 def deduplicate_findings(findings: DataFrame) -> DataFrame:
     """One row per finding id, for inputs whose session rows are not unique."""
     return findings.dropDuplicates(["finding_id"])

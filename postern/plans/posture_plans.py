@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postern.functions.columns import iso_text
-from postern.operators import posture
+from postern.operators import posture, rules
 from postern.plans.registry import query
 
 
 @query("condition_prevalence")
 def condition_prevalence(w):
-    return posture.condition_prevalence(w.findings)
+    return posture.condition_prevalence(w.hits)
 
 
 @query("finding_deduction")
 def finding_deduction(w):
-    return posture.finding_deduction(w.findings, w.sessions).select(
+    return posture.finding_deduction(w.hits).select(
         "finding_id", "capture_id", "rule_id", "observed_value", "affected_sessions", "total_sessions", "deduction_cents",
         "factor", (F.col("deduction_cents") / 100).alias("deduction"),
     )
@@ -29,7 +29,7 @@ def posture_factors(w):
 
 @query("posture_factor_findings")
 def posture_factor_findings(w):
-    return posture.factor_findings(w.findings, w.sessions)
+    return posture.factor_findings(w.hits)
 
 
 @query("posture_score")
@@ -39,7 +39,7 @@ def posture_score(w):
 
 @query("posture_confidence")
 def posture_confidence(w):
-    return posture.posture_confidence(w.findings, w.sessions)
+    return posture.posture_confidence(w.hits)
 
 
 @query("posture_hosts")
@@ -88,3 +88,9 @@ def evidence_time(w):
 @query("rule_max_severity")
 def rule_max_severity(w):
     return posture.rule_max_severity(w.findings)
+
+
+@query("posture_score_from_stored_findings")
+def posture_score_from_stored_findings(w):
+    """The same score when only the findings table is stored: nest it by session first."""
+    return posture.posture_score(posture.posture_factors(rules.nest(w.findings, w.sessions)))

@@ -18,14 +18,18 @@ class Workspace(Evidence):
     def findings(self) -> DataFrame:
         return rules.evaluate(self.sessions, self.session_events, self.policy)
 
+    @cached_property
+    def hits(self) -> DataFrame:
+        return rules.session_hits(self.sessions, self.session_events, self.policy)
+
     @cached_property
     def factors(self) -> DataFrame:
-        return posture.posture_factors(self.findings, self.sessions)
+        return posture.posture_factors(self.hits)
 
     @cached_property
     def priorities(self) -> DataFrame:
-        return posture.posture_priorities(self.findings, self.sessions)
+        return posture.posture_priorities(self.hits)
 
     @cached_property
     def posture(self) -> DataFrame:
-        return posture.posture_snapshot(self.captures, self.sessions, self.findings, self.policy)
+        return posture.posture_snapshot(self.captures, self.hits, self.policy)

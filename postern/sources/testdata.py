@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from postern.functions import ids, labels
-from postern.functions.columns import prefixed_sha
+from postern.functions.columns import case_map, memo, prefixed_sha
 
 # Fixed values of the projection: profile -> (version, suite code, adv, req, resp, handshake).
 PROFILES = (
@@ -81,11 +81,7 @@ LAST_CASE_WITH_BASELINE = 2
 
 def _profile_value(position: int, sql_type: str):
     rows = {row[0]: row[position] for row in PROFILES if row[position] is not None}
-    out = None
-    for profile, value in rows.items():
-        hit = F.when(F.col("p") == profile, F.lit(value)) if out is None else out.when(F.col("p") == profile, F.lit(value))
-        out = hit
-    return out.otherwise(F.lit(None)).cast(sql_type)
+    return case_map(F.col("p"), rows).cast(sql_type)
 
 
 class Evidence:
@@ -168,9 +164,7 @@ class Evidence:
         customer = self.table("customer").select("c_custkey", "c_nationkey")
         base = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
         capture_ids = self.captures.select("cap", "capture_id")
-        df = base
-        for name, expression in SESSION_NUMBERS:
-            df = df.withColumn(name, F.expr(expression))
+        df = base.selectExpr("*", *[f"{expression} AS {name}" for name, expression in SESSION_NUMBERS])
         df = df.join(capture_ids, "cap")
         flow = F.concat_ws(
             "|", F.lit("tcp"), "client_ip", F.col("client_port").cast("string"), "server_ip",
@@ -183,7 +177,9 @@ class Evidence:
 
     @cached_property
     def sessions(self) -> DataFrame:
-        n = self.session_numbers
+        return self.session_numbers.select(*memo("sessions", self._session_columns))
+
+    def _session_columns(self) -> list:
         code = _profile_value(2, "int")
         suite = labels.cipher_suite_name(code)
         offered = F.slice(F.array(*[F.lit(s) for s in OFFERED_SUITES]), F.lit(1), F.col("offered_count").cast("int"))
@@ -232,7 +228,7 @@ class Evidence:
             ),
         )
         ended = F.timestamp_seconds(F.unix_seconds("started_at") + F.col("length_seconds"))
-        return n.select(
+        return [
             "session_id", "capture_id", "client_ip", "client_port", "server_ip", "server_port", "protocol",
             F.lit("high").alias("confidence"),
             F.lit("client_server").alias("orientation"),
@@ -249,7 +245,7 @@ class Evidence:
             starttls.alias("starttls"),
             handshake.alias("handshake"),
             self._chain().alias("certificates"),
-        )
+        ]
 
     @staticmethod
     def _chain():
@@ -304,7 +300,17 @@ class Evidence:
     @cached_property
     def session_events(self) -> DataFrame:
         """Timeline rows per session, numbered by position."""
-        n = self.session_numbers
+        rows = self.session_numbers.withColumn(
+            "ended_at", F.timestamp_seconds(F.unix_seconds("started_at") + F.col("length_seconds"))
+        ).select("capture_id", "session_id", F.posexplode(memo("session_events", self._event_array)).alias("seq", "e"))
+        return rows.select(
+            "capture_id", "session_id", F.col("seq").cast("bigint").alias("seq"), "e.type", "e.direction", "e.ts",
+            "e.packet_numbers",
+            F.create_map(F.col("e.detail_key"), F.col("e.detail_value")).alias("detail"),
+        )
+
+    @staticmethod
+    def _event_array():
         adv, req, resp = (_profile_value(i, "boolean") for i in (3, 4, 5))
         c2s, s2c, none = "client_to_server", "server_to_client", "unknown"
 
@@ -317,7 +323,7 @@ class Evidence:
 
         login = (F.col("p") == 9) & (F.col("h") % 2 == 1)
         is_proto = lambda name: F.col("protocol") == name
-        events = F.array_compact(
+        return F.array_compact(
             F.array(
                 event("connection_established", none, F.lit(1), "basis", F.lit("syn")),
                 event("server_greeting", s2c, F.lit(2), "greeting", F.col("protocol")),
@@ -331,21 +337,11 @@ class Evidence:
                 F.when(F.col("complete"), event("connection_closed", none, F.col("packet_count"), "basis", F.lit("fin"), "ended_at")),
             )
         )
-        rows = n.withColumn(
-            "ended_at", F.timestamp_seconds(F.unix_seconds("started_at") + F.col("length_seconds"))
-        ).select("capture_id", "session_id", F.posexplode(events).alias("seq", "e"))
-        return rows.select(
-            "capture_id", "session_id", F.col("seq").cast("bigint").alias("seq"), "e.type", "e.direction", "e.ts",
-            "e.packet_numbers",
-            F.create_map(F.col("e.detail_key"), F.col("e.detail_value")).alias("detail"),
-        )
 
     @cached_property
     def anomalies(self) -> DataFrame:
         """Stored anomaly results (scores drawn by integer arithmetic)."""
-        df = self.session_numbers
-        for name, expression in ANOMALY_NUMBERS:
-            df = df.withColumn(name, F.expr(expression))
+        df = self.session_numbers.selectExpr("*", *[f"{expression} AS {name}" for name, expression in ANOMALY_NUMBERS])
         band = labels.anomaly_band("score")
         return df.select(
             ids.anomaly_id("session_id").alias("anomaly_id"), "capture_id", "session_id", "protocol",
