@@ -7,6 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from postern.functions.columns import col
 from postern.functions.fixed_values import SENSITIVE_COMMANDS, SENSITIVE_KEYS
@@ -29,7 +30,7 @@ def normalize_ipv4(value: str | Column) -> Column:
     return F.when((F.length(text) <= 64) & text.rlike(IPV4), text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _canonical_ip(values: pd.Series) -> pd.Series:
     def one(text):
         try:
@@ -47,6 +48,13 @@ def normalize_ip(value: str | Column) -> Column:
     return F.coalesce(normalize_ipv4(value), _canonical_ip(v6))
 
 
+def stored_ip(value: str | Column) -> Column:
+    """An address of a session row. Sessions store canonical addresses, so IPv6 needs no re-parsing here."""
+    text = _strip(value)
+    v6 = F.when((F.length(text) <= 64) & text.contains(":") & text.rlike("^[0-9a-fA-F:.]+$"), F.lower(text))
+    return F.coalesce(normalize_ipv4(value), v6)
+
+
 def normalize_hostname(value: str | Column) -> Column:
     text = F.lower(_strip(value))
     usable = F.when(~text.rlike(r"\s"), _clean(text, 253))

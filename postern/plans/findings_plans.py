@@ -61,7 +61,7 @@ for _name, _rule in RULE_QUERIES.items():
 
 @query("evaluate_all_rules")
 def evaluate_all_rules(w):
-    return flat(w.findings)
+    return flat(rules.evaluate(w.sessions, w.session_events, w.policy))
 
 
 @query("finding_id")

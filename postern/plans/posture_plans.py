@@ -24,7 +24,7 @@ def finding_deduction(w):
 
 @query("posture_factors")
 def posture_factors(w):
-    return w.factors.withColumn("score_contribution", F.col("contribution_cents") / 100)
+    return posture.posture_factors(w.hits).withColumn("score_contribution", F.col("contribution_cents") / 100)
 
 
 @query("posture_factor_findings")
@@ -34,7 +34,7 @@ def posture_factor_findings(w):
 
 @query("posture_score")
 def posture_score(w):
-    return posture.posture_score(w.factors)
+    return posture.posture_score(posture.posture_factors(w.hits))
 
 
 @query("posture_confidence")
@@ -67,7 +67,7 @@ def posture_explanation(w):
 
 @query("posture_snapshot")
 def posture_snapshot(w):
-    return w.posture.withColumn("generated_at", iso_text("generated_at"))
+    return posture.posture_snapshot(w.captures, w.hits, w.policy).withColumn("generated_at", iso_text("generated_at"))
 
 
 @query("severity_counts")

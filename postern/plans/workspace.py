@@ -1,30 +1,74 @@
-"""Evidence plus the tables derived from it, each planned once and lazily."""
+"""Evidence plus the tables derived from it.
+
+Sessions, events and per-session findings are what an analysis run stores; every
+other operator reads those tables. ``staged`` writes such a table once per
+application into the cluster's shared checkpoint folder and reads it back, so
+later plans start from a columnar scan and survive the loss of executors. Where
+no shared folder is known on a cluster, the lazy plan itself is used.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from postern.operators import posture, rules
+from postern.operators import correlation, posture, rules
+from postern.session import shared_folder
 from postern.sources.policy import Policy
 from postern.sources.testdata import Evidence
 
+_STAGED: dict[tuple, tuple] = {}
+
+
+def staged(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    folder = shared_folder(spark)
+    if folder is None:
+        return build()
+    key = (spark.sparkContext.applicationId, source, name)
+    if key not in _STAGED:
+        df = build()
+        path = f"{folder}/staged-{spark.sparkContext.applicationId}-{abs(hash(source))}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        _STAGED[key] = (path, df.schema)
+    path, schema = _STAGED[key]
+    return spark.read.schema(schema).parquet(path)
+
 
 class Workspace(Evidence):
     policy = Policy()
 
+    def _staged(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        return staged(self.spark, self.sf_dir, name, build)
+
+    @cached_property
+    def session_numbers(self) -> DataFrame:
+        return self._staged("session_numbers", lambda: Evidence.session_numbers.func(self))
+
+    @cached_property
+    def sessions(self) -> DataFrame:
+        return self._staged("sessions", lambda: Evidence.sessions.func(self))
+
+    @cached_property
+    def session_events(self) -> DataFrame:
+        return self._staged("session_events", lambda: Evidence.session_events.func(self))
+
+    @cached_property
+    def anomalies(self) -> DataFrame:
+        return self._staged("anomalies", lambda: Evidence.anomalies.func(self))
+
     @cached_property
     def findings(self) -> DataFrame:
-        return rules.evaluate(self.sessions, self.session_events, self.policy)
+        return self._staged("findings", lambda: rules.evaluate(self.sessions, self.session_events, self.policy))
 
     @cached_property
     def hits(self) -> DataFrame:
-        return rules.session_hits(self.sessions, self.session_events, self.policy)
+        return self._staged("hits", lambda: rules.session_hits(self.sessions, self.session_events, self.policy))
 
     @cached_property
     def factors(self) -> DataFrame:
-        return posture.posture_factors(self.hits)
+        return self._staged("factors", lambda: posture.posture_factors(self.hits))
 
     @cached_property
     def priorities(self) -> DataFrame:
@@ -32,4 +76,15 @@ class Workspace(Evidence):
 
     @cached_property
     def posture(self) -> DataFrame:
-        return posture.posture_snapshot(self.captures, self.hits, self.policy)
+        return self._staged("posture", lambda: posture.posture_snapshot(self.captures, self.hits, self.policy))
+
+    @cached_property
+    def index_entries(self) -> DataFrame:
+        return self._staged(
+            "index_entries",
+            lambda: correlation.index_union(self.sessions, self.findings, self.anomalies, self.case_captures),
+        )
+
+    @cached_property
+    def correlations(self) -> DataFrame:
+        return self._staged("correlations", lambda: correlation.correlate(self.index_entries))

@@ -13,6 +13,7 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
+_LOCAL: dict[str, str] = {}
 
 
 def apply_conf(spark: SparkSession) -> SparkSession:
@@ -21,16 +22,25 @@ def apply_conf(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; a local one only where none is set."""
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder named by spark.checkpoint.dir; a local one only for local masters."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="postern-checkpoint-"))
+    if configured:
+        return configured.rstrip("/")
+    if not context.master.startswith("local"):
+        return None
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="postern-")
+    return _LOCAL[context.applicationId]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
+    """Reliable checkpoint into the shared folder: survives the loss of executors."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = shared_folder(df.sparkSession)
+        if folder is None:
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
