@@ -13,7 +13,10 @@ from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+
+from postern.functions.columns import prefixed_sha
 from postern.operators import correlation, posture, rules
 from postern.session import shared_folder
 from postern.sources.policy import Policy
@@ -88,3 +91,25 @@ class Workspace(Evidence):
     @cached_property
     def correlations(self) -> DataFrame:
         return self._staged("correlations", lambda: correlation.correlate(self.index_entries))
+
+    @cached_property
+    def remediations(self) -> DataFrame:
+        """One remediation per (case, rule) seen in the case's first capture."""
+        first = self.case_captures.where(F.col("idx") == 0).select("case_id", "capture_id")
+        picked = (
+            self.findings.join(first, "capture_id").groupBy("case_id", "rule_id")
+            .agg(F.min(F.struct("finding_id", "title", "remediation")).alias("f"))
+        )
+        n = F.length("f.title") + F.length("rule_id")
+        choose = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), 1 + n % len(values))
+        day = lambda span: F.lpad((1 + n % span).cast("string"), 2, "0")
+        return picked.select(
+            prefixed_sha("rem_", F.concat_ws("|", "case_id", "rule_id"), 16).alias("remediation_id"), "case_id", "rule_id",
+            F.lit("finding").alias("target_type"), F.col("f.finding_id").alias("target_id"), F.col("f.title").alias("title"),
+            F.lit("").alias("description"), F.col("f.remediation.action").alias("recommended_action"),
+            choose(("OPEN", "PLANNED", "IN_PROGRESS", "BLOCKED", "COMPLETED", "CANCELLED")).alias("status"),
+            choose(("CRITICAL", "HIGH", "MEDIUM", "LOW")).alias("priority"), choose(("ops", "Sec Team", "")).alias("owner"),
+            F.when(n % 3 != 0, F.concat(F.lit("2024-03-"), day(28))).alias("due_at"),
+            F.concat(F.lit("2024-02-"), day(27)).alias("updated_at"),
+            choose(("NOT_VERIFIED", "PENDING", "VERIFIED", "FAILED", "INCONCLUSIVE")).alias("verification_status"), n.alias("n"),
+        )
