@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 
 from postern.functions.columns import prefixed_sha
-from postern.operators import correlation, posture, rules
+from postern.operators import correlation, drift, posture, rules, verification
 from postern.session import shared_folder
 from postern.sources.policy import Policy
 from postern.sources.testdata import Evidence
@@ -113,3 +113,53 @@ class Workspace(Evidence):
             F.concat(F.lit("2024-02-"), day(27)).alias("updated_at"),
             choose(("NOT_VERIFIED", "PENDING", "VERIFIED", "FAILED", "INCONCLUSIVE")).alias("verification_status"), n.alias("n"),
         )
+
+    @cached_property
+    def chain(self) -> DataFrame:
+        return drift.chain(self.case_captures, self.analysis)
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return drift.pairs(self.chain, self.baselines)
+
+    @cached_property
+    def lifecycle(self) -> DataFrame:
+        return self._staged("lifecycle", lambda: drift.finding_lifecycle(self.chain, self.pairs, self.findings, self.sessions))
+
+    @cached_property
+    def correlation_captures(self) -> DataFrame:
+        return self._staged("correlation_captures", lambda: correlation.correlation_captures(self.index_entries))
+
+    @cached_property
+    def drift_records(self) -> DataFrame:
+        return self._staged(
+            "drift_records",
+            lambda: drift.drift_chain(
+                self.chain, self.pairs, self.sessions, self.findings, self.anomalies, self.posture, self.correlation_captures
+            ),
+        )
+
+    @cached_property
+    def verification_requests(self) -> DataFrame:
+        """Every remediation against every later analysed capture of its case."""
+        later = self.chain.where(F.col("pos") > 0).select("case_id", F.col("capture_id").alias("target_capture_id"))
+        return self.remediations.select("case_id", "remediation_id", F.col("target_id").alias("finding_id")).join(later, "case_id")
+
+    @cached_property
+    def verifications(self) -> DataFrame:
+        return verification.verification_records(
+            verification.verify(self.verification_requests, self.findings, self.sessions, self.posture)
+        )
+
+    @cached_property
+    def status_timeline(self) -> DataFrame:
+        """One status history per order, some of them with steps the workflow forbids."""
+        k = F.col("o_orderkey") % 4
+        path = lambda *names: F.array(*[F.lit(n) for n in names])
+        statuses = (
+            F.when(k == 0, path("OPEN", "PLANNED", "IN_PROGRESS", "COMPLETED")).when(k == 1, path("OPEN", "COMPLETED", "OPEN"))
+            .when(k == 2, path("OPEN", "PLANNED", "IN_PROGRESS", "BLOCKED", "COMPLETED")).otherwise(path("OPEN", "CANCELLED"))
+        )
+        return self.table("orders").select(
+            prefixed_sha("rem_", F.col("o_orderkey").cast("string"), 16).alias("remediation_id"), F.posexplode(statuses).alias("entry_seq", "status")
+        ).withColumn("entry_seq", F.col("entry_seq").cast("bigint"))
