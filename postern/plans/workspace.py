@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 
 from postern.functions.columns import prefixed_sha
-from postern.operators import correlation, drift, posture, rules, verification
+from postern.operators import correlation, drift, graph, posture, rules, verification
 from postern.session import shared_folder
 from postern.sources.policy import Policy
 from postern.sources.testdata import Evidence
@@ -163,3 +163,15 @@ class Workspace(Evidence):
         return self.table("orders").select(
             prefixed_sha("rem_", F.col("o_orderkey").cast("string"), 16).alias("remediation_id"), F.posexplode(statuses).alias("entry_seq", "status")
         ).withColumn("entry_seq", F.col("entry_seq").cast("bigint"))
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return self._staged(
+            "nodes", lambda: graph.graph_nodes(self.sessions, self.findings, self.session_events, self.anomalies, self.factors)
+        )
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return self._staged(
+            "edges", lambda: graph.graph_edges(self.sessions, self.findings, self.session_events, self.anomalies, self.factors)
+        )
