@@ -14,11 +14,13 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 
 from postern.functions.columns import prefixed_sha
-from postern.operators import correlation, drift, graph, posture, rules, verification
+from postern.operators import correlation, drift, graph, posture, reconstruct, rules, verification
 from postern.session import shared_folder
+from postern.sources import captures, wire
 from postern.sources.policy import Policy
 from postern.sources.testdata import Evidence
 
@@ -175,3 +177,29 @@ class Workspace(Evidence):
         return self._staged(
             "edges", lambda: graph.graph_edges(self.sessions, self.findings, self.session_events, self.anomalies, self.factors)
         )
+
+    @cached_property
+    def capture_files(self) -> DataFrame:
+        return self._staged("capture_files", lambda: wire.capture_files(self.session_numbers))
+
+    @cached_property
+    def packets(self) -> DataFrame:
+        """TCP packets of the capture files; a capture is named by its file here."""
+        named = self.capture_files.select(F.substring_index("path", ".", 1).alias("capture_id"), "content")
+        return self._staged("packets", lambda: captures.tcp_packets(captures.parse_packets(named)))
+
+    @cached_property
+    def reconstruction(self):
+        return reconstruct.Reconstruction(self.packets, lambda name, df: self._staged(f"wire_{name}", lambda: df))
+
+    @cached_property
+    def line_segments(self) -> DataFrame:
+        """Order lines as stream segments with gaps and overlaps; arrival order by line number and tie-breaks."""
+        line = self.table("lineitem")
+        order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+        start = (F.col("l_linenumber").cast("bigint") - 1) * 25
+        number = F.row_number().over(order).cast("bigint")
+        return line.select(
+            F.col("l_orderkey").alias("flow"), number.alias("number"), number.cast("double").alias("ts"), start.alias("start"),
+            (start + F.col("l_quantity").cast("bigint")).alias("end"), (F.col("l_linestatus") == "F").alias("fin"), F.lit(None).cast("binary").alias("payload"),
+        )
