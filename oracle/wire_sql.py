@@ -55,13 +55,12 @@ def events(protocol: str) -> str:
         ("authentication", str(auth), "login"),
         ("mail_transaction_start", "1", "NOT req AND NOT login" if mail else "FALSE"),
         ("client_command", f"1 + CASE WHEN NOT req AND NOT login AND {not mail} THEN 1 ELSE 0 END + CASE WHEN NOT resp THEN 1 ELSE 0 END", "TRUE"),
-        ("server_response", f"{first} + CASE WHEN resp THEN 0 WHEN login THEN {auth if protocol == 'pop3' else 1} ELSE 1 END + CASE WHEN NOT resp THEN 1 ELSE 0 END", "TRUE"),
+        ("server_response", f"{first} + CASE WHEN resp THEN 0 ELSE 1 END + CASE WHEN NOT resp THEN 1 ELSE 0 END", "TRUE"),
     ]
     base = f"SELECT session_id AS capture_id, {ADV} AS adv, {REQ} AS req, {RESP} AS resp, (p = 9 AND h % 2 = 1) AS login FROM session_numbers WHERE protocol = '{protocol}' AND NOT implicit_tls"
     return " UNION ALL ".join(f"SELECT capture_id, '{kind}' AS type, CAST({n} AS BIGINT) AS n FROM ({base}) WHERE {cond}" for kind, n, cond in rows)
 
 
-POP3_OK = "CASE WHEN h % 2 = 1 AND p = 9 THEN 1 ELSE 1 END"
 BODIES = {
     "src_captures": "SELECT 'pcap' AS format, count(*) AS captures, CAST(sum(24 + n) AS BIGINT) AS bytes FROM (SELECT capture_id, sum(70 + captured_len) AS n FROM packets GROUP BY ALL)",
     "src_packets": "SELECT capture_id, number, ts, src_ip, dst_ip, src_port, dst_port, tcp_flags, tcp_seq, captured_len, md5(unhex(x)) AS payload_md5 FROM packets",
@@ -91,7 +90,7 @@ UNION ALL SELECT capture_id, 2, 'client_to_server', CASE protocol WHEN 'imap' TH
     "connection_events": f"SELECT capture_id, 'connection_established' AS type, 1 AS packet, 'syn' AS basis FROM wire_flows UNION ALL SELECT capture_id, 'connection_closed', packet_count, {ENDED} FROM wire_flows WHERE {ENDED} IS NOT NULL",
     "event_numbering": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq FROM events",
     "starttls_observation": f"SELECT session_id AS capture_id, advertised, requested, response_seen FROM sessions WHERE NOT implicit_tls AND has_starttls",
-    "tls_hello_facts": "SELECT session_id AS capture_id, TRUE AS client_seen, TRUE AS server_seen, code AS selected, sni, CASE WHEN p = 1 THEN 'imap, smtp' END AS alpn, p <> 8 AS progressed, CAST(0 AS BIGINT) AS warnings FROM sessions WHERE has_handshake",
+    "tls_hello_facts": "SELECT session_id AS capture_id, TRUE AS client_seen, TRUE AS server_seen, code AS selected, sni, CASE WHEN p = 1 THEN 'imap, pop3' END AS alpn, p <> 8 AS progressed, CAST(0 AS BIGINT) AS warnings FROM sessions WHERE has_handshake",
     "negotiated_version": "SELECT session_id AS capture_id, tls_version FROM sessions WHERE has_handshake",
     "handshake_complete": "SELECT session_id AS capture_id, p <> 8 AS handshake_complete, CASE WHEN p = 8 THEN 'handshake did not progress beyond the hello exchange' END AS reason FROM sessions WHERE has_handshake",
     "implicit_protocol_inference": "SELECT session_id AS capture_id, protocol, 'medium' AS confidence, 'client_server' AS orientation FROM sessions WHERE implicit_tls",

@@ -22,5 +22,5 @@ def query(name: str):
     return wrap
 
 
-for module in ("findings", "posture", "correlation", "lookup", "drift", "graph", "wire"):
+for module in ("findings", "posture", "correlation", "lookup", "drift", "graph", "wire", "anomaly"):
     importlib.import_module(f"postern.plans.{module}_plans")

@@ -36,7 +36,7 @@ RANDOM = "repeat('AB', 32)"
 SNI = "hex(concat('mail', CAST(host AS STRING), '.example.org'))"
 NAME_LENGTH = "18"  # mailNN.example.org
 SERVER_NAME = f"concat('0000', printf('%04X', {NAME_LENGTH} + 5), printf('%04X', {NAME_LENGTH} + 3), '00', printf('%04X', {NAME_LENGTH}), {SNI})"
-ALPN = "'0010000C000A04696D617004736D7470'"
+ALPN = "'0010000C000A04696D617004706F7033'"
 CLIENT_EXTENSIONS = f"concat({SERVER_NAME}, CASE WHEN p = 1 THEN concat('002B0003020304', {ALPN}) ELSE '' END)"
 CLIENT_BODY = f"concat({LEGACY}, {RANDOM}, '00', '0004', {SUITE}, '1301', '0100', printf('%04X', CAST(length({CLIENT_EXTENSIONS}) / 2 AS INT)), {CLIENT_EXTENSIONS})"
 SERVER_EXTENSIONS = "CASE WHEN p = 1 THEN '002B00020304' ELSE '' END"
