@@ -207,7 +207,7 @@ def train_forests(features: DataFrame, min_baseline: int = V.MIN_BASELINE_SESSIO
             nodes += _grow(points[rng.permutation(len(points))[:psi]], rng, limit)
         feature, cut, lower, upper, size = (list(column) for column in zip(*nodes))
         row = dict(capture_id=key[0], protocol_group=key[1], psi=psi, starts=starts, feature=feature, cut=cut, lower=lower, upper=upper, size=size)
-        return pd.DataFrame([row])
+        return pd.DataFrame([row], dtype=object)
 
     return sample.groupBy(*GROUP).applyInPandas(fit, FOREST)
 
@@ -238,12 +238,12 @@ def score_sessions(features: DataFrame, forests: DataFrame, salts: int = 8) -> D
 
     def score(sessions: pd.DataFrame, forest: pd.DataFrame) -> pd.DataFrame:
         if sessions.empty or forest.empty:
-            return pd.DataFrame({"capture_id": [], "session_id": [], "protocol_group": [], "sample": []})
+            return pd.DataFrame({"capture_id": [], "session_id": [], "protocol_group": [], "sample": []}, dtype=object)
         points = sessions[names].to_numpy(dtype=float)
         row = forest.iloc[0]
         model = [np.asarray(row[c]) for c in ("feature", "cut", "lower", "upper", "size")]
         mean = sum(_depths(points, model, start) for start in row["starts"]) / len(row["starts"])
-        out = sessions[["capture_id", "session_id", "protocol_group"]].copy()
+        out = sessions[["capture_id", "session_id", "protocol_group"]].astype(object)
         out["sample"] = -np.power(2.0, -mean / float(_average_path(row["psi"])))
         return out
 
