@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from postern.functions import labels
 from postern.operators import anomaly as A
-from postern.plans.registry import query
+from postern.plans.base import query
 
 
 @query("session_features")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from postern.functions.columns import iso_text
 from postern.operators import correlation as C
-from postern.plans.registry import query
+from postern.plans.base import query
 
 
 def flat(df):

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window as W
 
 from postern.operators import drift as D
 from postern.operators import verification as X
-from postern.plans.registry import query
+from postern.plans.base import query
 
 
 @query("observation_build")

@@ -11,7 +11,7 @@ from postern.functions import ids, labels
 from postern.functions.columns import iso_text
 from postern.functions.fixed_values import FACTOR_BY_RULE
 from postern.operators import rules
-from postern.plans.registry import query
+from postern.plans.base import query
 from postern.sources.policy import CertificatePolicy, Policy, TlsPolicy
 
 RULE_QUERIES = {

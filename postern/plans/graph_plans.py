@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from postern.operators import graph as G
 from postern.operators import lookups as L
 from postern.operators import reports as R
-from postern.plans.registry import query
+from postern.plans.base import query
 
 
 @query("graph_nodes")

@@ -10,7 +10,7 @@ from postern.functions.columns import epoch_to_timestamp, iso_text, session_dura
 from postern.operators import lookups as L
 from postern.operators import reports as R
 from postern.operators.rules import leaf
-from postern.plans.registry import query
+from postern.plans.base import query
 
 S = ["session_id", "capture_id", "protocol", "server_ip", "server_port"]
 FND = ["finding_id", "capture_id", "session_id", "rule_id", "severity"]

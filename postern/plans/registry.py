@@ -1,26 +1,12 @@
-"""Registered queries: name -> callable(spark, directory) -> DataFrame."""
+"""All registered queries."""
 
 from __future__ import annotations
 
 import importlib
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from postern.plans.base import QUERIES, query
 
-from postern.plans.workspace import Workspace
+__all__ = ["QUERIES", "query"]
 
-QUERIES: dict[str, Callable] = {}
-
-
-def query(name: str):
-    """Register ``fn(workspace) -> DataFrame`` under a name."""
-
-    def wrap(fn: Callable[[Workspace], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: fn(Workspace(spark, sf_dir))
-        return fn
-
-    return wrap
-
-
-for module in ("findings", "posture", "correlation", "lookup", "drift", "graph", "wire", "anomaly"):
+for module in ("findings", "posture", "correlation", "lookup", "drift", "graph", "wire", "anomaly", "stream"):
     importlib.import_module(f"postern.plans.{module}_plans")

@@ -9,7 +9,7 @@ from postern.functions.columns import iso_text
 from postern.operators import flows as FL
 from postern.operators import protocols as P
 from postern.operators import tls as T
-from postern.plans.registry import query
+from postern.plans.base import query
 from postern.sources import captures as C
 
 
