@@ -32,7 +32,7 @@ UNION ALL SELECT session_id, feature, position, round(1 - n / total, 2) FROM cat
 JOIN (SELECT capture_id, protocol_group, count(*) AS total FROM features GROUP BY ALL) USING (capture_id, protocol_group)"""
 SCORE = "round_even(100 / (1 + exp((l_extendedprice - 50000) / 200000 * 20)), 0)"
 BODIES = {
-    "session_features": "SELECT * REPLACE (round(certificate_min_validity_days, 6) AS certificate_min_validity_days) FROM features",
+    "session_features": "SELECT * EXCLUDE (certificate_min_validity_days), CAST(round(certificate_min_validity_days * 86400) AS BIGINT) AS certificate_min_validity_seconds FROM features",
     "decode_feature": "SELECT session_id, " + ", ".join(f"{LABEL(n, COL.get(n, n))} AS {n}" for n in CAT) + f", {LABEL('protocol', 'packet_count')} AS outside FROM features",
     "baseline_stats": "SELECT capture_id, protocol_group, feature, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std, round(min(value), 4) AS min, round(max(value), 4) AS max FROM numeric_rows GROUP BY ALL",
     "baseline_categorical": "SELECT capture_id, protocol_group, feature, label, count(*) AS n FROM category_rows GROUP BY ALL",

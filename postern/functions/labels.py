@@ -118,8 +118,9 @@ def deviation_label(score: str | Column) -> Column:
 
 def safe_number(value: str | Column) -> Column:
     v = col(value).cast("double")
-    usable = F.when(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")), v)
-    return F.coalesce(F.greatest(F.lit(-V.NUMERIC_CLAMP), F.least(F.lit(V.NUMERIC_CLAMP), usable)), F.lit(0.0))
+    usable = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+    clamped = F.greatest(F.lit(-V.NUMERIC_CLAMP), F.least(F.lit(V.NUMERIC_CLAMP), v))
+    return F.when(usable, clamped).otherwise(F.lit(0.0))
 
 
 def vocabulary_index(feature: str, value: str | Column) -> Column:

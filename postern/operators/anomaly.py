@@ -13,6 +13,7 @@ from pyspark.sql.window import Window as W
 from postern.functions import fixed_values as V
 from postern.functions import labels
 from postern.functions.columns import memo, seconds_between, validity_days
+from postern.session import python_partitions
 
 GROUP = ["capture_id", "protocol_group"]
 CATEGORICAL = tuple(V.CATEGORICAL_VOCABULARIES)
@@ -173,9 +174,10 @@ def _grow(points: np.ndarray, rng: np.random.Generator, limit: int) -> list[tupl
     return nodes
 
 
-# All trees of a group in one row: node columns over all trees, and where each tree starts.
+TREE_BLOCK = 20
+# A block of trees of a group in one row: node columns over its trees, and where each tree starts.
 FOREST = (
-    "capture_id string, protocol_group string, psi int, starts array<int>, feature array<int>, cut array<double>, "
+    "capture_id string, protocol_group string, block int, psi int, starts array<int>, feature array<int>, cut array<double>, "
     "lower array<int>, upper array<int>, size array<int>"
 )
 
@@ -191,8 +193,12 @@ def forest_sample(features: DataFrame, size: int = V.FOREST_SAMPLE) -> DataFrame
 
 
 def train_forests(features: DataFrame, min_baseline: int = V.MIN_BASELINE_SESSIONS, pool: int = V.FOREST_SAMPLE * 4) -> DataFrame:
-    """One forest per group with enough sessions, grown from a bounded pool of its sessions."""
-    sample = forest_sample(features, pool).join(group_sizes(features, min_baseline).where("sufficient").select(*GROUP), GROUP)
+    """One forest per group with enough sessions, grown in blocks of trees from a bounded pool of its sessions."""
+    blocks = F.explode(F.array(*[F.lit(b) for b in range(0, V.FOREST_TREES, TREE_BLOCK)]))
+    sample = (
+        forest_sample(features, pool).join(group_sizes(features, min_baseline).where("sufficient").select(*GROUP), GROUP)
+        .withColumn("block", blocks).repartition(python_partitions(features.sparkSession), *GROUP, "block")
+    )
     names = [_column(n) for n in V.FEATURE_NAMES]
 
     def fit(key, table: pd.DataFrame) -> pd.DataFrame:
@@ -201,15 +207,15 @@ def train_forests(features: DataFrame, min_baseline: int = V.MIN_BASELINE_SESSIO
         psi = min(V.FOREST_SAMPLE, len(points))
         limit = max(1, math.ceil(math.log2(psi)))
         starts, nodes = [], []
-        for tree in range(V.FOREST_TREES):
+        for tree in range(key[2], key[2] + TREE_BLOCK):
             rng = np.random.default_rng([V.FOREST_SEED, tree])
             starts.append(len(nodes))
             nodes += _grow(points[rng.permutation(len(points))[:psi]], rng, limit)
         feature, cut, lower, upper, size = (list(column) for column in zip(*nodes))
-        row = dict(capture_id=key[0], protocol_group=key[1], psi=psi, starts=starts, feature=feature, cut=cut, lower=lower, upper=upper, size=size)
+        row = dict(capture_id=key[0], protocol_group=key[1], block=key[2], psi=psi, starts=starts, feature=feature, cut=cut, lower=lower, upper=upper, size=size)
         return pd.DataFrame([row], dtype=object)
 
-    return sample.groupBy(*GROUP).applyInPandas(fit, FOREST)
+    return sample.groupBy(*GROUP, "block").applyInPandas(fit, FOREST)
 
 
 def _depths(points: np.ndarray, model, start: int) -> np.ndarray:
@@ -230,7 +236,7 @@ def score_sessions(features: DataFrame, forests: DataFrame, salts: int = 8) -> D
     """score_samples = -2^(-E[path] / c(psi)) for every session.
 
     Sessions of a group are spread over ``salts`` parts, each meeting its own
-    copy of the one-row forest; a part streams through in Arrow batches.
+    copy of the forest (a bounded number of rows).
     """
     names = [_column(n) for n in V.FEATURE_NAMES]
     left = features.withColumn("salt", F.pmod(F.xxhash64("session_id"), F.lit(salts)))
@@ -240,14 +246,19 @@ def score_sessions(features: DataFrame, forests: DataFrame, salts: int = 8) -> D
         if sessions.empty or forest.empty:
             return pd.DataFrame({"capture_id": [], "session_id": [], "protocol_group": [], "sample": []}, dtype=object)
         points = sessions[names].to_numpy(dtype=float)
-        row = forest.iloc[0]
-        model = [np.asarray(row[c]) for c in ("feature", "cut", "lower", "upper", "size")]
-        mean = sum(_depths(points, model, start) for start in row["starts"]) / len(row["starts"])
+        total, trees = np.zeros(len(points)), 0
+        for row in forest.to_dict("records"):
+            model = [np.asarray(row[c]) for c in ("feature", "cut", "lower", "upper", "size")]
+            total += sum(_depths(points, model, start) for start in row["starts"])
+            trees += len(row["starts"])
+        mean = total / trees
         out = sessions[["capture_id", "session_id", "protocol_group"]].astype(object)
-        out["sample"] = -np.power(2.0, -mean / float(_average_path(row["psi"])))
+        out["sample"] = -np.power(2.0, -mean / float(_average_path(forest["psi"].iloc[0])))
         return out
 
     keys = [*GROUP, "salt"]
+    parts = python_partitions(features.sparkSession)
+    left, right = left.repartition(parts, *keys), right.repartition(parts, *keys)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, "capture_id string, session_id string, protocol_group string, sample double")
 
 

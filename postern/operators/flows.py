@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postern.functions import ids, labels
 from postern.functions.columns import col
+from postern.operators.folds import fold_groups
 from postern.operators.slices import sliced_running_max
 
 U32 = 4_294_967_296
@@ -115,71 +116,48 @@ def completeness(gap_count: str, gap_bytes: str, terminated: str | Column) -> tu
 PIECES = "start bigint, stop bigint, offset bigint, number bigint, ts double, data binary, duplicate bigint, retransmitted bigint, segments bigint"
 
 
-def _placer(keys: list[str]):
+def place(rows: Iterator[dict]) -> list[tuple]:
     """First arrival wins: every segment keeps only the bytes nobody placed before it."""
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from bisect import bisect_left
-
-        starts: list[int] = []
-        ends: list[int] = []
-        out: list[tuple] = []
-        same = again = count = 0
-        key = None
-        for batch in batches:
-            rows = batch.to_pylist()
-            for row in rows:
-                key = key or tuple(row[k] for k in keys)
-                start, stop, payload = row["start"], row["end"], row["payload"]
-                count += 1
-                cursor, covered, touched = start, 0, 0
-                at = bisect_left(ends, start + 1)
-                while cursor < stop:
-                    limit = starts[at] if at < len(starts) else stop
-                    if cursor < limit:
-                        piece = min(limit, stop)
-                        starts.insert(at, cursor)
-                        ends.insert(at, piece)
-                        data = None if payload is None else payload[cursor - start : piece - start]
-                        out.append((cursor, piece, row["number"], row["ts"], data))
-                        cursor, at = piece, at + 1
-                    else:
-                        touched += 1
-                        covered += min(ends[at], stop) - cursor
-                        cursor, at = ends[at], at + 1
-                if covered == stop - start and touched == 1:
-                    same += 1
-                elif covered:
-                    again += 1
-        if key is None:
-            return
-        out.sort(key=lambda piece: piece[0])
-        n = len(out)
-        offsets, sent = [], 0
-        for piece in out:
-            offsets.append(sent)
-            sent += piece[1] - piece[0]
-        columns = [pa.array([v] * n) for v in key]
-        columns += [pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64()), pa.array(offsets, pa.int64())]
-        columns += [pa.array([p[i] for p in out], t) for i, t in ((2, pa.int64()), (3, pa.float64()), (4, pa.binary()))]
-        columns += [pa.array([v] * n, pa.int64()) for v in (same, again, count)]
-        yield pa.RecordBatch.from_arrays(columns, names=[*keys, "start", "stop", "offset", "number", "ts", "data", "duplicate", "retransmitted", "segments"])
-
-    return place
+    starts: list[int] = []
+    ends: list[int] = []
+    pieces: list[tuple] = []
+    same = again = count = 0
+    for row in rows:
+        start, stop, payload = row["start"], row["end"], row["payload"]
+        count += 1
+        cursor, covered, touched = start, 0, 0
+        at = bisect_left(ends, start + 1)
+        while cursor < stop:
+            limit = starts[at] if at < len(starts) else stop
+            if cursor < limit:
+                end = min(limit, stop)
+                starts.insert(at, cursor)
+                ends.insert(at, end)
+                pieces.append((cursor, end, row["number"], row["ts"], None if payload is None else payload[cursor - start : end - start]))
+                cursor = end
+            else:
+                touched += 1
+                covered += min(ends[at], stop) - cursor
+                cursor = ends[at]
+            at += 1
+        if covered == stop - start and touched == 1:
+            same += 1
+        elif covered:
+            again += 1
+    pieces.sort(key=lambda piece: piece[0])
+    out, sent = [], 0
+    for start, end, number, ts, data in pieces:
+        out.append((start, end, sent, number, ts, data, same, again, count))
+        sent += end - start
+    return out
 
 
 def stream_pieces(segments: DataFrame, keys: list[str], key_ddl: str) -> DataFrame:
     """Placed pieces per stream with duplicate and retransmission counts, in arrival order.
 
     One TCP direction is sequential by nature and bounded by half the sequence
-    space and the capture format; segments arrive as Arrow batches of the group,
-    pieces leave as rows, whole streams are never joined into one value.
+    space and the capture format; pieces leave as rows, whole streams are never
+    joined into one value.
     """
-    ordered = segments.where(~F.coalesce("stale", F.lit(False)) & F.col("start").isNotNull()).select(*keys, "number", "ts", "start", "end", "payload")
-    place = _placer(keys)
-
-    def fold(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("ts", "ascending"), ("number", "ascending")])
-        return pa.Table.from_batches(list(place(iter(table.to_batches()))))
-
-    return ordered.groupBy(*keys).applyInArrow(fold, f"{key_ddl}, {PIECES}")
+    fresh = segments.where(~F.coalesce("stale", F.lit(False)) & F.col("start").isNotNull()).select(*keys, "number", "ts", "start", "end", "payload")
+    return fold_groups(fresh, keys, ["ts", "number"], place, f"{key_ddl}, {PIECES}")

@@ -2,21 +2,21 @@
 
 Detection is built-in expressions over the head of each stream. Splitting a
 stream into lines and walking a conversation are sequential within one TCP
-connection; they run as grouped Arrow jobs, one connection per group.
+connection; they run as ordered folds over sorted partitions.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from postern.functions import fixed_values as V
 from postern.functions import labels
+from postern.operators.folds import fold_groups
 from postern.operators.slices import sliced_row_number
 
 C2S, S2C = "client_to_server", "server_to_client"
@@ -82,34 +82,32 @@ LINES = "line_offset bigint, line_end bigint, text string, first_packet bigint,
 CONTROL = re.compile(r"[\x00-\x1f\x7f]")
 
 
+def split_lines(rows: Iterator[dict]) -> list[tuple]:
+    parts = list(rows)
+    data = b"".join(p["data"] for p in parts)
+    out, cursor, first = [], 0, 0
+    while cursor < len(data):
+        newline = data.find(b"\n", cursor)
+        end = len(data) if newline < 0 else newline + 1
+        raw = data[cursor:end]
+        body = raw[:-2] if raw.endswith(b"\r\n") else raw[:-1] if raw.endswith(b"\n") else raw
+        last_byte = cursor + max(1, len(body)) - 1
+        while first + 1 < len(parts) and parts[first + 1]["offset"] <= cursor:
+            first += 1
+        last = first
+        packets = [parts[first]["number"]]
+        while last + 1 < len(parts) and parts[last + 1]["offset"] <= last_byte:
+            last += 1
+            packets.append(parts[last]["number"])
+        text = CONTROL.sub("", body.decode("latin-1"))[: V.MAX_LINE_LENGTH]
+        out.append((cursor, end, text, min(packets), max(packets), parts[first]["ts"]))
+        cursor = end
+    return out
+
+
 def conversation_lines(pieces: DataFrame, keys: list[str], key_ddl: str) -> DataFrame:
     """CRLF or LF separated lines of every stream with the packets that carried them."""
-
-    def split(table: pa.Table) -> pa.Table:
-        parts = table.sort_by("offset").to_pylist()
-        key = [parts[0][k] for k in keys]
-        data = b"".join(p["data"] for p in parts)
-        rows, cursor, first = [], 0, 0
-        while cursor < len(data):
-            newline = data.find(b"\n", cursor)
-            end = len(data) if newline < 0 else newline + 1
-            raw = data[cursor:end]
-            body = raw[:-2] if raw.endswith(b"\r\n") else raw[:-1] if raw.endswith(b"\n") else raw
-            last_byte = cursor + max(1, len(body)) - 1
-            while first + 1 < len(parts) and parts[first + 1]["offset"] <= cursor:
-                first += 1
-            last = first
-            packets = [parts[first]["number"]]
-            while last + 1 < len(parts) and parts[last + 1]["offset"] <= last_byte:
-                last += 1
-                packets.append(parts[last]["number"])
-            text = CONTROL.sub("", body.decode("latin-1"))[: V.MAX_LINE_LENGTH]
-            rows.append((*key, cursor, end, text, min(packets), max(packets), parts[first]["ts"]))
-            cursor = end
-        names = [*keys, *(part.split()[0] for part in LINES.split(", "))]
-        return pa.Table.from_pydict({n: [r[i] for r in rows] for i, n in enumerate(names)})
-
-    return pieces.select(*keys, "offset", "number", "ts", "data").groupBy(*keys).applyInArrow(split, f"{key_ddl}, {LINES}")
+    return fold_groups(pieces.select(*keys, "offset", "number", "ts", "data"), keys, ["offset"], split_lines, f"{key_ddl}, {LINES}")
 
 
 def conversation_merge(lines: DataFrame, session: list[str]) -> DataFrame:
@@ -135,7 +133,7 @@ class Walk:
         self.state: dict = {}
 
     def emit(self, kind: str, line: dict, tls_start: int | None = None, **detail: str) -> None:
-        self.rows.append((kind, line["side"], line["at"], line["first_packet"], line["last_packet"], detail, tls_start))
+        self.rows.append((kind, line["side"], line["at"], line["first_packet"], line["last_packet"], list(detail.items()), tls_start))
 
     def request_tls(self, line: dict, **detail: str) -> None:
         self.emit("starttls_requested", line, line["line_end"], **detail)
@@ -266,31 +264,22 @@ def pop3_step(w: Walk, line: dict) -> None:
 STEPS: dict[str, Callable[[Walk, dict], None]] = {"smtp": smtp_step, "imap": imap_step, "pop3": pop3_step}
 
 
-def conversation_events(lines: DataFrame, session: list[str], session_ddl: str) -> DataFrame:
-    """lines(session, protocol, side, ...) -> timeline events; stops where the stream turns to ciphertext."""
+def walk_conversation(rows: Iterator[dict]) -> list[tuple]:
+    w, last = Walk(), None
+    for line in rows:
+        if w.closed:
+            break
+        STEPS[line["protocol"]](w, line)
+        last = line
+    if w.state.get("logout") and last is not None:
+        w.emit("logout_seen", last)
+    return w.rows
 
-    def walk(table: pa.Table) -> pa.Table:
-        ordered = table.sort_by([("first_packet", "ascending"), ("line_offset", "ascending")])
-        w, key, step, last = Walk(), None, None, None
-        for batch in ordered.to_batches(max_chunksize=10_000):
-            for line in batch.to_pylist():
-                if key is None:
-                    key, step = [line[k] for k in session], STEPS[line["protocol"]]
-                if w.closed:
-                    break
-                step(w, line)
-                last = line
-        if w.state.get("logout") and last is not None:
-            w.emit("logout_seen", last)
-        names = [*session, *(part.split()[0] for part in EVENTS.replace("map<string,string>", "map").split(", "))]
-        types = [pa.string()] * len(session) + [pa.string(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.int64()]
-        columns = [pa.array([v] * len(w.rows), pa.string()) for v in key]
-        for i, kind in enumerate(types[len(session):]):
-            columns.append(pa.array([list(r[i].items()) if i == 5 else r[i] for r in w.rows], kind))
-        return pa.Table.from_arrays(columns, names=names)
 
+def conversation_events(lines: DataFrame, session: list[str], session_ddl: str) -> DataFrame:
+    """lines(session, protocol, side, ...) -> timeline events; stops where the stream turns to ciphertext."""
     wanted = [*session, "protocol", "side", "line_offset", "line_end", "text", "first_packet", "last_packet", "at"]
-    return lines.select(*wanted).groupBy(*session).applyInArrow(walk, f"{session_ddl}, {EVENTS}")
+    return fold_groups(lines.select(*wanted), session, ["first_packet", "line_offset"], walk_conversation, f"{session_ddl}, {EVENTS}")
 
 
 def starttls_observation(events: DataFrame, session: list[str]) -> DataFrame:

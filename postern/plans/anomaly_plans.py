@@ -12,7 +12,8 @@ from postern.plans.base import query
 @query("session_features")
 def session_features(w):
     f = A.session_features(w.sessions)
-    return f.withColumn("certificate_min_validity_days", F.round("certificate_min_validity_days", 6))
+    seconds = F.round(F.col("certificate_min_validity_days") * 86400).cast("bigint")
+    return f.withColumn("certificate_min_validity_days", seconds).withColumnRenamed("certificate_min_validity_days", "certificate_min_validity_seconds")
 
 
 @query("decode_feature")

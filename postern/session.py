@@ -44,3 +44,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def python_partitions(spark: SparkSession) -> int:
+    """Partition count for CPU-bound Python steps; explicit, so that tiny inputs are not merged into one task."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
