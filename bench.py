@@ -43,10 +43,12 @@ def main() -> None:
         started = time.perf_counter()
         getattr(workspace, stage)
         seconds[f"stage_{stage}"] = round(time.perf_counter() - started, 3)
+        print(stage, seconds[f"stage_{stage}"], file=sys.stderr, flush=True)
     for name in HEADLINE:
         started = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - started, 3)
+        print(name, seconds[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": sf_dir.rsplit("sf", 1)[-1]}))
 
 

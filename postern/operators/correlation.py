@@ -28,104 +28,104 @@ DIGEST_LEAF = 65_536
 
 
 def _entry(kind: str, strength: str, key: Column, **evidence: Column) -> Column:
-    """One index entry, or NULL when its key is not usable."""
-    usable = N.normalize_evidence_key(key)
+    """One index entry; its key is NULL when an ingredient is not usable (filtered after the explode)."""
     pairs = F.array_compact(
         F.array(*[
             F.when(v.isNotNull(), F.struct(F.lit(k).alias("k"), v.cast("string").alias("v"))) for k, v in evidence.items()
         ])
     )
-    return F.when(
-        usable.isNotNull(),
-        F.struct(
-            F.lit(kind).alias("correlation_type"), F.lit(strength).alias("strength"),
-            usable.alias("evidence_key"), F.to_json(pairs).alias("evidence"),
+    return F.struct(
+        F.lit(kind).alias("correlation_type"), F.lit(strength).alias("strength"), key.alias("evidence_key"),
+        F.to_json(pairs).alias("evidence"),
+    )
+
+
+def _usable(entries: DataFrame) -> DataFrame:
+    return entries.where(N.normalize_evidence_key("evidence_key").isNotNull())
+
+
+def normalised(sessions: DataFrame) -> DataFrame:
+    """Every ingredient normalised once, so that the entries only combine plain columns."""
+    tokens = {f"n_{t}": N.normalize_token(f"handshake.{t}") for t in ("tls_version", "cipher_suite", "key_exchange")}
+    chain = F.transform(
+        "certificates",
+        lambda c: F.struct(
+            N.normalize_fingerprint(c["fingerprint_sha256"]).alias("fingerprint"), N.normalize_subject(c["subject"]).alias("n_subject"),
+            N.normalize_subject(c["issuer"]).alias("n_issuer"), c["subject"].alias("subject"), c["issuer"].alias("issuer"),
         ),
     )
+    first = sessions.select(
+        "capture_id", "session_id", "started_at", N.stored_ip("server_ip").alias("n_ip"), N.normalize_port("server_port").alias("n_port"),
+        N.normalize_protocol("protocol").alias("n_protocol"), *[c.alias(n) for n, c in tokens.items()],
+        N.normalize_hostname("handshake.sni_server_name").alias("n_sni"), chain.alias("n_chain"),
+        labels.python_bool_text("implicit_tls").alias("n_implicit"), labels.starttls_state("starttls").alias("n_starttls"),
+        F.when(F.col("handshake").isNotNull(), labels.python_bool_text("handshake.handshake_complete")).alias("n_complete"),
+    )
+    known = F.col("n_tls_version").isNotNull() & F.col("n_cipher_suite").isNotNull() & F.col("n_key_exchange").isNotNull()
+    config = ids.tls_config_fingerprint(F.col("n_tls_version"), F.col("n_cipher_suite"), F.col("n_key_exchange"))
+    # The server name counts only when the whole negotiated configuration is known.
+    return first.withColumns({"n_config": F.when(known, config), "n_sni": F.when(known, F.col("n_sni"))})
 
 
 def host_entry() -> Column:
-    ip = N.stored_ip("server_ip")
+    ip = F.col("n_ip")
     return _entry("shared_host", DIRECT, F.concat(F.lit("host|"), ip), ip=ip)
 
 
 def endpoint_entry() -> Column:
-    ip, port = N.stored_ip("server_ip"), N.normalize_port("server_port")
+    ip, port = F.col("n_ip"), F.col("n_port")
     key = F.concat(F.lit("endpoint|"), ip, F.lit("|"), port.cast("string"))
     return _entry("shared_endpoint", DIRECT, key, ip=ip, port=port)
 
 
 def protocol_entry() -> Column:
-    protocol = N.normalize_protocol("protocol")
+    protocol = F.col("n_protocol")
     return _entry("shared_protocol", DERIVED, F.concat(F.lit("protocol|"), protocol), protocol=protocol)
 
 
-def _tokens() -> tuple[Column, Column, Column]:
-    return tuple(N.normalize_token(f"handshake.{n}") for n in ("tls_version", "cipher_suite", "key_exchange"))
-
-
 def tls_config_entry() -> Column:
-    version, cipher, exchange = _tokens()
-    config = F.when(
-        version.isNotNull() & cipher.isNotNull() & exchange.isNotNull(),
-        ids.tls_config_fingerprint(version, cipher, exchange),
-    )
     return _entry(
-        "shared_tls_configuration", DIRECT, F.concat(F.lit("tls-config|"), config), tls_version=version,
-        cipher_suite=cipher, key_exchange=exchange, config_fingerprint=config,
+        "shared_tls_configuration", DIRECT, F.concat(F.lit("tls-config|"), F.col("n_config")), tls_version=F.col("n_tls_version"),
+        cipher_suite=F.col("n_cipher_suite"), key_exchange=F.col("n_key_exchange"), config_fingerprint=F.col("n_config"),
     )
 
 
 def sni_entry() -> Column:
-    """The server name counts only when the whole negotiated configuration is known."""
-    version, cipher, exchange = _tokens()
-    known = version.isNotNull() & cipher.isNotNull() & exchange.isNotNull()
-    sni = F.when(known, N.normalize_hostname("handshake.sni_server_name"))
     return _entry(
-        "shared_evidence", DERIVED, F.concat(F.lit("sni|"), sni), subtype=F.lit("server_name_indication"),
-        server_name=sni,
+        "shared_evidence", DERIVED, F.concat(F.lit("sni|"), F.col("n_sni")), subtype=F.lit("server_name_indication"),
+        server_name=F.col("n_sni"),
     )
 
 
 def session_pattern_entry() -> Column:
-    protocol = F.coalesce(N.normalize_protocol("protocol"), F.lit("unknown"))
-    version = F.coalesce(N.normalize_token("handshake.tls_version"), F.lit("none"))
-    implicit = labels.python_bool_text("implicit_tls")
-    state = labels.starttls_state("starttls")
-    complete = labels.python_bool_text("handshake.handshake_complete")
-    complete_key = F.when(F.col("handshake").isNull(), F.lit("none")).otherwise(complete)
+    protocol = F.coalesce("n_protocol", F.lit("unknown"))
+    version = F.coalesce("n_tls_version", F.lit("none"))
+    known = lambda c: F.nullif(F.col(c), F.lit("None"))
     key = F.concat(
-        F.lit("session-pattern|"), protocol, F.lit("|implicit="), implicit, F.lit("|starttls="), state,
-        F.lit("|tls="), version, F.lit("|complete="), complete_key,
+        F.lit("session-pattern|"), protocol, F.lit("|implicit="), "n_implicit", F.lit("|starttls="), "n_starttls",
+        F.lit("|tls="), version, F.lit("|complete="), F.coalesce("n_complete", F.lit("none")),
     )
     return _entry(
-        "repeated_session_pattern", DERIVED, key, protocol=protocol,
-        implicit_tls=F.when(F.col("implicit_tls").isNotNull(), implicit), starttls=state, tls_version=version,
-        handshake_complete=F.when(F.col("handshake.handshake_complete").isNotNull(), complete),
+        "repeated_session_pattern", DERIVED, key, protocol=protocol, implicit_tls=known("n_implicit"), starttls=F.col("n_starttls"),
+        tls_version=version, handshake_complete=known("n_complete"),
     )
 
 
 def certificate_entry(c: Column) -> Column:
-    fingerprint = N.normalize_fingerprint(c["fingerprint_sha256"])
     return _entry(
-        "shared_certificate", DIRECT, F.concat(F.lit("certificate|"), fingerprint), fingerprint_sha256=fingerprint,
+        "shared_certificate", DIRECT, F.concat(F.lit("certificate|"), c["fingerprint"]), fingerprint_sha256=c["fingerprint"],
         subject=c["subject"], issuer=c["issuer"],
     )
 
 
 def subject_entry(c: Column) -> Column:
-    subject = N.normalize_subject(c["subject"])
-    return _entry(
-        "shared_certificate_subject", DERIVED, F.concat(F.lit("certificate-subject|"), subject), subject=subject
-    )
+    key = F.concat(F.lit("certificate-subject|"), c["n_subject"])
+    return _entry("shared_certificate_subject", DERIVED, key, subject=c["n_subject"])
 
 
 def issuer_entry(c: Column) -> Column:
-    issuer = N.normalize_subject(c["issuer"])
-    return _entry(
-        "shared_evidence", DERIVED, F.concat(F.lit("certificate-issuer|"), issuer),
-        subtype=F.lit("certificate_issuer"), issuer=issuer,
-    )
+    key = F.concat(F.lit("certificate-issuer|"), c["n_issuer"])
+    return _entry("shared_evidence", DERIVED, key, subtype=F.lit("certificate_issuer"), issuer=c["n_issuer"])
 
 
 SESSION_ENTRIES = {
@@ -146,13 +146,13 @@ def index_sessions(sessions: DataFrame, which: tuple[str, ...] | None = None) ->
     def build() -> Column:
         own = F.array(*[SESSION_ENTRIES[n]() for n in wanted if n in SESSION_ENTRIES])
         parts = [own] if any(n in SESSION_ENTRIES for n in wanted) else []
-        parts += [F.transform("certificates", CERTIFICATE_ENTRIES[n]) for n in wanted if n in CERTIFICATE_ENTRIES]
-        return F.array_compact(F.concat(*parts))
+        parts += [F.transform("n_chain", CERTIFICATE_ENTRIES[n]) for n in wanted if n in CERTIFICATE_ENTRIES]
+        return F.concat(*parts)
 
-    return sessions.select(
+    return _usable(normalised(sessions).select(
         "capture_id", "session_id", F.lit("").alias("finding_id"), F.lit("").alias("anomaly_id"),
         F.col("started_at").alias("observed_at"), F.explode(memo(("index", wanted), build)).alias("e"),
-    ).select("capture_id", "session_id", "finding_id", "anomaly_id", "observed_at", "e.*")
+    ).select("capture_id", "session_id", "finding_id", "anomaly_id", "observed_at", "e.*"))
 
 
 def index_findings(findings: DataFrame) -> DataFrame:
@@ -162,20 +162,20 @@ def index_findings(findings: DataFrame) -> DataFrame:
         "shared_finding", DIRECT, F.when(usable, F.concat(F.lit("finding-rule|"), F.lower(rule))),
         rule_id=F.col("rule_id"), severity=F.col("severity"),
     )
-    return findings.select(
+    return _usable(findings.select(
         "capture_id", F.coalesce("session_id", F.lit("")).alias("session_id"), "finding_id",
         F.lit("").alias("anomaly_id"), F.col("detected_at").alias("observed_at"), entry.alias("e"),
-    ).where("e IS NOT NULL").select("capture_id", "session_id", "finding_id", "anomaly_id", "observed_at", "e.*")
+    ).select("capture_id", "session_id", "finding_id", "anomaly_id", "observed_at", "e.*"))
 
 
 def index_anomalies(anomalies: DataFrame) -> DataFrame:
     band = F.lower(F.trim(F.coalesce("band", "status")))
     flagged = F.when(band.isin(*V.FLAGGED_BANDS), band)
     entry = _entry("shared_anomaly_pattern", DERIVED, F.concat(F.lit("anomaly-band|"), flagged), band=flagged)
-    return anomalies.select(
+    return _usable(anomalies.select(
         "capture_id", "session_id", F.lit("").alias("finding_id"), "anomaly_id",
         F.lit(None).cast("timestamp").alias("observed_at"), entry.alias("e"),
-    ).where("e IS NOT NULL").select("capture_id", "session_id", "finding_id", "anomaly_id", "observed_at", "e.*")
+    ).select("capture_id", "session_id", "finding_id", "anomaly_id", "observed_at", "e.*"))
 
 
 def index_union(sessions: DataFrame, findings: DataFrame, anomalies: DataFrame, case_captures: DataFrame) -> DataFrame:
