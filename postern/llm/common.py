@@ -62,3 +62,16 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def binary_view(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """Arrow binary array over contiguous bytes, without a copy."""
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
+
+
+def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """Written once, split by ``key``: later joins and cogroups on it move only their other side."""
+    spark = df.sparkSession
+    label = f"llm_{name}_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", new_folder(spark, name)).option("compression", "zstd").saveAsTable(label)
+    return spark.table(label)
+
+
+def input_blocks(docs: DataFrame) -> int:
+    """How many blocks a table is worked on in: follows its input splits, and the session's shuffle partitions where those are more."""
+    return max(docs.select("doc_id").rdd.getNumPartitions(), block_count(docs.sparkSession))

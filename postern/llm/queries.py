@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postern.llm import bpe, embedding_dedup, hmm, html_text, mixing, token_files, topk, toxicity
+from postern.llm import bpe, embedding_dedup, hmm, html_text, mixing, suffix_dedup, token_files, topk, toxicity
 from postern.llm.common import block_count, table
 
 
@@ -41,6 +41,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(table(spark, sf_dir, "documents"), vocabulary_path(), block_count(spark))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -57,6 +62,7 @@ QUERIES = {
     "op5_hmm": op5_hmm,
     "op6_html": op6_html,
     "op7_token_files": op7_token_files,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
 }
