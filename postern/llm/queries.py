@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postern.llm import bpe, embedding_dedup, hmm, html_text, mixing, suffix_dedup, token_files, topk, toxicity
+from postern.llm import bpe, embedding_dedup, hmm, html_text, mixing, ngram_join, suffix_dedup, token_files, topk, toxicity
 from postern.llm.common import block_count, table
 
 
@@ -20,6 +20,10 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), n=3, threshold=(90, 100))
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
@@ -57,6 +61,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_topk": op1_topk,
+    "op2_ngram_join": op2_ngram_join,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_mixing": op4_mixing,
     "op5_hmm": op5_hmm,

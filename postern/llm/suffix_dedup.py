@@ -327,17 +327,24 @@ def cleaned(texts: pa.Table, ranges: pa.Table, text_form: bool) -> pa.Table:
     own = [kept[x:y] for x, y in zip(ka.tolist(), kb.tolist(), strict=True)]
     columns = {"row": pa.array(block.row), "doc_id": block.table["doc_id"], "n_bytes": pa.array(b - a), "n_removed": pa.array(removed), "n_spans": pa.array(spans)}
     if text_form:
-        return pa.table(columns | {"kept": pa.array([x.decode("utf-8", "ignore") for x in own], pa.string())})
+        kept = pa.array([x.decode("utf-8", "ignore") for x in own], pa.string())
+        return pa.table(columns | {"kept": kept, "rest": block.table["rest"]})
     return pa.table(columns | {"kept": pa.array([hashlib.sha256(x).hexdigest() for x in own], pa.string())})
 
 
 def remove_repeats(docs: DataFrame, text_form: bool = False) -> DataFrame:
-    """row, doc_id, n_bytes, n_removed, n_spans, kept (the remaining text, or its SHA-256) of each row; row as in ``numbered_rows``."""
+    """row, doc_id, n_bytes, n_removed, n_spans, kept (the remaining text, or its SHA-256) of each row.
+
+    The text form also carries the other columns, in the struct ``rest``.
+    """
     n = input_blocks(docs)
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    laid = numbered_rows(docs).select("row", F.pmod(F.xxhash64("row"), F.lit(2 * n)).cast("int").alias("block"), F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
+    carried = [c for c in docs.columns if c != "text"] if text_form else []
+    laid = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), *([F.struct(*carried, F.col("text").isNull().alias("_no_text")).alias("rest")] if text_form else [])
+    ).withColumn("block", F.pmod(F.xxhash64("row"), F.lit(2 * n)).cast("int"))
     texts = bucketed(laid, "block", n, "texts")
-    by_block = texts.groupBy("block")
+    by_block = texts.select("row", "block", "doc_id", "text").groupBy("block")
     found = written(by_block.applyInArrow(chunk_rows, "digest binary, block int, row bigint, doc bigint, s int, e int"), "chunks")
     first = found.groupBy("digest").agg(F.min("doc").alias("first"))
     placed = written(found.join(first, "digest").select("block", "row", "s", "e", (F.col("doc") > F.col("first")).alias("later")), "chunk-ranges")
@@ -352,20 +359,20 @@ def remove_repeats(docs: DataFrame, text_form: bool = False) -> DataFrame:
     by_suffix = around.where("bucket >= 0").groupBy("bucket").applyInArrow(matched, "block int, row bigint, s int, e int")
     ranges = placed.where("later").drop("later").union(around.where("bucket < 0").select("block", "row", "s", "e")).union(by_suffix)
     schema = "row bigint, doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept string"
+    if text_form:
+        schema += f", rest {texts.schema['rest'].dataType.simpleString()}"
+        by_block = texts.groupBy("block")
     return by_block.cogroup(ranges.groupBy("block")).applyInArrow(lambda t, r: cleaned(t, r, text_form), schema)
 
 
-def numbered_rows(docs: DataFrame) -> DataFrame:
-    """A number for every row, the same whenever the same files are read."""
-    return docs.withColumn("row", F.monotonically_increasing_id())
-
-
 def documents_without_repeats(docs: DataFrame) -> DataFrame:
     """All columns of the documents, their texts without later copies; n_chars follows the text."""
-    rest = remove_repeats(docs, text_form=True).select("row", "n_removed", "kept")
-    joined = numbered_rows(docs).join(rest, "row")
+    done = remove_repeats(docs, text_form=True)
     changed = F.col("n_removed") > 0
-    values = {"text": F.when(changed, F.col("kept")).otherwise(F.col("text"))}
-    if "n_chars" in docs.columns:
-        values["n_chars"] = F.when(changed, F.length("kept").cast("bigint")).otherwise(F.col("n_chars"))
-    return joined.select(*[values[c].alias(c) if c in values else F.col(c) for c in docs.columns])
+    columns = []
+    for c in docs.columns:
+        value = F.col("rest").getField(c) if c != "text" else F.when(F.col("rest").getField("_no_text"), None).otherwise(F.col("kept"))
+        if c == "n_chars":
+            value = F.when(changed, F.length("kept").cast("bigint")).otherwise(value)
+        columns.append(value.alias(c))
+    return done.select(*columns)
