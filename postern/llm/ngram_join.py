@@ -15,7 +15,8 @@ Groups depend on the size class of the set; a set near a class boundary is index
 in both classes. Sets of fewer than 16 tokens use single tokens only. The list of
 frequent tokens is bounded (``FREQUENT``); it decides cost, never the result.
 
-Candidates are verified exactly, without all pairs of a group: in each index entry
+Candidates are verified exactly (sizes and parity bitmaps rule out most of the
+others before whole sets are compared), without all pairs of a group: in each index entry
 the members meet the entry's centres only, and only where their components
 differ; entries whose members are one component are done. Rounds take ever more
 centres until every pair of an entry is linked through its component or verified.
@@ -45,6 +46,7 @@ FREQUENT, FREQUENT_FROM = 65_536, 32
 SMALL_CLASS = 4  # sets below 2**4 tokens
 GROUP = 4  # tokens of a set in each group, on average
 SPARE = 4
+BITS = 2048
 
 
 def token_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -122,27 +124,37 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, threshold: tuple[int, i
                 if not len(pairs):
                     break
                 out.append(mixed(mixed(often[pairs] + salt) * np.uint64(0x9DDFEA08EB382D69) + often[pairs + gap]))
-    return np.concatenate(out)
+    return distinct(np.concatenate(out))
 
 
-def described(docs: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
-    """row, doc_id, n_shingles, digest of the set, its least tokens (where prefixes come from)."""
+def distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+
+
+def parity_bits(tokens: np.ndarray) -> bytes:
+    """BITS bits, each the parity of the tokens that fall on it: two sets differ in at least as many tokens as bits."""
+    return np.packbits(np.bincount((mixed(tokens) >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1).tobytes()
+
+
+def described(texts: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
+    """row, doc_id, n_shingles, digest of the set, its least tokens (where prefixes come from), its parity bits."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in text_slices(batch):
-                sizes, digests, heads = [], [], []
+                sizes, digests, heads, bits = [], [], [], []
                 for tokens in token_sets(data, offsets, n):
                     need = missing(len(tokens), threshold) + 1
                     sizes.append(len(tokens))
                     digests.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
                     heads.append(tokens[: need + need // 4 + SPARE].view(np.int64))
+                    bits.append(parity_bits(tokens))
                 ends = np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32)
                 head = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads) if heads else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([rows.column("row"), rows.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), head], ["row", "doc_id", "n_shingles", "digest", "head"])
+                yield pa.RecordBatch.from_arrays([rows.column("row"), rows.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), head, pa.array(bits, pa.binary())], ["row", "doc_id", "n_shingles", "digest", "head", "bits"])
 
-    narrow = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return written(narrow.mapInArrow(describe, "row bigint, doc_id bigint, n_shingles bigint, digest binary, head array<bigint>"), "sets")
+    return written(texts.mapInArrow(describe, "row bigint, doc_id bigint, n_shingles bigint, digest binary, head array<bigint>, bits binary"), "sets")
 
 
 def frequent_tokens(classes: DataFrame) -> np.ndarray:
@@ -152,9 +164,9 @@ def frequent_tokens(classes: DataFrame) -> np.ndarray:
     return np.sort(np.array([r[0] for r in top], dtype=np.int64).view(np.uint64))
 
 
-def index_rows(docs: DataFrame, classes: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
+def index_rows(texts: DataFrame, classes: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
     """(key, rep) of every class. Heads suffice unless frequent tokens use them up; those sets are built from their texts again."""
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(classes))
+    frequent = texts.sparkSession.sparkContext.broadcast(frequent_tokens(classes))
 
     def short(tokens: np.ndarray, size: int) -> bool:
         """Whether the head holds fewer rare tokens than a prefix needs."""
@@ -166,7 +178,7 @@ def index_rows(docs: DataFrame, classes: DataFrame, n: int, threshold: tuple[int
 
     def from_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            heads, sizes, reps, rows = batch.column("head"), batch.column("n_shingles").to_numpy(), batch.column("rep").to_numpy(), batch.column("row").to_numpy()
+            heads, sizes, reps = batch.column("head"), batch.column("n_shingles").to_numpy(), batch.column("rep").to_numpy()
             keys, owners, again = [], [], []
             for k, size in enumerate(sizes.tolist()):
                 tokens = heads[k].values.to_numpy().view(np.uint64)
@@ -178,20 +190,19 @@ def index_rows(docs: DataFrame, classes: DataFrame, n: int, threshold: tuple[int
                 owners.append(np.full(len(own), reps[k]))
             key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([key, np.zeros(len(again), np.int64)])), pa.array(np.concatenate([*owners, reps[again]]).astype(np.int64)), pa.array([None] * len(key) + rows[again].tolist(), pa.int64())], ["key", "rep", "again"]
+                [pa.array(np.concatenate([key, np.zeros(len(again), np.int64)])), pa.array(np.concatenate([*owners, reps[again]]).astype(np.int64)), pa.array(np.arange(len(key) + len(again)) >= len(key))], ["key", "rep", "again"]
             )
 
     def from_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in text_slices(batch):
-                for tokens, rep in zip(token_sets(data, offsets, n), rows.column("rep").to_pylist(), strict=True):
+                for tokens, rep in zip(token_sets(data, offsets, n), rows.column("row").to_pylist(), strict=True):
                     own = signatures(tokens, frequent.value, threshold)
                     yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.full(len(own), rep))], ["key", "rep"])
 
-    first = written(classes.where("n_shingles > 0").mapInArrow(from_heads, "key bigint, rep bigint, again bigint"), "index")
-    again = first.where("again IS NOT NULL").select(F.col("again").alias("row"), "rep")
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), "text").join(again, "row").select("text", "rep")
-    keys = first.where("again IS NULL").select("key", "rep").union(texts.mapInArrow(from_texts, "key bigint, rep bigint")).distinct()
+    first = written(classes.where("n_shingles > 0").mapInArrow(from_heads, "key bigint, rep bigint, again boolean"), "index")
+    again = texts.join(first.where("again").select(F.col("rep").alias("row")), "row", "left_semi").select("row", "doc_id", "text")
+    keys = first.where("NOT again").select("key", "rep").union(written(again.mapInArrow(from_texts, "key bigint, rep bigint"), "index"))
     several = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     return written(keys.join(several, "key"), "index")
 
@@ -206,27 +217,36 @@ def signatures_of_head(head: np.ndarray, size: int, frequent: np.ndarray, thresh
         at = np.minimum(np.searchsorted(frequent, head), len(frequent) - 1)
         head = head[frequent[at] != head]
     classes = {size_class(-(-part * size // whole)), size_class(size), size_class(whole * size // part)}
-    return np.concatenate([mixed(head[:need] + class_salt(c)) for c in classes])
+    return distinct(np.concatenate([mixed(head[:need] + class_salt(c)) for c in classes]))
 
 
-def stored_sets(docs: DataFrame, classes: DataFrame, index: DataFrame, n: int) -> DataFrame:
-    """(rep, tokens binary) of the classes that the index still holds, split by rep."""
-    wanted = index.select("rep").distinct().join(classes.select("rep", "row"), "rep")
+def likely(pairs: DataFrame, bits: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs that sizes and parity bits do not rule out."""
+    part, whole = threshold
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in text_slices(batch):
-                sets = [t.tobytes() for t in token_sets(data, offsets, n)]
-                yield pa.RecordBatch.from_arrays([rows.column("rep"), pa.array(sets, pa.binary())], ["rep", "tokens"])
+            size_a, size_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+            bits_a, bits_b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("bits_a", "bits_b"))
+            apart = np.bitwise_count(bits_a ^ bits_b).sum(axis=1, dtype=np.int64)
+            good = (whole * np.minimum(size_a, size_b) >= part * np.maximum(size_a, size_b)) & (apart * (whole + part) <= (size_a + size_b) * (whole - part))
+            mask = pa.array(good)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), "text").join(wanted, "row").select("text", "rep")
-    return bucketed(texts.mapInArrow(build, "rep bigint, tokens binary"), "rep", input_blocks(docs), "sets")
+    side = lambda x: bits.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    near = pairs.join(side("b").select("b", "n_b", "bits_b"), "b").join(side("a"), "a")
+    return near.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(test, "a bigint, b bigint")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """The linked ones of (a, b)."""
+def verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
+    """The linked ones of (a, b), from the whole sets."""
     part, whole = threshold
 
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in text_slices(batch):
+                yield pa.RecordBatch.from_arrays([rows.column("row"), pa.array([t.tobytes() for t in token_sets(data, offsets, n)], pa.binary())], ["rep", "tokens"])
+
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -239,19 +259,20 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> D
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
+    wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    sets = written(texts.join(wanted, "row", "left_semi").select("row", "text").mapInArrow(build, "rep bigint, tokens binary"), "tokens")
     with_b = pairs.join(sets.select(F.col("rep").alias("b"), F.col("tokens").alias("tokens_b")), "b")
     with_both = with_b.join(sets.select(F.col("rep").alias("a"), F.col("tokens").alias("tokens_a")), "a")
-    # no length filter is lost: sets too different in size fail the test itself
     return with_both.select("a", "b", "tokens_a", "tokens_b").mapInArrow(test, "a bigint, b bigint")
 
 
-def class_links(docs: DataFrame, classes: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
+def class_links(texts: DataFrame, classes: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
     """Links (a, b) between classes that join all that are linked, directly or not."""
-    index = index_rows(docs, classes, n, threshold)
-    links = docs.sparkSession.createDataFrame([], "a bigint, b bigint")
+    index = index_rows(texts, classes, n, threshold)
+    links = texts.sparkSession.createDataFrame([], "a bigint, b bigint")
     if index.isEmpty():
         return links
-    sets = stored_sets(docs, classes, index, n)
+    bits = classes.select("rep", "n_shingles", "bits")
     checked = None
     centres = 1
     active = index.select("key", "rep", F.col("rep").alias("component"))
@@ -265,8 +286,9 @@ def class_links(docs: DataFrame, classes: DataFrame, n: int, threshold: tuple[in
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
-        found = written(verified(pairs, sets, threshold), "links")
-        links = written(links.union(found), "links")
+        close = written(likely(pairs, bits, threshold), "pairs")
+        if not close.isEmpty():
+            links = written(links.union(verified(close, texts, n, threshold)), "links")
         checked = pairs if checked is None else written(checked.union(pairs), "pairs")
         group = components(links)
         # the centres have met all members of their entries
@@ -281,20 +303,19 @@ def class_links(docs: DataFrame, classes: DataFrame, n: int, threshold: tuple[in
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; threshold as a fraction."""
-    whole = described(docs, n, threshold)
-    # one row for each distinct set: its least doc_id and the row of that document
+    laid = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    texts = bucketed(laid, "row", input_blocks(docs), "texts")
+    whole = described(texts, n, threshold)
+    # one row for each distinct set: the row of its least doc_id stands for it
     named = whole.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = named.groupBy("digest").agg(F.min(F.struct("doc_id", "row", "n_shingles", "head")).alias("x"))
-    classes = written(classes.select("digest", F.col("x.doc_id").alias("rep"), F.col("x.row").alias("row"), F.col("x.n_shingles").alias("n_shingles"), F.col("x.head").alias("head")), "classes")
-    # a doc_id that is repeated with other texts represents several classes: index each under a number of its own
-    numbered = written(classes.select(F.monotonically_increasing_id().alias("number"), "rep", "digest"), "class-numbers")
-    work = classes.join(numbered.select("digest", "number"), "digest").select(F.col("number").alias("rep"), "row", "n_shingles", "head")
-    found = class_links(docs, work, n, threshold)
-    names = numbered.select("number", "rep")
-    between = found.join(names.withColumnRenamed("number", "a").withColumnRenamed("rep", "x"), "a").join(names.withColumnRenamed("number", "b").withColumnRenamed("rep", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    inside = named.select("doc_id", "digest").join(classes.select("digest", "rep"), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    classes = named.groupBy("digest").agg(F.min(F.struct("doc_id", "row", "n_shingles", "head", "bits")).alias("x"))
+    classes = written(classes.select("digest", F.col("x.doc_id").alias("least"), F.col("x.row").alias("rep"), F.col("x.n_shingles").alias("n_shingles"), F.col("x.head").alias("head"), F.col("x.bits").alias("bits")), "classes")
+    found = class_links(texts, classes, n, threshold)
+    names = classes.select("rep", "least")
+    between = found.join(names.withColumnRenamed("rep", "a").withColumnRenamed("least", "x"), "a").join(names.withColumnRenamed("rep", "b").withColumnRenamed("least", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    inside = named.select("doc_id", "digest").join(classes.select("digest", "least"), "digest").where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
     group = components(between.union(inside))
-    return whole.join(group, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return whole.select("doc_id", "n_shingles").join(group, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
