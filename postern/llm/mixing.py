@@ -118,9 +118,9 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, r
 
 def mixed_documents(docs: DataFrame, partitions: int, weights: DataFrame | None = None) -> DataFrame:
     """All documents, written in the order of the mix: range partitioned and sorted by position."""
-    columns = docs.columns
-    laid = mix(docs, weights, carried=columns)
-    return laid.repartitionByRange(partitions, "position").sortWithinPartitions("position").select(*columns)
+    whole = docs.select(F.struct(*docs.columns).alias("mix_document"), "doc_id", "source")
+    laid = mix(whole, weights, carried=["mix_document"])
+    return laid.repartitionByRange(partitions, "position").sortWithinPartitions("position").select("mix_document.*")
 
 
 MIX_SQL = f"""

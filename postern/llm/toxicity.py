@@ -337,7 +337,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> bytes:
         network = train(whole["text"].to_pylist(), whole["toxic"].to_numpy()) if whole else None
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(network)], pa.binary())], ["network"])
 
-    return bytes(rows.mapInArrow(learn, "network binary").first()[0])
+    found = rows.mapInArrow(learn, "network binary").first()
+    return bytes(found[0]) if found else pickle.dumps(None)
 
 
 def score(docs: DataFrame, network: bytes) -> DataFrame:
