@@ -36,7 +36,7 @@ def numbered(docs: DataFrame, carried: list[str]) -> DataFrame:
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     keyed = docs.select(*carried, F.coalesce("source", F.lit("")).alias("mix_source"), digest.alias("mix_digest"))
     keyed = keyed.withColumn("mix_slice", F.substring("mix_digest", 1, 3))
-    order = W.partitionBy("mix_source", "mix_slice").orderBy("mix_digest", "doc_id")
+    order = W.partitionBy("mix_source", "mix_slice").orderBy("mix_digest")
     sizes = keyed.groupBy("mix_source", "mix_slice").agg(F.count("*").alias("mix_n"))
     carry = sizes.select("mix_source", "mix_slice", (F.sum("mix_n").over(W.partitionBy("mix_source").orderBy("mix_slice")) - F.col("mix_n")).alias("mix_carry"))
     return keyed.withColumn("mix_row", F.row_number().over(order)).join(carry, ["mix_source", "mix_slice"]).withColumn(
