@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postern.llm import bpe, embedding_dedup, hmm, html_text, mixing, ngram_join, suffix_dedup, token_files, topk, toxicity
 from postern.llm.common import block_count, table
+from postern.llm.oracle import ORACLE  # noqa: F401
 
 
 def vocabulary_path() -> str:
@@ -71,4 +72,3 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
 }
-ORACLE: dict[str, str] = {"op4_mixing": mixing.MIX_SQL}
