@@ -74,7 +74,7 @@ FROM captures c LEFT JOIN analysis a USING (capture_id) LEFT JOIN (SELECT captur
     "sessions_by_capture": f"SELECT {S} FROM sessions SEMI JOIN case_captures USING (capture_id)",
     "findings_by_capture": f"SELECT {FND} FROM findings SEMI JOIN case_captures USING (capture_id)",
     "findings_by_session": f"SELECT {FND} FROM findings WHERE session_id IN (SELECT target_id FROM notes WHERE target_type = 'session')",
-    "finding_by_id": f"SELECT {FND} FROM findings WHERE finding_id IN (SELECT target_id FROM remediations)",
+    "finding_by_id": f"SELECT {FND} FROM findings SEMI JOIN (SELECT DISTINCT target_id AS finding_id FROM remediations) USING (finding_id)",
     "anomalies_by_capture": "SELECT * FROM anomalies SEMI JOIN case_captures USING (capture_id)",
     "anomaly_by_session": "SELECT * FROM anomalies WHERE session_id IN (SELECT target_id FROM notes WHERE target_type = 'session')",
     "anomaly_by_id": "SELECT * FROM anomalies WHERE session_id IN (SELECT session_id FROM findings WHERE severity = 'critical')",

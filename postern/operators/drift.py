@@ -186,11 +186,11 @@ def trace(chain_: DataFrame, pairs_: DataFrame, findings: DataFrame, sessions: D
     anchors = pairs_.where(F.col("anchor_pos") < F.col("later_pos") - 1).select("case_id", "anchor_capture_id", "anchor_pos").distinct()
     steps = chain_.join(anchors, "case_id").where(F.col("pos") >= F.col("anchor_pos")).withColumnRenamed("capture_id", "observed_capture_id")
     present = findings.select(F.col("capture_id").alias("observed_capture_id"), "rule_id").distinct()
-    rules = steps.join(present, "observed_capture_id").select("case_id", "rule_id").distinct()
-    dense = steps.join(rules, "case_id").join(present.withColumn("present", F.lit(True)), ["observed_capture_id", "rule_id"], "left")
+    rules = steps.join(present, "observed_capture_id").select("case_id", "anchor_capture_id", "rule_id").distinct()
+    dense = steps.join(rules, ["case_id", "anchor_capture_id"]).join(present.withColumn("present", F.lit(True)), ["observed_capture_id", "rule_id"], "left")
     dense = dense.withColumn("present", F.coalesce("present", F.lit(False)))
     judged = comparability(steps, dense, findings, sessions)
-    key = W.partitionBy("case_id", "rule_id").orderBy("pos")
+    key = W.partitionBy("case_id", "anchor_capture_id", "rule_id").orderBy("pos")
     before = key.rowsBetween(W.unboundedPreceding, -1)
     seen = F.coalesce(F.max("present").over(before), F.lit(False))
     rows = judged.withColumn("seen_before", seen).withColumn(
@@ -234,10 +234,11 @@ def finding_lifecycle(chain_, pairs_, findings, sessions) -> DataFrame:
 
 def absent_captures(lifecycle: DataFrame, trace_: DataFrame) -> DataFrame:
     """For recurred rules: the comparable captures in between that lacked the rule."""
-    recurred = lifecycle.where(F.col("lifecycle") == "recurred").select("case_id", "rule_id", "anchor_pos", "later_pos")
-    t = trace_.where(~F.col("present") & F.col("comparable")).select("case_id", "rule_id", "pos", "observed_capture_id")
-    between = recurred.join(t, ["case_id", "rule_id"]).where((F.col("pos") > F.col("anchor_pos")) & (F.col("pos") < F.col("later_pos")))
-    return between.groupBy("case_id", "rule_id", "later_pos").agg(
+    key = ["case_id", "anchor_capture_id", "rule_id"]
+    recurred = lifecycle.where(F.col("lifecycle") == "recurred").select(*key, "anchor_pos", "later_pos")
+    t = trace_.where(~F.col("present") & F.col("comparable")).select(*key, "pos", "observed_capture_id")
+    between = recurred.join(t, key).where((F.col("pos") > F.col("anchor_pos")) & (F.col("pos") < F.col("later_pos")))
+    return between.groupBy(*key, "later_pos").agg(
         F.array_join(F.array_sort(F.collect_list("observed_capture_id")), ", ").alias("absent_in")
     )
 
@@ -272,7 +273,7 @@ def drift_posture(pairs_: DataFrame, posture: DataFrame) -> DataFrame:
 
 def drift_findings(lifecycle: DataFrame, trace_: DataFrame) -> DataFrame:
     rows = lifecycle.where(F.col("lifecycle").isin("new", "resolved", "recurred")).join(
-        absent_captures(lifecycle, trace_), ["case_id", "rule_id", "later_pos"], "left"
+        absent_captures(lifecycle, trace_), ["case_id", "anchor_capture_id", "rule_id", "later_pos"], "left"
     )
     kind = F.col("lifecycle")
     drift_type = F.when(kind == "new", "finding_introduced").when(kind == "resolved", "finding_resolved").otherwise("finding_recurred")

@@ -423,6 +423,9 @@ def session_hits(
     )
 
 
+DEFAULT_CATEGORY = "configuration"
+
+
 def evaluate(
     sessions: DataFrame, events: DataFrame | None = None, policy: Policy = Policy(),
     registry: RuleRegistry | None = None,
@@ -453,10 +456,11 @@ def evaluate(
         F.col("standard_name").isNotNull(),
         F.struct(F.col("standard_name").alias("name"), F.col("standard_url").alias("url")),
     )
-    return rows.join(F.broadcast(texts), ["rule_id", "variant"]).select(
+    # a rule registered without texts keeps its findings: default category, nothing expected, no remediation
+    return rows.join(F.broadcast(texts), ["rule_id", "variant"], "left").select(
         "finding_id", "capture_id", "session_id", "protocol", "server_ip", "server_port", "rule_id", "title",
         F.concat_ws(": ", "title", "detail").alias("description"),
-        "severity", "confidence", "category", "observed_value",
+        "severity", "confidence", F.coalesce("category", F.lit(DEFAULT_CATEGORY)).alias("category"), "observed_value",
         F.coalesce("own_expected", filled("expected")).alias("expected_value"),
         remediation.alias("remediation"), standard.alias("standard_reference"), "evidence_refs",
         F.array_min(packets).alias("first_packet"), F.array_max(packets).alias("last_packet"),

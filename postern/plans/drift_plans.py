@@ -227,7 +227,8 @@ def join_rule_in_candidates(w):
 
 @query("verification_eligibility")
 def verification_eligibility(w):
-    every = w.remediations.select("remediation_id", "case_id").join(w.captures.select(F.col("capture_id").alias("target_capture_id")))
+    attached = w.case_captures.select("case_id", F.col("capture_id").alias("target_capture_id"))  # no other capture can be eligible
+    every = w.remediations.select("remediation_id", "case_id").join(attached, "case_id")
     return X.eligible(every, w.case_captures, w.captures, w.analysis).select("remediation_id", "case_id", "target_capture_id")
 
 

@@ -59,11 +59,11 @@ def stream_capture_dedup(w):
 
 @query("sink_replace_capture")
 def sink_replace_capture(w):
-    """Write all findings, then replace them by themselves: the stored table is unchanged."""
+    """Write all findings, then replace every capture's by themselves: the stored table is unchanged."""
     path = f"{shared_folder(w.spark)}/replace-{uuid.uuid4().hex}"
     rows = w.findings.select("finding_id", "session_id", "rule_id", "severity", "capture_id")
     T.replace_captures(rows, path)
-    T.replace_captures(rows, path)
+    T.replace_captures(rows, path, w.captures)
     return T.scan(w.spark, path)
 
 

@@ -12,14 +12,24 @@ def scan(spark: SparkSession, path: str, captures: list[str] | None = None) -> D
     return table.where(F.col("capture_id").isin(*captures)) if captures else table
 
 
-def replace_captures(rows: DataFrame, path: str) -> None:
-    """Replace exactly the captures present in ``rows``; re-running leaves the same table.
+def replace_captures(rows: DataFrame, path: str, captures: DataFrame | None = None) -> None:
+    """Replace the rows of ``captures`` (capture_id), and of those present in ``rows``; re-running leaves the same table.
 
-    Rows are spread within a capture by hash before the write, so one very large
-    capture is written by many tasks.
+    A capture that was analysed again and has no rows now is emptied: its partition
+    folder goes after the write. Rows are spread within a capture by hash before
+    the write, so one very large capture is written by many tasks.
     """
     spread = rows.repartition("capture_id", F.pmod(F.xxhash64(*[c for c in rows.columns if c != "capture_id"][:1]), F.lit(16)))
     spread.write.partitionBy("capture_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    if captures is not None:
+        emptied = captures.select("capture_id").distinct().join(rows.select("capture_id"), "capture_id", "left_anti")
+        folder = _folder(rows.sparkSession, path)
+        for row in emptied.toLocalIterator():
+            folder.getFileSystem(rows.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(_folder(rows.sparkSession, f"{path}/capture_id={row[0]}"), True)
+
+
+def _folder(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
 
 
 def json_documents(rows: DataFrame) -> DataFrame:

@@ -168,3 +168,33 @@ def test_same_results_under_other_partitioning(spark):
     first = digest(rules.evaluate(e.sessions, e.session_events).drop("evidence_refs"))
     second = digest(rules.evaluate(e.sessions.repartition(13), e.session_events.repartition(3)).drop("evidence_refs"))
     assert first == second
+
+
+def test_findings_of_a_rule_without_texts_are_kept(spark):
+    sessions = spark.createDataFrame([GOLDEN["plain"][0]], SESSION)
+    registry = rules.RuleRegistry().register("OWN-001", lambda policy: rules.finding("OWN-001", "own", "info", "high", "none", F.array(rules._ref("SessionEvents", rules._none(), F.lit("seen")))))
+    rows = rules.evaluate(sessions, registry=registry).collect()
+    assert [(r.rule_id, r.category, r.remediation) for r in rows] == [("OWN-001", rules.DEFAULT_CATEGORY, None)]
+
+
+def test_replace_empties_captures_without_rows(spark, tmp_path):
+    from postern.sources import tables
+
+    schema = "finding_id string, capture_id string"
+    path = f"{tmp_path}/findings"
+    tables.replace_captures(spark.createDataFrame([("f1", "a"), ("f2", "b"), ("f3", "c")], schema), path)
+    again = spark.createDataFrame([("f4", "a")], schema)
+    tables.replace_captures(again, path, spark.createDataFrame([("a",), ("b",)], "capture_id string"))
+    assert {(r.finding_id, r.capture_id) for r in spark.read.parquet(path).collect()} == {("f4", "a"), ("f3", "c")}
+
+
+def test_lifecycle_keeps_anchors_apart(spark):
+    names, states = ["a", "b", "c", "d"], "paap"
+    ch = spark.createDataFrame([("k", n, p) for p, n in enumerate(names)], "case_id string, capture_id string, pos bigint")
+    se = spark.createDataFrame([(n, f"s{n}", "smtp", "10.0.0.1", 25) for n in names], "capture_id string, session_id string, protocol string, server_ip string, server_port int")
+    found = [(n, "R", f"f{n}", "high", "T", "smtp", "10.0.0.1", 25) for n, s in zip(names, states, strict=True) if s == "p"] + [(n, "OTHER", f"o{n}", "low", "O", "smtp", "10.0.0.1", 25) for n in names]
+    fi = spark.createDataFrame(found, "capture_id string, rule_id string, finding_id string, severity string, title string, protocol string, server_ip string, server_port int")
+    pairs = lambda *anchors: spark.createDataFrame([("k", "c", "d", 3, n, p) for n, p in anchors], "case_id string, previous_capture_id string, later_capture_id string, later_pos bigint, anchor_capture_id string, anchor_pos bigint")
+    lifecycle = lambda p: {r.anchor_capture_id: r.lifecycle for r in D.finding_lifecycle(ch, p, fi, se).where("rule_id = 'R'").collect()}
+    alone = lifecycle(pairs(("b", 1)))
+    assert lifecycle(pairs(("a", 0), ("b", 1)))["b"] == alone["b"] == "new"
