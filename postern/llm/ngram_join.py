@@ -47,6 +47,7 @@ SMALL_CLASS = 4  # sets below 2**4 tokens
 GROUP = 4  # tokens of a set in each group, on average
 SPARE = 4
 BITS = 2048
+STEP = 16  # how many times the centres of the round before
 
 
 def token_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -165,7 +166,7 @@ def frequent_tokens(classes: DataFrame) -> np.ndarray:
 
 
 def index_rows(texts: DataFrame, classes: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
-    """(key, rep) of every class. Heads suffice unless frequent tokens use them up; those sets are built from their texts again."""
+    """(key, rep, size) of every class. Heads suffice unless frequent tokens use them up; those sets are built from their texts again."""
     frequent = texts.sparkSession.sparkContext.broadcast(frequent_tokens(classes))
 
     def short(tokens: np.ndarray, size: int) -> bool:
@@ -187,10 +188,11 @@ def index_rows(texts: DataFrame, classes: DataFrame, n: int, threshold: tuple[in
                     continue
                 own = signatures_of_head(tokens, size, frequent.value, threshold)
                 keys.append(own.view(np.int64))
-                owners.append(np.full(len(own), reps[k]))
+                owners.append(np.full(len(own), k))
             key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+            owner = np.concatenate([*owners, again]).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([key, np.zeros(len(again), np.int64)])), pa.array(np.concatenate([*owners, reps[again]]).astype(np.int64)), pa.array(np.arange(len(key) + len(again)) >= len(key))], ["key", "rep", "again"]
+                [pa.array(np.concatenate([key, np.zeros(len(again), np.int64)])), pa.array(reps[owner]), pa.array(sizes[owner]), pa.array(np.arange(len(owner)) >= len(key))], ["key", "rep", "size", "again"]
             )
 
     def from_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,11 +200,11 @@ def index_rows(texts: DataFrame, classes: DataFrame, n: int, threshold: tuple[in
             for rows, data, offsets in text_slices(batch):
                 for tokens, rep in zip(token_sets(data, offsets, n), rows.column("row").to_pylist(), strict=True):
                     own = signatures(tokens, frequent.value, threshold)
-                    yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.full(len(own), rep))], ["key", "rep"])
+                    yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.full(len(own), rep)), pa.array(np.full(len(own), len(tokens)))], ["key", "rep", "size"])
 
-    first = written(classes.where("n_shingles > 0").mapInArrow(from_heads, "key bigint, rep bigint, again boolean"), "index")
+    first = written(classes.where("n_shingles > 0").mapInArrow(from_heads, "key bigint, rep bigint, size bigint, again boolean"), "index")
     again = texts.join(first.where("again").select(F.col("rep").alias("row")), "row", "left_semi").select("row", "doc_id", "text")
-    keys = first.where("NOT again").select("key", "rep").union(written(again.mapInArrow(from_texts, "key bigint, rep bigint"), "index"))
+    keys = first.where("NOT again").drop("again").union(written(again.mapInArrow(from_texts, "key bigint, rep bigint, size bigint"), "index"))
     several = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     return written(keys.join(several, "key"), "index")
 
@@ -273,32 +275,36 @@ def class_links(texts: DataFrame, classes: DataFrame, n: int, threshold: tuple[i
     if index.isEmpty():
         return links
     bits = classes.select("rep", "n_shingles", "bits")
+    part, whole = threshold
+    near = F.lit(whole) * F.least("size", "size_a") >= F.lit(part) * F.greatest("size", "size_a")
     checked = None
+    group = components(links)
     centres = 1
-    active = index.select("key", "rep", F.col("rep").alias("component"))
+    active = index.withColumn("component", F.col("rep"))
+    as_centre = [F.col("rep").alias("a"), F.col("component").alias("other"), F.col("size").alias("size_a")]
     while True:
-        place = F.row_number().over(W.partitionBy("key").orderBy("rep"))
         if centres == 1:
-            centre = active.groupBy("key").agg(F.min(F.struct("rep", "component")).alias("c")).select("key", F.col("c.rep").alias("a"), F.col("c.component").alias("other"))
+            centre = active.groupBy("key").agg(F.min_by(F.struct(*as_centre), "rep").alias("c")).select("key", "c.*")
         else:
-            centre = active.withColumn("place", place).where(F.col("place") <= centres).select("key", F.col("rep").alias("a"), F.col("component").alias("other"))
-        pairs = active.join(centre, "key").where("rep > a AND component <> other").select("a", F.col("rep").alias("b")).distinct()
+            place = F.row_number().over(W.partitionBy("key").orderBy("rep"))
+            centre = active.withColumn("place", place).where(F.col("place") <= centres).select("key", *as_centre)
+        pairs = active.join(centre, "key").where("rep > a AND component <> other").where(near).select("a", F.col("rep").alias("b")).distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
+        checked = pairs if checked is None else checked.union(pairs)
         close = written(likely(pairs, bits, threshold), "pairs")
         if not close.isEmpty():
             links = written(links.union(verified(close, texts, n, threshold)), "links")
-        checked = pairs if checked is None else written(checked.union(pairs), "pairs")
-        group = components(links)
+            group = components(links)
         # the centres have met all members of their entries
         left = active.drop("component").join(centre.select("key", F.col("a").alias("rep")), ["key", "rep"], "left_anti")
-        left = left.join(group.withColumnRenamed("node", "rep").withColumnRenamed("component_id", "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+        left = left.join(group.withColumnRenamed("node", "rep").withColumnRenamed("component_id", "component"), "rep", "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("component"))
         open_ = left.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
         active = written(left.join(open_, "key", "left_semi"), "index")
         if active.isEmpty():
             return links
-        centres *= 4
+        centres *= STEP
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
