@@ -30,6 +30,7 @@ SELECT session_id, feature, position, round(CASE WHEN std <= 1e-9 THEN 0 ELSE ro
 WHERE NOT (std <= 1e-9 AND abs(value - mean) <= 1e-9)
 UNION ALL SELECT session_id, feature, position, round(1 - n / total, 2) FROM category_rows JOIN (SELECT capture_id, protocol_group, feature, label, count(*) AS n FROM category_rows GROUP BY ALL) USING (capture_id, protocol_group, feature, label)
 JOIN (SELECT capture_id, protocol_group, count(*) AS total FROM features GROUP BY ALL) USING (capture_id, protocol_group)"""
+CTES["enough"] = "SELECT session_id FROM features JOIN (SELECT capture_id, protocol_group FROM features GROUP BY ALL HAVING count(*) >= 8) USING (capture_id, protocol_group)"
 SCORE = "round_even(100 / (1 + exp((l_extendedprice - 50000) / 200000 * 20)), 0)"
 BODIES = {
     "session_features": "SELECT * EXCLUDE (certificate_min_validity_days), CAST(round(certificate_min_validity_days * 86400) AS BIGINT) AS certificate_min_validity_seconds FROM features",
@@ -38,8 +39,8 @@ BODIES = {
     "baseline_categorical": "SELECT capture_id, protocol_group, feature, label, count(*) AS n FROM category_rows GROUP BY ALL",
     "baseline_gate": "SELECT capture_id, protocol_group, count(*) AS sessions, count(*) >= 8 AS sufficient FROM features GROUP BY ALL",
     "min_baseline_param": "SELECT capture_id, protocol_group, count(*) AS sessions, count(*) >= 150 AS sufficient FROM features GROUP BY ALL",
-    "feature_deviation": "SELECT session_id, feature, round(score, 1) AS score FROM deviations",
-    "top_deviations": "SELECT session_id, count(*) AS deviations, round(max(score), 1) AS highest FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, position) AS n FROM deviations) WHERE n <= 4 AND score > 0 GROUP BY ALL",
+    "feature_deviation": "SELECT session_id, feature, round(score, 1) AS score FROM deviations SEMI JOIN enough USING (session_id)",
+    "top_deviations": "SELECT session_id, count(*) AS deviations, round(max(score), 1) AS highest FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, position) AS n FROM deviations SEMI JOIN enough USING (session_id)) WHERE n <= 4 AND score > 0 GROUP BY ALL",
     "anomaly_score_map": f"SELECT CAST({SCORE} AS BIGINT) AS score, {bands_sql(SCORE, V.ANOMALY_BANDS, 'normal')} AS band, count(*) AS n FROM lineitem GROUP BY ALL",
     "anomaly_summary": """
 SELECT capture_id, count(*) FILTER (status = 'normal') AS normal, count(*) FILTER (status = 'unusual') AS unusual, count(*) FILTER (status = 'anomalous') AS anomalous, count(*) FILTER (status = 'highly_anomalous') AS highly_anomalous,

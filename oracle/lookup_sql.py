@@ -147,7 +147,7 @@ SELECT capture_id, position, finding_id, severity FROM (SELECT *, row_number() O
 SELECT case_id, position, finding_id, severity FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY {POS}, capture_id, rule_id, finding_id) AS position
   FROM findings JOIN case_captures USING (capture_id)) WHERE position <= 2000""",
     "report_anomaly_section": """
-SELECT capture_id, coalesce(band, status) AS band, count(*) AS items FROM (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY protocol, session_id) AS n FROM anomalies) WHERE n <= 500 GROUP BY ALL""",
+SELECT capture_id, coalesce(band, status) AS band, count(*) AS items, count(*) FILTER (n <= 500) AS listed FROM (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY protocol, session_id) AS n FROM anomalies) GROUP BY ALL""",
     "protocol_distribution": "SELECT capture_id, protocol, count(*) AS sessions FROM sessions GROUP BY ALL",
     "case_summary": """
 SELECT k.case_id, k.capture_id, TRUE AS available, c.filename, coalesce(a.status, 'not_analyzed') AS analysis_status, coalesce(s.n, 0) AS session_count, coalesce(f.n, 0) AS findings_count,

@@ -102,13 +102,15 @@ def baseline_categorical(features: DataFrame) -> DataFrame:
     return rows.select(*GROUP, "feature", label.alias("label"), "n").groupBy(*GROUP, "feature", "label").agg(F.sum("n").alias("n"))
 
 
-def feature_deviation(features: DataFrame) -> DataFrame:
-    """Deviation of every session's feature from its group.
+def feature_deviation(features: DataFrame, min_baseline: int = V.MIN_BASELINE_SESSIONS) -> DataFrame:
+    """Deviation of every session's feature from its group; groups too small for a baseline give none.
 
     Numeric: |x - mean| / std, left out when the feature is constant; categorical:
     1 - relative frequency of the observed label. The statistics are a few rows
     per group and are joined to the sessions, whatever the size of a group.
     """
+    enough = group_sizes(features, min_baseline).where("sufficient").select(*GROUP)
+    features = features.join(enough, GROUP, "left_semi")
     numeric = unpivoted(features, NUMERIC).join(_numeric_stats(features), [*GROUP, "feature"])
     constant = F.col("std") <= 1e-9
     distance = F.abs(F.col("value") - F.col("mean"))

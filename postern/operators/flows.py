@@ -67,12 +67,12 @@ def flow_orientation(packets: DataFrame) -> DataFrame:
 
 
 def normalize_sequence(packets: DataFrame) -> DataFrame:
-    """Data segments with stream offsets: base is the last SYN's sequence + 1, else the smallest sequence."""
+    """Data segments with stream offsets: base is the sequence of the last SYN of the file + 1, else the smallest sequence."""
     p = with_flow(packets)
     syn = F.col("tcp_flags").bitwiseAND(2) != 0
     data = F.length("payload") > 0
     base = p.groupBy(*DIRECTION).agg(
-        F.max_by(F.when(syn, F.col("tcp_seq")), F.when(syn, F.struct("ts", "number"))).alias("isn"),
+        F.max_by(F.when(syn, F.col("tcp_seq")), F.when(syn, F.col("number"))).alias("isn"),
         F.min(F.when(data, F.col("tcp_seq"))).alias("lowest"),
         F.bool_or(F.col("tcp_flags").bitwiseAND(1) != 0).alias("fin"), F.bool_or(F.col("tcp_flags").bitwiseAND(4) != 0).alias("rst"),
     ).withColumn("base", F.coalesce(F.pmod(F.col("isn") + 1, F.lit(U32)), F.col("lowest"), F.lit(0)))
@@ -153,11 +153,11 @@ def place(rows: Iterator[dict]) -> list[tuple]:
 
 
 def stream_pieces(segments: DataFrame, keys: list[str], key_ddl: str) -> DataFrame:
-    """Placed pieces per stream with duplicate and retransmission counts, in arrival order.
+    """Placed pieces per stream with duplicate and retransmission counts, in arrival order: the packets' order in the file, also where clocks step back.
 
     One TCP direction is sequential by nature and bounded by half the sequence
     space and the capture format; pieces leave as rows, whole streams are never
     joined into one value.
     """
     fresh = segments.where(~F.coalesce("stale", F.lit(False)) & F.col("start").isNotNull()).select(*keys, "number", "ts", "start", "end", "payload")
-    return fold_groups(fresh, keys, ["ts", "number"], place, f"{key_ddl}, {PIECES}")
+    return fold_groups(fresh, keys, ["number"], place, f"{key_ddl}, {PIECES}")

@@ -191,7 +191,7 @@ def neighbors(edges: DataFrame, requests: DataFrame) -> DataFrame:
     return out.unionByName(into).join(requests, ["capture_id", "node_id"], "left_semi").distinct()
 
 
-def graph_depth(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def graph_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Breadth-first depth from the capture node along directed edges; unreachable nodes come last.
 
     Every round is one join of the newest frontier; lineage is cut by a reliable
@@ -200,7 +200,9 @@ def graph_depth(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> Dat
     links = edges.select("capture_id", "source_node_id", "target_node_id").distinct()
     reached = nodes.where(F.col("node_type") == "capture").select("capture_id", "node_id", F.lit(0).cast("bigint").alias("depth"))
     frontier = reached = cut_lineage(reached)
-    for depth in range(1, max_rounds + 1):
+    depth = 0
+    while not frontier.isEmpty():
+        depth += 1
         step = (
             frontier.select("capture_id", F.col("node_id").alias("source_node_id")).join(links, ["capture_id", "source_node_id"])
             .select("capture_id", F.col("target_node_id").alias("node_id")).distinct()
@@ -208,11 +210,7 @@ def graph_depth(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> Dat
             .withColumn("depth", F.lit(depth).cast("bigint"))
         )
         frontier = cut_lineage(step)
-        if frontier.isEmpty():
-            break
         reached = reached.unionByName(frontier)
-    else:
-        raise ValueError(f"graph deeper than {max_rounds} hops")
     deepest = reached.groupBy("capture_id").agg(F.max("depth").alias("deepest"))
     return (
         nodes.select("capture_id", "node_id").join(reached, ["capture_id", "node_id"], "left").join(deepest, "capture_id", "left")

@@ -88,9 +88,11 @@ def case_findings_section(findings: DataFrame, case_captures: DataFrame, limit:
 
 
 def anomaly_section(anomalies: DataFrame, limit: int = V.MAX_REPORT_ROWS) -> DataFrame:
-    """Band counts over the listed items."""
-    items = top_per(anomalies, "capture_id", ["protocol", "session_id"], limit)
-    return items.groupBy("capture_id", F.coalesce("band", "status").alias("band")).agg(F.count("*").alias("items"))
+    """Band counts over all sessions of a capture, and how many of them are among its listed items."""
+    listed = top_per(anomalies, "capture_id", ["protocol", "session_id"], limit)
+    by_band = lambda df, name: df.groupBy("capture_id", F.coalesce("band", "status").alias("band")).agg(F.count("*").alias(name))
+    counted = by_band(anomalies, "items").join(by_band(listed, "listed"), ["capture_id", "band"], "left")
+    return counted.withColumn("listed", F.coalesce("listed", F.lit(0)))
 
 
 def graph_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:

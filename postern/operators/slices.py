@@ -19,11 +19,13 @@ def _carry(df: DataFrame, keys: list[str], slice_: str, aggregate: Column, runni
     return totals.select(*keys, slice_, running("_t").over(before).alias("_carry"))
 
 
-def _null_safe(keys: list[str], left: DataFrame, right: DataFrame) -> Column:
+def _with_carry(inside: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with what earlier slices contribute; a NULL key or slice is a group like any other."""
+    renamed = carry.select(*[F.col(k).alias(f"_c{n}") for n, k in enumerate(keys)], "_carry")
     cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
+    for n, k in enumerate(keys):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_c{n}"))
+    return inside.join(renamed, cond).drop(*[f"_c{n}" for n in range(len(keys))])
 
 
 def sliced_row_number(df: DataFrame, keys: list[str], slice_: Column, order: list[Column], name: str) -> DataFrame:
@@ -31,7 +33,7 @@ def sliced_row_number(df: DataFrame, keys: list[str], slice_: Column, order: lis
     rows = df.withColumn("_slice", slice_)
     carry = _carry(rows, keys, "_slice", F.count("*"), F.sum)
     inside = rows.withColumn("_n", F.row_number().over(W.partitionBy(*keys, "_slice").orderBy(*order)))
-    joined = inside.join(carry, [*keys, "_slice"])
+    joined = _with_carry(inside, carry, [*keys, "_slice"])
     return joined.withColumn(name, (F.col("_n") + F.coalesce("_carry", F.lit(0))).cast("bigint")).drop("_slice", "_n", "_carry")
 
 
@@ -41,5 +43,5 @@ def sliced_running_max(df: DataFrame, keys: list[str], slice_: Column, order: li
     carry = _carry(rows, keys, "_slice", F.max(value), F.max)
     before = W.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     inside = rows.withColumn("_m", F.max(value).over(before))
-    joined = inside.join(carry, [*keys, "_slice"])
+    joined = _with_carry(inside, carry, [*keys, "_slice"])
     return joined.withColumn(name, F.greatest("_m", "_carry")).drop("_slice", "_m", "_carry")

@@ -33,9 +33,21 @@ def capture_format(content: str | Column) -> Column:
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    """Capture files below ``path``: known containers only, with identity."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return identify(files.select("path", "content"))
+    """Capture files below ``path``: known containers only, with identity. Larger files are never read."""
+    return identify(_files(spark, path).where(F.col("length") <= V.MAX_CAPTURE_BYTES).select("path", "content"))
+
+
+def rejected_captures(spark: SparkSession, path: str) -> DataFrame:
+    """path, size_bytes and reason of the files that ``read_captures`` leaves out."""
+    files = _files(spark, path)
+    large = files.where(F.col("length") > V.MAX_CAPTURE_BYTES).select("path", F.col("length").alias("size_bytes"), F.lit("too_large").alias("reason"))
+    known = files.where(F.col("length") <= V.MAX_CAPTURE_BYTES)
+    unknown = known.where(capture_format("content").isNull()).select("path", F.col("length").alias("size_bytes"), F.lit("unknown_format").alias("reason"))
+    return large.unionByName(unknown)
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
 
 def identify(files: DataFrame) -> DataFrame:
