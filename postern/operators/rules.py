@@ -409,7 +409,9 @@ def session_hits(
     the number of rules. Posture works on this nested form without a shuffle.
     """
     registry = registry or default_registry()
-    if events is not None and "AUTH-PLAINTEXT-001" in registry.rule_ids():
+    if "auth_commands" in sessions.columns:  # carried in the session row, as on a stream
+        base = sessions
+    elif events is not None and "AUTH-PLAINTEXT-001" in registry.rule_ids():
         base = sessions.join(auth_summary(events), "session_id", "left")
     else:
         base = sessions.selectExpr(

@@ -63,6 +63,10 @@ class Workspace(Evidence):
     def anomalies(self) -> DataFrame:
         return self._staged("anomalies", lambda: Evidence.anomalies.func(self))
 
+    @cached_property
+    def sessions_with_auth(self) -> DataFrame:
+        return self._staged("sessions_with_auth", lambda: self.sessions.join(rules.auth_summary(self.session_events), "session_id", "left"))
+
     @cached_property
     def findings(self) -> DataFrame:
         return self._staged("findings", lambda: rules.evaluate(self.sessions, self.session_events, self.policy))

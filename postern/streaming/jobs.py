@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postern.operators import rules
@@ -17,7 +17,8 @@ from postern.sources.policy import Policy
 
 
 def stream_rules(sessions: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """Findings of an append stream of sessions: the batch expressions, nothing kept."""
+    """Findings of an append stream of sessions: the batch expressions, nothing kept. The authentication rule needs
+    sessions that carry their ``auth_summary`` columns."""
     return rules.evaluate(sessions, None, policy)
 
 
@@ -42,6 +43,19 @@ def stream_capture_dedup(uploads: DataFrame, ts: str = "ingested_at", late: str
     return uploads.withWatermark(ts, late).dropDuplicatesWithinWatermark(["sha256"])
 
 
+def closing_stream(spark: SparkSession, rows: DataFrame, ts: str) -> DataFrame:
+    """A stream of one row, NULL but for a time a day after all of ``rows``: united with a finished input, it moves the
+    watermark past every open window and session. Its own window stays open and is never emitted."""
+    folder = shared_folder(spark)
+    if folder is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    path = f"{folder}/stream-close-{uuid.uuid4().hex}"
+    last = rows.agg(F.max(ts).alias("_last"))
+    at = F.col("_last") + F.expr("INTERVAL 1 DAY")
+    last.select(*[(at if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema]).write.parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
+
+
 def run_available(stream: DataFrame, name: str) -> DataFrame:
     """Process everything available, append it to a table in the shared folder and read it back."""
     spark = stream.sparkSession
