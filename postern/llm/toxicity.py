@@ -4,8 +4,8 @@ Each word of a window brings what its characters and the word itself tell: learn
 vectors for the word and its character trigrams, and log-odds of the word and of
 its character n-grams from the labelled sample. Gates run over the window in both
 directions, attention pools their states, a logistic unit gives the window's
-score. A document's score is that of its highest window; every overlapping window
-of the whole text is scored.
+score. A document's score is that of its highest window; windows start at every
+word, so a passage counts alike wherever it lies in the text.
 
 The network is trained in numpy on at most ``TRAIN_TOXIC`` toxic and
 ``TRAIN_CLEAN`` other labelled documents (by hash order of doc_id), in one task;
@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postern.llm.common import text_slices
+from postern.llm.common import ragged, text_slices
 from postern.llm.words import MARKS, coded_words, mixed, split_words, word_hashes
 
 TRAIN_TOXIC, TRAIN_CLEAN = 2_000, 4_000
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 24  # the stride only where a few windows are to cover a text; scores and training take every start
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 4, 4
 ODDS_BITS, WORD_BITS, CHAR_BITS = 18, 13, 12
 FIXED = 4  # log-odds inputs
@@ -206,19 +206,83 @@ class Network:
         np.add.at(g["char"], slot(tri, CHAR_BITS), np.repeat(per, np.diff(at), axis=0))
         return g
 
-    def score_texts(self, data: np.ndarray, offsets: np.ndarray, step: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    def sliding(self, x: np.ndarray, stream: np.ndarray, step: int = 2048) -> np.ndarray:
+        """Score of the window at each position of ``stream``: what ``forward`` gives, with words projected once and columns for windows."""
+        n = max(0, len(stream) - WINDOW + 1)
+        out = np.empty(n, dtype=np.float32)
+        absent, sides = len(x) - 1, []
+        for k, side in enumerate("fb"):
+            part = slice(k * HIDDEN, (k + 1) * HIDDEN)
+            projected = np.ascontiguousarray((x @ self.p[f"w{side}"] + self.p[f"c{side}"]).T)
+            projected[:HIDDEN, absent] = 100  # the gate keeps the state
+            sides.append((projected, np.ascontiguousarray(np.concatenate([self.p[f"u{side}"].T, self.p["attend"][None, part], self.p["out"][None, part]]))))
+        one = np.float32(1)
+        for begin in range(0, n, step):
+            size = min(step, n - begin)
+            words = stream[begin : begin + size + WINDOW - 1]
+            energy, value = np.zeros((WINDOW, size), np.float32), np.zeros((WINDOW, size), np.float32)
+            for side, (projected, u) in zip("fb", sides, strict=True):
+                a = np.take(projected, words, axis=1)
+                h = np.zeros((HIDDEN, size), np.float32)
+                hu = np.zeros((len(u), size), np.float32)
+                zr, new = np.empty((2 * HIDDEN, size), np.float32), np.empty((HIDDEN, size), np.float32)
+                z, r = zr[:HIDDEN], zr[HIDDEN:]
+                for t in range(WINDOW) if side == "f" else range(WINDOW - 1, -1, -1):
+                    np.add(a[: 2 * HIDDEN, t : t + size], hu[: 2 * HIDDEN], out=zr)
+                    np.negative(zr, out=zr)
+                    np.exp(zr, out=zr)
+                    zr += one
+                    np.reciprocal(zr, out=zr)
+                    np.multiply(r, hu[2 * HIDDEN : 3 * HIDDEN], out=new)
+                    new += a[2 * HIDDEN :, t : t + size]
+                    np.tanh(new, out=new)
+                    h -= new
+                    h *= z
+                    h += new
+                    np.matmul(u, h, out=hu)
+                    energy[t] += hu[-2]
+                    value[t] += hu[-1]
+            np.clip(energy, -30, 30, out=energy)
+            np.exp(energy, out=energy)
+            if (words == absent).any():
+                energy *= np.lib.stride_tricks.sliding_window_view(words != absent, WINDOW).T
+            value *= energy
+            total = value.sum(axis=0) / np.maximum(energy.sum(axis=0), 1e-9) + self.p["bias"][0]
+            out[begin : begin + size] = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+        return out
+
+    def score_texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Per text its score, and the number of its highest window."""
         types = Types(data, offsets)
-        x = self.inputs(types)
-        codes, owner, number = windows(types)
-        score = np.concatenate([self.forward(x, codes[k : k + step]) for k in range(0, len(codes), step)]) if len(codes) else np.zeros(0)
-        order = np.lexsort((number, -score, owner))
-        best = order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])] if len(order) else order
+        stream, starts, owner, number = all_windows(types)
+        score = self.sliding(self.inputs(types), stream)[starts]
+        best = highest(score, owner)
         return score[best], number[best]
 
 
+def all_windows(types: Types) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all texts one after another, short ones filled to a window; where every window starts in them; its text; its number in the text."""
+    count = np.diff(types.first)
+    size = np.maximum(count, WINDOW)
+    begin = np.cumsum(size) - size
+    stream = np.full(int(size.sum()), types.n, dtype=np.int64)
+    stream[ragged(begin, count)] = types.codes
+    owner = np.repeat(np.arange(len(size)), size - WINDOW + 1)
+    number = ragged(np.zeros(len(size), np.int64), size - WINDOW + 1)
+    return stream, begin[owner] + number, owner, number
+
+
+def highest(score: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The first of the highest windows of each text; windows of a text lie together."""
+    if not len(score):
+        return np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    hit = np.flatnonzero(score == np.repeat(np.maximum.reduceat(score, first), np.diff(np.append(first, len(score)))))
+    return hit[np.unique(owner[hit], return_index=True)[1]]
+
+
 def windows(types: Types) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of the words in every overlapping window; its text; its number in the text. Each text has one at least."""
+    """Codes of the words in windows that cover every text; its text; its number in the text. Each text has one at least."""
     count = np.diff(types.first)
     n = 1 + np.maximum(0, -(-(count - WINDOW) // STRIDE))
     owner = np.repeat(np.arange(len(count)), n)
@@ -264,22 +328,25 @@ def train(texts: list[str | None], labels: np.ndarray) -> Network | None:
         t = int(labels[rows].sum())
         odds = odds_table(words - own_words, clean - len(rows) + t, toxic - t), odds_table(grams - own_grams, clean - len(rows) + t, toxic - t)
         types = Types(*packed([texts[k] for k in rows]))
-        folds.append((odds, types, *windows(types), labels[rows]))
+        folds.append((odds, types, *all_windows(types), labels[rows]))
     del parts
     draw = np.random.default_rng(11)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.p.items()}
     step = 0
     for turn in range(ROUNDS):
         batches = []
-        for k, (odds, types, codes, owner, _, target) in enumerate(folds):
+        for k, (odds, types, stream, starts, owner, _, target) in enumerate(folds):
             network.word_odds, network.gram_odds = odds
             x = network.inputs(types)
-            if turn == 0:  # the first choice of windows is by log-odds
-                score = x[:, :FIXED].max(axis=1)[codes].max(axis=1)
+            if turn == 0:  # the first choice of windows is by the highest log-odds, then by their sum
+                word = x[:, :FIXED].max(axis=1)[stream]
+                most = word[: len(word) - WINDOW + 1].copy()
+                for a in range(1, WINDOW):
+                    np.maximum(most, word[a : a + len(most)], out=most)
+                score = (most + 1e-3 * np.convolve(word, np.ones(WINDOW), "valid"))[starts]
             else:
-                score = np.concatenate([network.forward(x, codes[a : a + 8192]) for a in range(0, len(codes), 8192)])
-            order = np.lexsort((-score, owner))
-            top = order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])]
+                score = network.sliding(x, stream)[starts]
+            top = highest(score, owner)
             bad, good = top[target[owner[top]] == 1], top[target[owner[top]] == 0]
             others = np.flatnonzero(target[owner] == 0)
             good = np.concatenate([good, draw.choice(others, min(len(others), 2 * len(good)), replace=False)])
@@ -289,14 +356,15 @@ def train(texts: list[str | None], labels: np.ndarray) -> Network | None:
             need = EPOCHS * max(1, len(chosen) // BATCH)
             for _ in range(max(need, LEAST_STEPS // FOLDS)):
                 rows = draw.integers(0, len(chosen), BATCH)
-                batches.append((k, chosen[rows], goal[rows]))
+                batches.append((k, starts[chosen[rows]], goal[rows]))
         for at in draw.permutation(len(batches)):
-            k, rows, goal = batches[at]
-            odds, types, codes = folds[k][:3]
+            k, begin, goal = batches[at]
+            odds, types, stream = folds[k][:3]
             network.word_odds, network.gram_odds = odds
-            used, local = np.unique(codes[rows], return_inverse=True)
+            codes = stream[begin[:, None] + np.arange(WINDOW)]
+            used, local = np.unique(codes, return_inverse=True)
             part = TypesView(types, used[used < types.n])
-            local = np.where(codes[rows] == types.n, part.n, local.reshape(len(rows), WINDOW))
+            local = np.where(codes == types.n, part.n, local.reshape(codes.shape))
             step += 1
             for name, grad in network.gradients(part, local, goal).items():
                 m, v = moment[name]

@@ -263,3 +263,26 @@ def test_windows_cover_every_word():
     codes, owner, number = toxicity.windows(types)
     assert owner.tolist() == [0, 0, 0, 0, 1, 2] and number.tolist() == [0, 1, 2, 3, 0, 0]
     assert set(codes[:4].ravel()) - {types.n} == set(types.codes[:100])
+
+
+def test_toxic_passage_counts_alike_at_every_offset():
+    zero = np.zeros(1 << toxicity.ODDS_BITS, np.float32)
+    network, h = toxicity.Network(zero.copy(), zero), toxicity.HIDDEN
+    network.word_odds[toxicity.slot(toxicity.Types(*toxicity.packed(["scum"])).word, toxicity.ODDS_BITS)] = 4
+    for side in "fb":  # states say whether the word is the bad one, attention is even: a score for the part of bad words
+        network.p[f"w{side}"][:], network.p[f"u{side}"][:] = 0, 0
+        network.p[f"w{side}"][0, 2 * h :], network.p[f"c{side}"][:h] = 5, -30
+    network.p["attend"][:], network.p["out"][:], network.p["bias"][:] = 0, 20 / (2 * h), -20 * 19 / 32
+    moved = [" ".join(["calm"] * (60 + k) + ["scum"] * 22 + ["calm"] * (180 - k)) for k in range(24)]
+    score = network.score_texts(*toxicity.packed([*moved, " ".join(["calm"] * 90)]))[0]
+    assert (score[:24] >= toxicity.THRESHOLD).all() and np.ptp(score[:24]) < 1e-4 and score[24] < 0.01
+
+
+def test_sliding_windows_equal_single_windows():
+    draw = np.random.default_rng(8)
+    network = toxicity.Network(*draw.standard_normal((2, 1 << toxicity.ODDS_BITS)).astype(np.float32))
+    types = toxicity.Types(*toxicity.packed([" ".join(f"w{k}" for k in draw.integers(0, 200, 90)), "", "a b", " ".join(["c"] * 40)]))
+    x, (stream, starts, owner, number) = network.inputs(types), toxicity.all_windows(types)
+    assert np.bincount(owner).tolist() == [59, 1, 1, 9]
+    single = network.forward(x, stream[starts[:, None] + np.arange(toxicity.WINDOW)])
+    assert np.allclose(network.sliding(x, stream, 16)[starts], single, atol=1e-5)
