@@ -447,14 +447,16 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, lexicon_size: int =
     return _encode(docs, vocabulary_path, lexicon_size, digest=False)
 
 
-def encode_digests(docs: DataFrame, vocabulary_path: str, lexicon_size: int = LEXICON_WORDS) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: the digests of what encode_documents gives."""
-    return _encode(docs, vocabulary_path, lexicon_size, digest=True)
+def encode_digests(docs: DataFrame, vocabulary_path: str, lexicon_size: int = LEXICON_WORDS, carried: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: the digests of what encode_documents gives; and the bigint column ``carried`` as it is."""
+    return _encode(docs, vocabulary_path, lexicon_size, digest=True, carried=carried)
 
 
-def _encode(docs: DataFrame, vocabulary_path: str, lexicon_size: int, digest: bool) -> DataFrame:
+def _encode(docs: DataFrame, vocabulary_path: str, lexicon_size: int, digest: bool, carried: str | None = None) -> DataFrame:
     image = docs.sparkSession.sparkContext.broadcast(build_lexicon(docs, vocabulary_path, lexicon_size))
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest else "doc_id bigint, n_tokens bigint, ids binary, decoded string"
+    also = [carried] if carried else []
+    schema += "".join(f", {c} bigint" for c in also)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary_path, image)
@@ -470,9 +472,9 @@ def _encode(docs: DataFrame, vocabulary_path: str, lexicon_size: int, digest: bo
                     text = decoded[size[k] : size[k + 1]].tobytes().decode("utf-8", "replace")
                     first.append(hashlib.sha256(own).hexdigest() if digest else own)
                     second.append(hashlib.sha256(text.encode()).hexdigest() if digest else text)
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(bounds)), pa.array(first, pa.string() if digest else pa.binary()), pa.array(second, pa.string())], schema_names(schema))
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(bounds)), pa.array(first, pa.string() if digest else pa.binary()), pa.array(second, pa.string()), *(rows.column(c) for c in also)], schema_names(schema))
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *also).mapInArrow(run, schema)
 
 
 _ENCODERS: dict = {}

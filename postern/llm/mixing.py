@@ -116,11 +116,11 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, r
     )
 
 
-def mixed_documents(docs: DataFrame, partitions: int, weights: DataFrame | None = None) -> DataFrame:
-    """All documents, written in the order of the mix: range partitioned and sorted by position."""
+def mixed_documents(docs: DataFrame, partitions: int, weights: DataFrame | None = None, position: str | None = None, resolution: int = RESOLUTION) -> DataFrame:
+    """All documents, range partitioned and sorted by their position in the mix, which a column named ``position`` keeps: files have no order."""
     whole = docs.select(F.struct(*docs.columns).alias("mix_document"), "doc_id", "source")
-    laid = mix(whole, weights, carried=["mix_document"])
-    return laid.repartitionByRange(partitions, "position").sortWithinPartitions("position").select("mix_document.*")
+    laid = mix(whole, weights, resolution=resolution, carried=["mix_document"])
+    return laid.repartitionByRange(partitions, "position").sortWithinPartitions("position").select("mix_document.*", *([F.col("position").alias(position)] if position else []))
 
 
 MIX_SQL = f"""

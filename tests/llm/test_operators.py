@@ -14,6 +14,7 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
+import corpus_pipeline  # noqa: E402
 from postern.llm import bpe, embedding_dedup, hmm, html_text, mixing, ngram_join, suffix_dedup, token_files, topk, toxicity  # noqa: E402
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -286,3 +287,15 @@ def test_sliding_windows_equal_single_windows():
     assert np.bincount(owner).tolist() == [59, 1, 1, 9]
     single = network.forward(x, stream[starts[:, None] + np.arange(toxicity.WINDOW)])
     assert np.allclose(network.sliding(x, stream, 16)[starts], single, atol=1e-5)
+
+
+def test_pipeline_rows_show_the_mix(spark, tmp_path, monkeypatch):
+    rows = [(k, f"{sentence(k, 40)} {k}", "src0" if k % 5 == 0 else f"src{1 + k % 2}") for k in range(200)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [s for s in corpus_pipeline.STAGES if s[0] in ("mixing", "bpe")])
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(200)) and sorted(r.mix_position for r in got) == list(range(200))
+    source = {k: s for k, _, s in rows}
+    head = Counter(source[r.doc_id] for r in got if r.mix_position < 48)  # six blocks of eight, four of them the heavy source
+    assert abs(head["src0"] - 32) <= 8 and head["src1"] and head["src2"]
