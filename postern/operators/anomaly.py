@@ -184,22 +184,23 @@ FOREST = (
 )
 
 
-def forest_sample(features: DataFrame, size: int = V.FOREST_SAMPLE) -> DataFrame:
-    """At most ``size`` sessions per (group, tree block), drawn by hash so partitioning does not matter.
+def forest_sample(features: DataFrame, size: int = V.FOREST_SAMPLE * TREE_BLOCK) -> DataFrame:
+    """As many sessions per (group, tree block) as its trees draw, of all sessions of the group, by a hash of each block's own.
 
-    Pre-shuffle the top-k limit keeps ``size`` rows per group and partition, so a
-    group holding a third of all sessions is never gathered.
+    Partitioning does not matter. Pre-shuffle the top-k limit keeps ``size`` rows
+    per group, block and partition, so a group holding a third of all sessions is
+    never gathered.
     """
-    order = W.partitionBy(*GROUP).orderBy(F.xxhash64("session_id", F.lit(V.FOREST_SEED)), "session_id")
-    return features.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= size).drop("_n")
+    blocks = F.explode(F.array(*[F.lit(b) for b in range(0, V.FOREST_TREES, TREE_BLOCK)]))
+    order = W.partitionBy(*GROUP, "block").orderBy(F.xxhash64("session_id", F.lit(V.FOREST_SEED), "block"), "session_id")
+    return features.withColumn("block", blocks).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= size).drop("_n")
 
 
-def train_forests(features: DataFrame, min_baseline: int = V.MIN_BASELINE_SESSIONS, pool: int = V.FOREST_SAMPLE * 4) -> DataFrame:
-    """One forest per group with enough sessions, grown in blocks of trees from a bounded pool of its sessions."""
-    blocks = F.explode(F.array(*[F.lit(b) for b in range(0, V.FOREST_TREES, TREE_BLOCK)]))
+def train_forests(features: DataFrame, min_baseline: int = V.MIN_BASELINE_SESSIONS) -> DataFrame:
+    """One forest per group with enough sessions, grown in blocks of trees; every tree's sample is drawn from all sessions of the group."""
     sample = (
-        forest_sample(features, pool).join(group_sizes(features, min_baseline).where("sufficient").select(*GROUP), GROUP)
-        .withColumn("block", blocks).repartition(python_partitions(features.sparkSession), *GROUP, "block")
+        forest_sample(features).join(group_sizes(features, min_baseline).where("sufficient").select(*GROUP), GROUP)
+        .repartition(python_partitions(features.sparkSession), *GROUP, "block")
     )
     names = [_column(n) for n in V.FEATURE_NAMES]
 
@@ -209,10 +210,14 @@ def train_forests(features: DataFrame, min_baseline: int = V.MIN_BASELINE_SESSIO
         psi = min(V.FOREST_SAMPLE, len(points))
         limit = max(1, math.ceil(math.log2(psi)))
         starts, nodes = [], []
+        dealt = np.random.default_rng([V.FOREST_SEED, key[2]]).permutation(len(points)) if len(points) == psi * TREE_BLOCK else None
         for tree in range(key[2], key[2] + TREE_BLOCK):
             rng = np.random.default_rng([V.FOREST_SEED, tree])
             starts.append(len(nodes))
-            nodes += _grow(points[rng.permutation(len(points))[:psi]], rng, limit)
+            at = (tree - key[2]) * psi
+            # a full sample is dealt to the trees, a smaller group is whole before each of them
+            own = rng.permutation(len(points))[:psi] if dealt is None else dealt[at : at + psi]
+            nodes += _grow(points[own], rng, limit)
         feature, cut, lower, upper, size = (list(column) for column in zip(*nodes))
         row = dict(capture_id=key[0], protocol_group=key[1], block=key[2], psi=psi, starts=starts, feature=feature, cut=cut, lower=lower, upper=upper, size=size)
         return pd.DataFrame([row], dtype=object)

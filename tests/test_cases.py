@@ -3,11 +3,14 @@
 import json
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from postern.functions import fixed_values as V
 from postern.functions import labels
 from postern.functions import normalize as N
 from postern.functions.columns import half_even
+from postern.operators import anomaly as A
 from postern.operators import correlation as CO
 from postern.operators import drift as D
 from postern.operators import graph as G
@@ -198,3 +201,18 @@ def test_lifecycle_keeps_anchors_apart(spark):
     lifecycle = lambda p: {r.anchor_capture_id: r.lifecycle for r in D.finding_lifecycle(ch, p, fi, se).where("rule_id = 'R'").collect()}
     alone = lifecycle(pairs(("b", 1)))
     assert lifecycle(pairs(("a", 0), ("b", 1)))["b"] == alone["b"] == "new"
+
+
+def test_every_session_can_shape_a_tree(spark):
+    """Only sessions outside one hash-ordered pool of 1,024 differ, yet trees tell them apart."""
+    rank = F.row_number().over(Window.orderBy(F.xxhash64("session_id", F.lit(V.FOREST_SEED)), "session_id"))
+    sessions = spark.range(8000).select(F.concat(F.lit("s"), "id").alias("session_id")).withColumn("outside", (rank > 1024).cast("int"))
+    names = [A._column(n) for n in V.FEATURE_NAMES]
+    features = sessions.select(
+        F.lit("c").alias("capture_id"), "session_id", F.lit("smtp").alias("protocol_group"), *[(F.col("outside") if n == "packet_count" else F.lit(0)).cast("double").alias(n) for n in names]
+    )
+    forests = A.train_forests(features).collect()
+    assert sum(len(r.starts) for r in forests) == V.FOREST_TREES and {r.psi for r in forests} == {V.FOREST_SAMPLE}
+    assert all(r.feature[start] >= 0 for r in forests for start in r.starts)
+    drawn = A.forest_sample(features).groupBy("block").agg(F.count("*").alias("n"), F.countDistinct("session_id").alias("d")).collect()
+    assert {(r.n, r.d) for r in drawn} == {(V.FOREST_SAMPLE * A.TREE_BLOCK,) * 2}
