@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postern.llm import bpe, embedding_dedup, hmm, html_text, mixing, ngram_join, suffix_dedup, token_files, topk, toxicity
+from postern.llm import bpe, embedding_dedup, hmm, html_text, lexical_search, mixing, ngram_join, sharding, suffix_dedup, token_files, topk, toxicity, variants
 from postern.llm.common import block_count, table
 from postern.llm.oracle import ORACLE  # noqa: F401
 
@@ -60,6 +60,20 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(table(spark, sf_dir, "documents"), shards=16)
+    crc = F.crc32(F.coalesce(F.col("doc.text").cast("binary"), F.lit(b"")))
+    return placed.select("doc.doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_ngram_join": op2_ngram_join,
@@ -71,4 +85,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
+    "op11_sharding": op11_sharding,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_variants": op13_variants,
 }

@@ -72,3 +72,15 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
             value |= np.where(left > k, padded[at + k], 0).astype(np.uint64) << np.uint64(8 * k)
         out[live] = mixed(out[live] * np.uint64(0x9DDFEA08EB382D69) + mixed(value + np.uint64(step + 1)))
         step += 8
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of marked bytes within each text: starts, ends, and the first run of each text."""
+    edge = np.zeros(len(inside) + 1, dtype=bool)  # a text begins here
+    edge[offsets] = True
+    begin = inside & np.concatenate([[True], ~inside[:-1]])[: len(inside)]
+    begin |= inside & edge[:-1]
+    end = inside & np.concatenate([~inside[1:], [True]])[: len(inside)]
+    end |= inside & edge[1:]
+    starts = np.flatnonzero(begin)
+    return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
