@@ -210,7 +210,7 @@ def test_variants(spark, monkeypatch, tile, block):
             cut = int(draw.integers(0, len(own[at])))
             own[at] = own[at][:cut] + str(draw.choice(["", "z", "é"])) + own[at][cut + int(draw.integers(0, 2)) :]
         rows.append((k, " ".join(own)))
-    rows += [(None, "Straßen " * 6), (3, None), (4, ""), (5, "ß×÷ÀÿÀ " * 5), (6, ("q" * 300 + " ") * 5 + ("q" * 299 + " ") * 40), (7, "x" * 100_000), (8, "12345 日本語日本語日本語 " * 9), (9, "short words " * 7)]
+    rows += [(None, "Straßen " * 6), (3, None), (4, ""), (5, "ß×÷ÀÿÀ " * 5), (6, ("q" * 300 + " ") * 5 + ("q" * 299 + " ") * 40), (7, "x" * 100_000), (8, "12345 日本語日本語日本語 " * 9), (9, "short words " * 7), (10, "abcdefgh " * 200 + "abcdefgx " * 30 + "abcdefyx " * 5)]
     rows += rows[:3]
     got = variants.variants(frame(spark, rows).repartition(4), every=19, tile=tile)
     assert got.columns == ["word", "form", "root", "n", "n_near", "form_n"]
