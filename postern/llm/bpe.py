@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postern.llm.common import binary_view, ragged, text_slices
+from postern.llm.common import binary_view, most_frequent, ragged, text_slices, written
 
 LEXICON_WORDS = 65_536
 PUNCTUATION, LETTER, NUMBER, SPACE = 0, 1, 2, 3
@@ -414,27 +414,48 @@ def encode_with(encode_types, added, data, offsets):
     return ids, ends[rows]
 
 
+SLICE = 2 << 20  # text worked on at once: finding pre-tokens takes some thirty bytes for each
+PENDING = 1 << 18  # distinct words of slices that a task adds up before it hands them on
+
+
+@cache
+def added_tokens(path: str) -> tuple[bytes, ...]:
+    with open(path, encoding="utf-8") as file:
+        return tuple(t["content"].encode() for t in json.load(file)["added_tokens"])
+
+
 def word_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
-    """(word binary, n): pre-token counts over all whole texts, summed per batch before the shuffle."""
+    """(word binary, n): pre-token counts over all whole texts, summed over slices of a task before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        added = tuple(Vocabulary(vocabulary_path).added)
+        added = added_tokens(vocabulary_path)
+        waiting: list[pa.Table] = []
+
+        def summed() -> Iterator[pa.RecordBatch]:
+            whole = pa.concat_tables(waiting).group_by("word").aggregate([("n", "sum")])
+            yield from whole.rename_columns({"n_sum": "n"}).select(["word", "n"]).to_batches()
+
         for batch in batches:
-            for _, data, offsets in text_slices(batch, 32 << 20):
+            for _, data, offsets in text_slices(batch, SLICE):
                 bounds, _ = pretokens(data, offsets, added)
                 if len(bounds) > 1:
                     coded = binary_view(data, bounds).dictionary_encode()
                     n = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
-                    yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.binary()), pa.array(n)], ["word", "n"])
+                    waiting.append(pa.table({"word": coded.dictionary.cast(pa.binary()), "n": n}))
+                    if sum(t.num_rows for t in waiting) >= PENDING:
+                        yield from summed()
+                        waiting = []
+        if waiting:
+            yield from summed()
 
     return docs.select("text").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, vocabulary_path: str, size: int = LEXICON_WORDS) -> bytes:
-    """Image of the lexicon of the ``size`` most frequent words (a bound of the model, ties to the smaller word)."""
-    top = word_counts(docs, vocabulary_path).where(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(size).select("word")
+    """Image of the lexicon of the most frequent words, at most ``size`` (a bound of the model; it decides cost, never ids)."""
+    counted = written(word_counts(docs, vocabulary_path).where(F.length("word") <= 64), "pretokens")
     vocabulary = Vocabulary(vocabulary_path)
-    words = sorted(bytes(r[0]) for r in top.collect())
+    words = sorted(bytes(r[0]) for r in most_frequent(counted, "n", size).select("word").collect())
     words = [w for w in words if w not in vocabulary.added]
     lengths = np.array([len(w) for w in words], dtype=np.int64)
     data = np.frombuffer(b"".join(words) or b"\0", dtype=np.uint8)
@@ -461,7 +482,7 @@ def _encode(docs: DataFrame, vocabulary_path: str, lexicon_size: int, digest: bo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary_path, image)
         for batch in batches:
-            for rows, data, offsets in text_slices(batch):
+            for rows, data, offsets in text_slices(batch, SLICE):
                 ids, bounds = encoder.encode_batch(data, offsets)
                 small = ids.astype("<u4")
                 decoded = encoder.vocabulary.decode(ids)

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from postern.session import shared_folder
 
@@ -75,3 +76,27 @@ def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
 def input_blocks(docs: DataFrame) -> int:
     """How many blocks a table is worked on in: follows its input splits, and the session's shuffle partitions where those are more."""
     return max(docs.select("doc_id").rdd.getNumPartitions(), block_count(docs.sparkSession))
+
+
+def text_blocks(docs: DataFrame, block_bytes: int) -> int:
+    """Blocks of about so many bytes of text: follows the texts themselves, not splits or settings, which may be compressed or coarse."""
+    total = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    return max(input_blocks(docs), -(-total // block_bytes))
+
+
+def most_frequent(counted: DataFrame, n: str, at_most: int) -> DataFrame:
+    """The rows of largest ``n`` (a count), at most so many: all from a threshold on.
+
+    The threshold comes from the numbers of rows in each eighth of a power of two, so
+    the driver sees some hundred rows at any size. Rows just below it are left out
+    together, never some of several equal ones.
+    """
+    step = F.floor(F.log2(n) * 8).cast("int")
+    sizes = sorted(((r[0], r[1]) for r in counted.groupBy(step).agg(F.count("*")).collect()), reverse=True)
+    least, total = None, 0
+    for level, rows in sizes:
+        total += rows
+        if total > at_most:
+            break
+        least = level
+    return counted.where(F.lit(False) if least is None else step >= least)

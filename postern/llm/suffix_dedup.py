@@ -33,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postern.llm.common import binary_view, bucketed, input_blocks, ragged, written
+from postern.llm.common import binary_view, bucketed, ragged, text_blocks, written
 from postern.llm.words import mixed
 
 LENGTH, SEED = 50, 24
 REACH = LENGTH - SEED + 1  # seeds in a window
 CHUNK_BITS, CHUNK_WINDOW, CHUNK_APART = 9, 16, 32
+BLOCK_BYTES = 2 << 20  # text of a block, on average; there are two blocks to a bucket
+STRETCH = 1 << 20  # seeds are chosen for so many starts at once
 
 
 def words_at(data: np.ndarray, shift: int, kind: str = "<u8") -> np.ndarray:
@@ -125,17 +127,18 @@ def seeds(block: Block, wanted: np.ndarray):
     starts = np.flatnonzero(wanted)
     if not len(starts):
         return (np.zeros(0, np.int64),) * 4
-    value = mixed((words_at(block.data, 0) * np.uint64(0x9E3779B97F4A7C15) + words_at(block.data, 8)) * np.uint64(0xC2B2AE3D27D4EB4F) + words_at(block.data, 16))
-    packed = (value >> np.uint64(24)) << np.uint64(24)
-    # the place within a stretch of 2**23 bytes breaks ties towards the left; stretches overlap by more than a window
+    # a stretch at a time; the place in it breaks ties towards the left, and it is read a window further
     out_hash, out_at, out_first, out_last = [], [], [], []
-    stretch = 1 << 23
-    for a in range(0, len(block.data), stretch):
-        own = starts[np.searchsorted(starts, a) : np.searchsorted(starts, a + stretch)]
+    for a in range(0, len(block.data), STRETCH):
+        own = starts[np.searchsorted(starts, a) : np.searchsorted(starts, a + STRETCH)]
         if not len(own):
             continue
-        part = packed[a : a + stretch + LENGTH]
-        least = sliding_min(part | np.arange(len(part), dtype=np.uint64), REACH)[own - a]
+        data = block.data[a : a + STRETCH + 2 * LENGTH]
+        value = mixed((words_at(data, 0) * np.uint64(0x9E3779B97F4A7C15) + words_at(data, 8)) * np.uint64(0xC2B2AE3D27D4EB4F) + words_at(data, 16))[: STRETCH + LENGTH]
+        value >>= np.uint64(24)
+        value <<= np.uint64(24)
+        value |= np.arange(len(value), dtype=np.uint64)
+        least = sliding_min(value, REACH)[own - a]
         at = (least & np.uint64((1 << 24) - 1)).astype(np.int64) + a
         change = np.concatenate([[True], (at[1:] != at[:-1]) | (own[1:] != own[:-1] + 1)])
         begin = np.flatnonzero(change)
@@ -337,7 +340,7 @@ def remove_repeats(docs: DataFrame, text_form: bool = False) -> DataFrame:
 
     The text form also carries the other columns, in the struct ``rest``.
     """
-    n = input_blocks(docs)
+    n = text_blocks(docs, 2 * BLOCK_BYTES)
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     carried = [c for c in docs.columns if c != "text"] if text_form else []
     laid = docs.select(

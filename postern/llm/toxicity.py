@@ -33,7 +33,7 @@ from postern.llm.common import ragged, text_slices
 from postern.llm.words import MARKS, coded_words, mixed, split_words, word_hashes
 
 TRAIN_TOXIC, TRAIN_CLEAN = 2_000, 4_000
-WINDOW, STRIDE = 32, 24  # the stride only where a few windows are to cover a text; scores and training take every start
+WINDOW, STRIDE = 16, 12  # the stride only where a few windows are to cover a text; scores and training take every start
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 4, 4
 ODDS_BITS, WORD_BITS, CHAR_BITS = 18, 13, 12
 FIXED = 4  # log-odds inputs

@@ -259,7 +259,9 @@ def test_toxicity_learns_and_rejects(spark, docs, nothing):
     assert toxicity.score(nothing, network).count() == 0
 
 
-def test_windows_cover_every_word():
+def test_windows_cover_every_word(monkeypatch):
+    monkeypatch.setattr(toxicity, "WINDOW", 32)
+    monkeypatch.setattr(toxicity, "STRIDE", 24)
     types = toxicity.Types(*toxicity.packed([" ".join(f"w{k}" for k in range(100)), "", "a"]))
     codes, owner, number = toxicity.windows(types)
     assert owner.tolist() == [0, 0, 0, 0, 1, 2] and number.tolist() == [0, 1, 2, 3, 0, 0]
