@@ -281,7 +281,8 @@ def test_toxic_passage_counts_alike_at_every_offset():
     assert (score[:24] >= toxicity.THRESHOLD).all() and np.ptp(score[:24]) < 1e-4 and score[24] < 0.01
 
 
-def test_sliding_windows_equal_single_windows():
+def test_sliding_windows_equal_single_windows(monkeypatch):
+    monkeypatch.setattr(toxicity, "WINDOW", 32)
     draw = np.random.default_rng(8)
     network = toxicity.Network(*draw.standard_normal((2, 1 << toxicity.ODDS_BITS)).astype(np.float32))
     types = toxicity.Types(*toxicity.packed([" ".join(f"w{k}" for k in draw.integers(0, 200, 90)), "", "a b", " ".join(["c"] * 40)]))
