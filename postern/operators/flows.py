@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from postern.functions import ids, labels
 from postern.functions.columns import col
 from postern.operators.folds import fold_groups
-from postern.operators.slices import sliced_running_max
+from postern.operators.slices import sliced_running_max, sliced_running_sum
 
 U32 = 4_294_967_296
 FLOW = ["capture_id", "flow"]
@@ -113,14 +113,17 @@ def completeness(gap_count: str, gap_bytes: str, terminated: str | Column) -> tu
     return complete, F.when(~complete, reason)
 
 
-PIECES = "start bigint, stop bigint, offset bigint, number bigint, ts double, data binary, duplicate bigint, retransmitted bigint, segments bigint"
+PLACED = "start bigint, stop bigint, number bigint, ts double, data binary, duplicate bigint, retransmitted bigint, segments bigint"
 
 
-def place(rows: Iterator[dict]) -> list[tuple]:
-    """First arrival wins: every segment keeps only the bytes nobody placed before it."""
+def place(rows: Iterator[dict]) -> Iterator[tuple]:
+    """First arrival wins: every segment keeps only the bytes nobody placed before it.
+
+    A piece leaves as soon as it is placed; only interval bounds stay. The counts
+    of the stream follow as a last row without a place.
+    """
     starts: list[int] = []
     ends: list[int] = []
-    pieces: list[tuple] = []
     same = again = count = 0
     for row in rows:
         start, stop, payload = row["start"], row["end"], row["payload"]
@@ -133,7 +136,7 @@ def place(rows: Iterator[dict]) -> list[tuple]:
                 end = min(limit, stop)
                 starts.insert(at, cursor)
                 ends.insert(at, end)
-                pieces.append((cursor, end, row["number"], row["ts"], None if payload is None else payload[cursor - start : end - start]))
+                yield cursor, end, row["number"], row["ts"], None if payload is None else payload[cursor - start : end - start], None, None, None
                 cursor = end
             else:
                 touched += 1
@@ -144,20 +147,19 @@ def place(rows: Iterator[dict]) -> list[tuple]:
             same += 1
         elif covered:
             again += 1
-    pieces.sort(key=lambda piece: piece[0])
-    out, sent = [], 0
-    for start, end, number, ts, data in pieces:
-        out.append((start, end, sent, number, ts, data, same, again, count))
-        sent += end - start
-    return out
+    yield None, None, None, None, None, same, again, count
 
 
 def stream_pieces(segments: DataFrame, keys: list[str], key_ddl: str) -> DataFrame:
     """Placed pieces per stream with duplicate and retransmission counts, in arrival order: the packets' order in the file, also where clocks step back.
 
-    One TCP direction is sequential by nature and bounded by half the sequence
-    space and the capture format; pieces leave as rows, whole streams are never
-    joined into one value.
+    One TCP direction is sequential by nature; its bytes are never held together.
+    ``offset`` is a piece's place in the reconstructed bytes, without gaps.
     """
     fresh = segments.where(~F.coalesce("stale", F.lit(False)) & F.col("start").isNotNull()).select(*keys, "number", "ts", "start", "end", "payload")
-    return fold_groups(fresh, keys, ["number"], place, f"{key_ddl}, {PIECES}")
+    placed = fold_groups(fresh, keys, ["number"], place, f"{key_ddl}, {PLACED}")
+    counts = placed.where("start IS NULL").select(*keys, "duplicate", "retransmitted", "segments")
+    pieces = placed.where("start IS NOT NULL").drop("duplicate", "retransmitted", "segments")
+    slices = F.call_function("div", F.col("start"), F.lit(SLICE_BYTES))
+    laid = sliced_running_sum(pieces, keys, slices, [F.col("start")], F.col("stop") - F.col("start"), "offset")
+    return laid.join(counts, keys)

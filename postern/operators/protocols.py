@@ -16,6 +16,7 @@ from pyspark.sql.window import Window as W
 
 from postern.functions import fixed_values as V
 from postern.functions import labels
+from postern.functions.columns import epoch_to_timestamp
 from postern.operators.folds import fold_groups
 from postern.operators.slices import sliced_row_number
 
@@ -78,31 +79,44 @@ def infer_implicit(protocol: Column, confidence: Column, implicit: Column, versi
 
 # -- lines -------------------------------------------------------------------------
 
-LINES = "line_offset bigint, line_end bigint, text string, first_packet bigint, last_packet bigint, at double"
+LINES = "line_offset bigint, line_end bigint, text string, first_packet bigint, last_packet bigint, at double, packets array<int>"
 CONTROL = re.compile(r"[\x00-\x1f\x7f]")
 
 
-def split_lines(rows: Iterator[dict]) -> list[tuple]:
-    parts = list(rows)
-    data = b"".join(p["data"] for p in parts)
-    out, cursor, first = [], 0, 0
-    while cursor < len(data):
-        newline = data.find(b"\n", cursor)
-        end = len(data) if newline < 0 else newline + 1
-        raw = data[cursor:end]
-        body = raw[:-2] if raw.endswith(b"\r\n") else raw[:-1] if raw.endswith(b"\n") else raw
-        last_byte = cursor + max(1, len(body)) - 1
-        while first + 1 < len(parts) and parts[first + 1]["offset"] <= cursor:
-            first += 1
-        last = first
-        packets = [parts[first]["number"]]
-        while last + 1 < len(parts) and parts[last + 1]["offset"] <= last_byte:
-            last += 1
-            packets.append(parts[last]["number"])
-        text = CONTROL.sub("", body.decode("latin-1"))[: V.MAX_LINE_LENGTH]
-        out.append((cursor, end, text, min(packets), max(packets), parts[first]["ts"]))
-        cursor = end
-    return out
+class OpenLine:
+    """The line being read: its shown text, its length, and the packets that carry it. Never its bytes."""
+
+    def __init__(self, offset: int, carriers: list[tuple[int, int, float]]) -> None:
+        self.offset, self.carriers = offset, carriers
+        self.size, self.text, self.tail = 0, "", b""
+
+    def add(self, data: bytes) -> None:
+        if len(self.text) < V.MAX_LINE_LENGTH:
+            self.text = (self.text + CONTROL.sub("", data.decode("latin-1")))[: V.MAX_LINE_LENGTH]
+        self.size += len(data)
+        self.tail = (self.tail + data)[-2:]
+
+    def row(self) -> tuple:
+        ending = 2 if self.tail == b"\r\n" else 1 if self.tail.endswith(b"\n") else 0
+        last_byte = self.offset + max(1, self.size - ending) - 1
+        packets = [number for k, (start, number, _) in enumerate(self.carriers) if not k or start <= last_byte]
+        return self.offset, self.offset + self.size, self.text, min(packets), max(packets), self.carriers[0][2], packets
+
+
+def split_lines(rows: Iterator[dict]) -> Iterator[tuple]:
+    line = OpenLine(0, [])
+    for row in rows:
+        data, at = row["data"], 0
+        carrier = (row["offset"], row["number"], row["ts"])
+        line.carriers.append(carrier)
+        while (newline := data.find(b"\n", at)) >= 0:
+            line.add(data[at : newline + 1])
+            yield line.row()
+            at = newline + 1
+            line = OpenLine(line.offset + line.size, [carrier] if at < len(data) else [])
+        line.add(data[at:])
+    if line.size:
+        yield line.row()
 
 
 def conversation_lines(pieces: DataFrame, keys: list[str], key_ddl: str) -> DataFrame:
@@ -120,7 +134,7 @@ def conversation_merge(lines: DataFrame, session: list[str]) -> DataFrame:
 
 # -- events ------------------------------------------------------------------------
 
-EVENTS = "type string, side string, at double, first_packet bigint, last_packet bigint, detail map<string,string>, tls_start bigint"
+EVENTS = "order bigint, type string, side string, at double, first_packet bigint, last_packet bigint, detail map<string,string>, tls_start bigint, packets array<int>"
 
 
 class Walk:
@@ -133,7 +147,7 @@ class Walk:
         self.state: dict = {}
 
     def emit(self, kind: str, line: dict, tls_start: int | None = None, **detail: str) -> None:
-        self.rows.append((kind, line["side"], line["at"], line["first_packet"], line["last_packet"], list(detail.items()), tls_start))
+        self.rows.append((kind, line["side"], line["at"], line["first_packet"], line["last_packet"], list(detail.items()), tls_start, line["packets"]))
 
     def request_tls(self, line: dict, **detail: str) -> None:
         self.emit("starttls_requested", line, line["line_end"], **detail)
@@ -264,21 +278,26 @@ def pop3_step(w: Walk, line: dict) -> None:
 STEPS: dict[str, Callable[[Walk, dict], None]] = {"smtp": smtp_step, "imap": imap_step, "pop3": pop3_step}
 
 
-def walk_conversation(rows: Iterator[dict]) -> list[tuple]:
-    w, last = Walk(), None
+def walk_conversation(rows: Iterator[dict]) -> Iterator[tuple]:
+    """Events leave line by line."""
+    w, last, count = Walk(), None, 0
     for line in rows:
         if w.closed:
             break
         STEPS[line["protocol"]](w, line)
+        for event in w.rows:
+            yield count, *event
+            count += 1
+        w.rows.clear()
         last = line
     if w.state.get("logout") and last is not None:
         w.emit("logout_seen", last)
-    return w.rows
+        yield count, *w.rows[0]
 
 
 def conversation_events(lines: DataFrame, session: list[str], session_ddl: str) -> DataFrame:
     """lines(session, protocol, side, ...) -> timeline events; stops where the stream turns to ciphertext."""
-    wanted = [*session, "protocol", "side", "line_offset", "line_end", "text", "first_packet", "last_packet", "at"]
+    wanted = [*session, "protocol", "side", "line_offset", "line_end", "text", "first_packet", "last_packet", "at", "packets"]
     return fold_groups(lines.select(*wanted), session, ["first_packet", "line_offset"], walk_conversation, f"{session_ddl}, {EVENTS}")
 
 
@@ -312,3 +331,21 @@ def number_events(events: DataFrame, key: str, ts: str, packet: str, tie: str) -
     seconds = F.coalesce(F.floor(F.col(ts).cast("double")), far)
     order = [F.col(ts).asc_nulls_last(), F.coalesce(F.col(packet), F.lit(1 << 30)), F.col(tie)]
     return sliced_row_number(events, [key], seconds, order, "n").withColumn("seq", F.col("n") - 1).drop("n")
+
+
+def session_timeline(events: DataFrame, flows: DataFrame) -> DataFrame:
+    """Conversation and connection events of every session as numbered timeline rows, in the stored form."""
+    spoken = events.where(F.col("type") != "logout_seen").select(
+        "session_id", "type", F.col("side").alias("direction"), F.col("at").alias("ts"), "packets", "detail", F.lit(1).alias("part"), F.col("order")
+    )
+    logouts = events.where(F.col("type") == "logout_seen").select("session_id").distinct()
+    linked = connection_events(flows, logouts)
+    outer = linked.select(
+        "session_id", "type", F.lit("unknown").alias("direction"), "ts", F.array(F.col("packet").cast("int")).alias("packets"),
+        F.create_map(F.lit("basis"), F.col("basis")).alias("detail"), F.when(F.col("type") == "connection_closed", 2).otherwise(0).alias("part"), F.lit(0).cast("bigint").alias("order"),
+    )
+    rows = spoken.unionByName(outer).withColumns({"packet": F.array_min("packets"), "tie": F.struct("part", "order")})
+    numbered = number_events(rows, "session_id", "ts", "packet", "tie")
+    return numbered.join(flows.select("session_id", "capture_id"), "session_id").select(
+        "capture_id", "session_id", "seq", "type", "direction", epoch_to_timestamp("ts").alias("ts"), F.col("packets").alias("packet_numbers"), "detail"
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postern.functions import ids, labels
-from postern.functions.columns import epoch_to_timestamp
+from postern.functions.columns import epoch_to_timestamp, session_duration
 from postern.operators import flows as FL
 from postern.operators import protocols as P
 from postern.operators import tls as T
@@ -60,15 +60,46 @@ class Reconstruction:
         )
 
     def _ciphertext(self) -> DataFrame:
-        """Pieces at or behind the point where each direction turns to TLS."""
-        s, r = self.starttls, self.roles.select(*KEY, "implicit_tls")
-        marked = self.sided.join(r, KEY).join(s.select(*KEY, "response_seen", "client_tls_start", "server_tls_start"), KEY, "left")
-        upgraded = F.col("response_seen") & F.col("client_tls_start").isNotNull() & F.col("server_tls_start").isNotNull()
-        start = F.when(upgraded, F.when(F.col("side") == P.C2S, F.col("client_tls_start")).otherwise(F.col("server_tls_start"))).when(
-            F.col("implicit_tls"), F.lit(0)
-        )
-        return marked.withColumn("tls_start", start.cast("bigint")).where(
-            F.col("tls_start").isNotNull() & (F.col("offset") + F.length("data") > F.col("tls_start"))
+        """Pieces at or behind the point where each direction turns to TLS, and one row without data for every session that turns."""
+        turns = self.roles.select(*KEY, "implicit_tls").join(self.starttls.select(*KEY, "response_seen", "client_tls_start", "server_tls_start"), KEY, "left")
+        upgraded = F.coalesce(F.col("response_seen") & F.col("client_tls_start").isNotNull() & F.col("server_tls_start").isNotNull(), F.lit(False))
+        begin = lambda c: F.when(upgraded, F.col(c)).otherwise(F.lit(0)).cast("bigint")
+        turns = turns.where(upgraded | F.col("implicit_tls")).select(*KEY, begin("client_tls_start").alias("c"), begin("server_tls_start").alias("s"))
+        pieces = self.sided.select(*KEY, "side", "offset", "number", "ts", "data").join(turns, KEY)
+        pieces = pieces.withColumn("tls_start", F.when(F.col("side") == P.C2S, F.col("c")).otherwise(F.col("s"))).drop("c", "s")
+        mark = turns.select(*KEY, F.lit("").alias("side"), F.lit(-1).cast("bigint").alias("offset"), F.lit(None).cast("bigint").alias("number"), F.lit(None).cast("double").alias("ts"), F.lit(None).cast("binary").alias("data"), F.lit(0).cast("bigint").alias("tls_start"))
+        return pieces.where(F.col("offset") + F.length("data") > F.col("tls_start")).unionByName(mark)
+
+    @property
+    def timeline(self) -> DataFrame:
+        """Numbered events of every session, in the form of the stored session_events."""
+        return P.session_timeline(self.events, self.flows)
+
+    def nested_sessions(self, certificates: DataFrame) -> DataFrame:
+        """Sessions in the stored form, with starttls, handshake and certificates, so that rules, posture and graph read them.
+
+        ``certificates``: decoded certificates by fingerprint_sha256; presented ones it
+        does not know keep their position and fingerprint only.
+        """
+        s = self.sessions
+        fields = ("subject", "issuer", "not_before", "not_after", "signature_algorithm", "public_key_algorithm", "public_key_size_bits", "subject_alternative_names")
+        known = certificates.groupBy("fingerprint_sha256").agg(F.min(F.struct(*fields)).alias("k"))
+        shown = s.select("session_id", F.posexplode("fingerprints").alias("position", "fingerprint_sha256"))
+        described = shown.join(known, "fingerprint_sha256", "left").select("session_id", F.struct(
+            F.col("position").alias("position_in_chain"), F.concat(F.lit("cert_"), F.substring("fingerprint_sha256", 1, 12)).alias("certificate_id"), *[F.col(f"k.{f}").alias(f) for f in fields], "fingerprint_sha256"
+        ).alias("c"))
+        chains = described.groupBy("session_id").agg(F.sort_array(F.collect_list("c")).alias("certificates"))
+        empty = F.array().cast(chains.schema["certificates"].dataType)
+        handshake = F.when(F.col("tls_version").isNotNull(), F.struct(
+            ids.tls_handshake_id("session_id").alias("handshake_id"), "tls_version", "cipher_suite_code", "cipher_suite", "key_exchange", "cipher_suites_offered", "extensions", "sni_server_name",
+            "handshake_complete", F.col("handshake_reason").alias("completeness_reason"), "client_hello_packets", "server_hello_packets", "certificate_packets", F.col("tls_started_at").alias("started_at"), "warnings",
+        ))
+        observed = F.col("advertised") | F.col("requested") | F.col("response_seen")
+        starttls = F.when(observed, F.struct("advertised", "requested", "response_seen", F.col("starttls_packet").cast("int").alias("packet_number")))
+        return s.join(chains, "session_id", "left").select(
+            "session_id", "capture_id", "client_ip", "client_port", "server_ip", "server_port", "protocol", "confidence", "orientation", "implicit_tls", "started_at", "ended_at",
+            session_duration("started_at", "ended_at").alias("duration_seconds"), "packet_count", "bytes_client_to_server", "bytes_server_to_client", "complete", "completeness_reason",
+            "retransmissions", "gap_count", "gap_bytes", starttls.alias("starttls"), handshake.alias("handshake"), F.coalesce("certificates", empty).alias("certificates"),
         )
 
     def _sessions(self) -> DataFrame:
@@ -100,6 +131,7 @@ class Reconstruction:
             "implicit_tls", epoch_to_timestamp("first.ts").alias("started_at"), epoch_to_timestamp("last.ts").alias("ended_at"), "packet_count",
             F.coalesce(pick(True, "bytes_a", "bytes_b"), F.lit(0)).alias("bytes_client_to_server"), F.coalesce(pick(False, "bytes_a", "bytes_b"), F.lit(0)).alias("bytes_server_to_client"),
             complete.alias("complete"), reason.alias("completeness_reason"), zero("retransmissions"), "gap_count", "gap_bytes",
-            fold("advertised"), fold("requested"), fold("response_seen"), "tls_version", "cipher_suite_code", "cipher_suite", "key_exchange", "offered_count",
-            "extension_count", "sni_server_name", "handshake_complete", "handshake_reason",
+            fold("advertised"), fold("requested"), fold("response_seen"), F.col("packet_number").alias("starttls_packet"), "tls_version", "cipher_suite_code", "cipher_suite", "key_exchange", "offered_count",
+            "extension_count", "sni_server_name", "handshake_complete", "handshake_reason", "cipher_suites_offered", "extensions", "tls_started_at", "client_hello_packets", "server_hello_packets",
+            "certificate_packets", "fingerprints", "warnings",
         )

@@ -45,3 +45,13 @@ def sliced_running_max(df: DataFrame, keys: list[str], slice_: Column, order: li
     inside = rows.withColumn("_m", F.max(value).over(before))
     joined = _with_carry(inside, carry, [*keys, "_slice"])
     return joined.withColumn(name, F.greatest("_m", "_carry")).drop("_slice", "_m", "_carry")
+
+
+def sliced_running_sum(df: DataFrame, keys: list[str], slice_: Column, order: list[Column], value: Column, name: str) -> DataFrame:
+    """Sum of ``value`` over all earlier rows of the key, 0 on the first."""
+    rows = df.withColumns({"_slice": slice_, "_v": value})
+    carry = _carry(rows, keys, "_slice", F.sum("_v"), F.sum)
+    before = W.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    inside = rows.withColumn("_s", F.sum("_v").over(before))
+    joined = _with_carry(inside, carry, [*keys, "_slice"])
+    return joined.withColumn(name, (F.coalesce("_s", F.lit(0)) + F.coalesce("_carry", F.lit(0))).cast("bigint")).drop("_slice", "_v", "_s", "_carry")

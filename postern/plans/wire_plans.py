@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from postern.functions import ids, labels
 from postern.functions.columns import iso_text
 from postern.operators import flows as FL
+from postern.operators import graph, posture, rules
 from postern.operators import protocols as P
 from postern.operators import tls as T
 from postern.plans.base import query
+from postern.plans.findings_plans import flat
 from postern.sources import captures as C
 
 
@@ -101,8 +103,11 @@ def stream_dup_counts(w):
 
 @query("stream_bytes")
 def stream_bytes(w):
+    """Length and digest of the reconstructed bytes of every direction; the dialogues are short, so their bytes meet here."""
+    parts = F.array_sort(F.collect_list(F.struct("offset", F.hex("data").alias("x"))))
     return w.reconstruction.pieces.groupBy("capture_id", "direction").agg(
-        F.sum(F.length("data")).cast("bigint").alias("bytes"), F.max("duplicate").alias("duplicate"), F.max("retransmitted").alias("retransmitted")
+        F.sum(F.length("data")).cast("bigint").alias("bytes"), F.max("duplicate").alias("duplicate"), F.max("retransmitted").alias("retransmitted"),
+        F.sha2(F.array_join(F.transform(parts, lambda s: s["x"]), ""), 256).alias("hex_sha256"),
     )
 
 
@@ -123,8 +128,13 @@ def conversation_lines(w):
 
 @query("conversation_merge")
 def conversation_merge(w):
-    m = P.conversation_merge(w.reconstruction.lines, ["capture_id", "session_id"])
-    return m.where(F.col("line_no") <= 2).select("capture_id", "line_no", "side", "text")
+    """Every line up to where a conversation turns to ciphertext."""
+    r = w.reconstruction
+    m = P.conversation_merge(r.lines, ["capture_id", "session_id"])
+    turned = r.starttls.select("session_id", "client_tls_start", "server_tls_start")
+    limit = F.when(F.col("side") == P.C2S, F.col("client_tls_start")).otherwise(F.col("server_tls_start"))
+    plain = m.join(turned, "session_id", "left").where(F.col("line_end") <= F.coalesce(F.when(F.col("server_tls_start").isNotNull(), limit), F.lit(1 << 62)))
+    return plain.select("capture_id", "line_no", "side", "line_offset", "line_end", "text", F.array_join(F.col("packets").cast("array<string>"), ",").alias("packets"))
 
 
 def _events(name: str, protocol: str) -> None:
@@ -163,7 +173,13 @@ def starttls_observation(w):
 
 @query("tls_hello_facts")
 def tls_hello_facts(w):
-    return w.reconstruction.tls.select("capture_id", "client_seen", "server_seen", "selected", "sni", "alpn", "progressed", F.size("warnings").cast("bigint").alias("warnings"))
+    """Hellos with extension values, offered suites, the packets that carried them, presented certificates and warnings."""
+    shown = F.array_join(F.transform("extensions", lambda e: F.concat_ws("=", e["name"], e["length"].cast("string"), e["value"])), ";")
+    return w.reconstruction.tls.where("started IS NOT NULL").select(
+        "capture_id", "client_seen", "server_seen", "selected", "sni", "alpn", "progressed", shown.alias("extensions"), F.array_join(F.transform("offered", lambda c: c.cast("string")), ",").alias("offered"),
+        F.array_join(F.col("client_hello_packets").cast("array<string>"), ",").alias("client_packets"), F.array_join(F.col("server_hello_packets").cast("array<string>"), ",").alias("server_packets"),
+        F.array_join("fingerprints", ",").alias("fingerprints"), F.array_join("warnings", ";").alias("warnings"),
+    )
 
 
 @query("negotiated_version")
@@ -192,3 +208,37 @@ def session_build(w):
         "response_seen", "tls_version", "cipher_suite", "key_exchange", F.col("sni_server_name").alias("sni"), "handshake_complete", "packet_count", "gap_count", "retransmissions",
         iso_text("started_at").alias("started_at"),
     )
+
+
+@query("wire_events")
+def wire_events(w):
+    """The numbered timeline of every rebuilt session: order, direction, packets and details."""
+    detail = F.array_join(F.transform(F.array_sort(F.map_entries("detail")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return w.wire_timeline.select(
+        "capture_id", "session_id", "seq", "type", "direction", iso_text("ts").alias("ts"), F.array_join(F.col("packet_numbers").cast("array<string>"), ",").alias("packets"), detail.alias("detail"),
+    )
+
+
+@query("wire_findings")
+def wire_findings(w):
+    """All rules over the sessions rebuilt from packets."""
+    return flat(rules.evaluate(w.wire_sessions, w.wire_timeline, w.policy))
+
+
+@query("wire_posture")
+def wire_posture(w):
+    """Posture of every capture, from its packets."""
+    captures = w.wire_sessions.select("capture_id").distinct()
+    return posture.posture_snapshot(captures, w.wire_hits, w.policy).withColumn("generated_at", iso_text("generated_at"))
+
+
+@query("wire_graph")
+def wire_graph(w):
+    """Evidence graph of the rebuilt sessions: node and edge counts by type of every capture."""
+    s = w.wire_sessions
+    findings = rules.evaluate(s, w.wire_timeline, w.policy)
+    none = w.anomalies.where("FALSE")
+    factors = posture.posture_factors(w.wire_hits)
+    nodes = graph.graph_nodes(s, findings, w.wire_timeline, none, factors).groupBy("capture_id", F.col("node_type").alias("type")).agg(F.count("*").alias("n")).withColumn("part", F.lit("node"))
+    edges = graph.graph_edges(s, findings, w.wire_timeline, none, factors).groupBy("capture_id", F.col("edge_type").alias("type")).agg(F.count("*").alias("n")).withColumn("part", F.lit("edge"))
+    return nodes.unionByName(edges)

@@ -196,6 +196,19 @@ class Workspace(Evidence):
     def reconstruction(self):
         return reconstruct.Reconstruction(self.packets, lambda name, df: self._staged(f"wire_{name}", lambda: df))
 
+    @cached_property
+    def wire_timeline(self) -> DataFrame:
+        return self._staged("wire_timeline", lambda: self.reconstruction.timeline)
+
+    @cached_property
+    def wire_sessions(self) -> DataFrame:
+        """Rebuilt sessions in the stored form; certificates come from the table of decoded ones."""
+        return self._staged("wire_sessions", lambda: self.reconstruction.nested_sessions(self.certificates))
+
+    @cached_property
+    def wire_hits(self) -> DataFrame:
+        return self._staged("wire_hits", lambda: rules.session_hits(self.wire_sessions, self.wire_timeline, self.policy))
+
     @cached_property
     def line_segments(self) -> DataFrame:
         """Order lines as stream segments with gaps and overlaps; arrival order by line number and tie-breaks."""

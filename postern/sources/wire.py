@@ -48,6 +48,16 @@ def _record(kind: str, body: str, tail: str = "''") -> str:
     return f"concat('160301', printf('%04X', {size} + 4), '{kind}', printf('%06X', {size}), {body}, {tail})"
 
 
+# A session's certificates, whose bytes have the fingerprints of the evidence tables.
+LEAF, ISSUER = "hex(concat('cert', CAST(cert_no AS STRING)))", "hex(concat('issuer', CAST(cert_no % 3 AS STRING)))"
+
+
+def _sized(body: str) -> str:
+    return f"concat(printf('%06X', CAST(length({body}) / 2 AS INT)), {body})"
+
+
+CHAIN = f"CASE WHEN cert_no % 2 = 0 OR cert_no = 11 THEN concat({_sized(LEAF)}, {_sized(ISSUER)}) ELSE {_sized(LEAF)} END"
+CERTIFICATE = f"CASE WHEN cert_no IS NOT NULL THEN {_record('0B', _sized(CHAIN))} ELSE '' END"
 CCS = "CASE WHEN p <> 8 THEN '140303000101' ELSE '' END"
 STEPS = (
     ("s", PLAIN, _by_protocol(f"'* OK ready', {CRLF}", f"'+OK ready', {CRLF}", f"'220 mail ESMTP ready', {CRLF}")),
@@ -77,7 +87,7 @@ STEPS = (
         ),
     ),
     ("c", TLS, _record("01", CLIENT_BODY, CCS)),
-    ("s", TLS, _record("02", SERVER_BODY, CCS)),
+    ("s", TLS, _record("02", SERVER_BODY, f"{CERTIFICATE}, {CCS}")),
     ("c", f"{PLAIN} AND NOT ({RESP})", _by_protocol(f"'a3 LOGOUT', {CRLF}", f"'QUIT', {CRLF}", f"'QUIT', {CRLF}")),
     ("s", f"{PLAIN} AND NOT ({RESP})", _by_protocol(f"'a3 OK bye', {CRLF}", f"'+OK bye', {CRLF}", f"'221 bye', {CRLF}")),
 )
