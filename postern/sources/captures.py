@@ -1,9 +1,13 @@
 """Capture files: discovery, format sniffing, identity and packets.
 
 Reading a container is the one place that needs bytes in Python: record headers
-chain by length, so a file is walked from its start. A file is bounded by the
-format (2 GiB, see fixed_values) and files are spread over tasks; the walk is a
-small helper inside ``mapInPandas`` and yields rows in batches.
+chain by length. A large classic container is cut into parts by Spark, which are
+spread over tasks: every part finds its first record by resynchronising (a chain
+of plausible headers), the parts of a file are then checked against one another
+(a part must begin where the one before ends), and where a guess was wrong the
+headers of that file alone are walked in order, one part at a time. So the split
+never changes the packets. Small containers, and block containers, whose later
+blocks depend on earlier ones, are walked whole.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +23,8 @@ from pyspark.sql import functions as F
 from postern.functions import fixed_values as V
 from postern.functions import ids, labels
 from postern.functions.columns import case_map, epoch_to_timestamp
+from postern.operators.folds import fold_groups
+from postern.session import python_partitions
 
 PACKET_DDL = (
     "capture_id string, number bigint, ts double, src_ip string, dst_ip string, src_port int, dst_port int, tcp_flags int, "
@@ -58,22 +65,26 @@ def identify(files: DataFrame) -> DataFrame:
     ).where(F.col("format").isNotNull() & (F.col("size_bytes") <= V.MAX_CAPTURE_BYTES))
 
 
+def _records(head: bytes, data: bytes, at: int, limit: int) -> Iterator[tuple]:
+    """Records of a classic container that begin in ``data`` from ``at`` on and before ``limit``."""
+    order = _byte_order(head)
+    unit = 1e9 if head[:4].hex() in ("4d3cb2a1", "a1b23c4d") else 1e6
+    link = struct.unpack_from(order + "I", head, 20)[0]
+    while at < limit and at + 16 <= len(data):
+        seconds, fraction, size, _ = struct.unpack_from(order + "4I", data, at)
+        if size > V.MAX_PACKET_BYTES:
+            yield link, None, "implausible packet length"
+            return
+        frame = data[at + 16 : at + 16 + size]
+        at += 16 + size
+        yield (link, seconds + fraction / unit, frame) if len(frame) == size else (link, None, "truncated packet record")
+
+
 def _frames(data: bytes) -> Iterator[tuple]:
     """(link type, timestamp, frame) or (link type, None, problem) for every record of a container."""
     magic = data[:4].hex()
     if V.CAPTURE_MAGICS.get(magic) == "pcap" and len(data) >= 24:
-        order = ">" if magic.startswith("a1") else "<"
-        unit = 1e9 if "3c" in magic[:6] and magic in ("4d3cb2a1", "a1b23c4d") else 1e6
-        link = struct.unpack_from(order + "I", data, 20)[0]
-        at = 24
-        while at + 16 <= len(data):
-            seconds, fraction, size, _ = struct.unpack_from(order + "4I", data, at)
-            if size > V.MAX_PACKET_BYTES:
-                yield link, None, "implausible packet length"
-                return
-            frame = data[at + 16 : at + 16 + size]
-            at += 16 + size
-            yield (link, seconds + fraction / unit, frame) if len(frame) == size else (link, None, "truncated packet record")
+        yield from _records(data, data, HEADER, len(data))
     elif magic == "0a0d0d0a" and len(data) >= 28:
         order = {"4d3c2b1a": "<", "1a2b3c4d": ">"}.get(data[8:12].hex())
         if order is None:
@@ -141,31 +152,160 @@ def _tcp(link: int, frame: bytes):
     return dotted(frame[12:16]), dotted(frame[16:20]), source, target, segment[13], seq, ack, len(payload), size, payload
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [part.split()[0] for part in PACKET_DDL.split(", ")]
+COLUMNS = [part.split()[0] for part in PACKET_DDL.split(", ")]
+
+
+def _packet_rows(capture: str, frames: Iterator[tuple], number: int = 0) -> Iterator[pd.DataFrame]:
     rows: list[tuple] = []
+    for link, ts, frame in frames:
+        problem = frame if ts is None else None
+        parsed = None
+        if ts is not None:
+            number += 1
+            parsed = "unknown interface link type" if frame is None else _tcp(link, frame)
+            problem = parsed if isinstance(parsed, str) else None
+        fields = parsed if isinstance(parsed, tuple) else (None,) * 10
+        rows.append((capture, number, ts, *fields, link, problem))
+        if len(rows) >= BATCH:
+            yield pd.DataFrame(rows, columns=COLUMNS)
+            rows = []
+    if rows:
+        yield pd.DataFrame(rows, columns=COLUMNS)
+
+
+def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
+        waiting: list[pd.DataFrame] = []
         for capture, data in zip(batch["capture_id"], batch["content"]):
-            number = 0
-            for link, ts, frame in _frames(bytes(data)):
-                problem = frame if ts is None else None
-                parsed = None
-                if ts is not None:
-                    number += 1
-                    parsed = "unknown interface link type" if frame is None else _tcp(link, frame)
-                    problem = parsed if isinstance(parsed, str) else None
-                fields = parsed if isinstance(parsed, tuple) else (None,) * 10
-                rows.append((capture, number, ts, *fields, link, problem))
-                if len(rows) >= BATCH:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
-    if rows:
-        yield pd.DataFrame(rows, columns=names)
+            waiting += _packet_rows(capture, _frames(bytes(data)))
+            if sum(map(len, waiting)) >= BATCH:
+                yield pd.concat(waiting)
+                waiting = []
+        if waiting:
+            yield pd.concat(waiting)
+
+
+PART_BYTES = 8 << 20
+OVERLAP = V.MAX_PACKET_BYTES + 16  # a record that begins in a part may end so far behind it
+CHAIN = 8  # plausible headers in a row that make a guess
+HEADER = 24
+PARTS = "capture_id string, part int, head binary, base bigint, last boolean, content binary"
+STARTS = "capture_id string, part int, start bigint, first_number bigint"
 
 
-def parse_packets(captures: DataFrame) -> DataFrame:
+def parse_packets(captures: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """All records of all captures; skipped ones carry the reason in ``problem``."""
-    return captures.select("capture_id", "content").mapInPandas(_parse, PACKET_DDL)
+    files = captures.select("capture_id", "content")
+    split = (capture_format("content") == "pcap") & (F.length("content") > part_bytes + HEADER)
+    whole = files.where(~F.coalesce(split, F.lit(False))).mapInPandas(_parse, PACKET_DDL)
+    parts = container_parts(files.where(split), part_bytes)
+    placed = parts.join(part_starts(parts, part_bytes), ["capture_id", "part"]).where("start IS NOT NULL")
+    return whole.unionByName(placed.select("capture_id", "head", "base", "content", "start", "first_number", F.lit(part_bytes).alias("size")).mapInPandas(_parse_part, PACKET_DDL))
+
+
+def container_parts(files: DataFrame, part_bytes: int) -> DataFrame:
+    """Parts of classic containers with the bytes a record may reach beyond them; one shuffle spreads them."""
+    size = F.length("content") - HEADER
+    cut = files.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((size - 1) / part_bytes).cast("int"))))
+    base = F.lit(HEADER) + F.col("part").cast("bigint") * part_bytes
+    parts = cut.select(
+        "capture_id", "part", F.substring("content", 1, HEADER).alias("head"), base.alias("base"), (base + part_bytes + OVERLAP >= F.length("content")).alias("last"),
+        F.substring(F.col("content"), (base + 1).cast("int"), F.lit(part_bytes + OVERLAP)).alias("content"),
+    )
+    return parts.repartition(python_partitions(files.sparkSession), "capture_id", "part")
+
+
+def part_starts(parts: DataFrame, part_bytes: int) -> DataFrame:
+    """(capture_id, part, start, first_number) of every part in which a record begins; exact, however the guesses fall."""
+    guesses = parts.select("capture_id", "part", "head", "base", "last", "content", F.lit(part_bytes).alias("size")).mapInPandas(_guess, "capture_id string, part int, start bigint, stop bigint, records bigint")
+    checked = fold_groups(guesses.withColumn("size", F.lit(part_bytes).cast("bigint")), ["capture_id"], ["part"], _checked, STARTS)
+    wrong = checked.where("part < 0").select("capture_id")
+    repaired = fold_groups(parts.join(wrong, "capture_id", "left_semi").withColumn("size", F.lit(part_bytes).cast("bigint")), ["capture_id"], ["part"], _walked, STARTS)
+    return checked.join(wrong, "capture_id", "left_anti").unionByName(repaired)
+
+
+def _byte_order(head: bytes) -> str:
+    return ">" if head[:2] == b"\xa1\xb2" else "<"
+
+
+def _hop(data: bytes, at: int, limit: int, order: str) -> tuple[int | None, int]:
+    """Walks record headers from ``at``: (where the first record at or behind ``limit`` begins, complete records passed). None: the container ends or breaks off here."""
+    records = 0
+    while at < limit:
+        if at + 16 > len(data):
+            return None, records
+        size = struct.unpack_from(order + "I", data, at + 8)[0]
+        if size > V.MAX_PACKET_BYTES or at + 16 + size > len(data):
+            return None, records
+        at += 16 + size
+        records += 1
+    return at, records
+
+
+def _plausible(data: bytes, order: str, unit: int) -> np.ndarray:
+    """Positions whose bytes could be a record header."""
+    n = len(data) - 15
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    word = lambda shift: np.ndarray((n,), dtype=order + "u4", buffer=data, offset=shift, strides=(1,))
+    return np.flatnonzero((word(4) < unit) & (word(8) <= V.MAX_PACKET_BYTES) & (word(12) >= word(8)) & (word(12) <= V.MAX_PACKET_BYTES))
+
+
+def _guess(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Where the first record of each part begins, as far as the part itself can tell; -1 as ``stop``: nothing follows."""
+    for batch in batches:
+        rows = []
+        for row in batch.itertuples():
+            data, order = bytes(row.content), _byte_order(row.head)
+            good = np.zeros(len(data) + 1, dtype=bool)
+            places = _plausible(data, order, 1_000_000_000)
+            good[places] = True
+            start = None
+            for at in [0] if row.part == 0 else places[places < row.size].tolist():
+                here, steps = at, 0
+                while row.part and steps < CHAIN and here + 16 <= len(data) and good[here]:
+                    here, steps = here + 16 + struct.unpack_from(order + "I", data, here + 8)[0], steps + 1
+                if row.part == 0 or steps == CHAIN or (steps and here >= len(data) - 16):
+                    start = at
+                    break
+            stop, records = (None, 0) if start is None else _hop(data, start, min(row.size, len(data)), order)
+            ended = start is not None and stop is None
+            rows.append((row.capture_id, row.part, None if start is None else row.base + start, -1 if ended else None if stop is None else row.base + stop, records))
+        yield pd.DataFrame(rows, columns=["capture_id", "part", "start", "stop", "records"]).astype({"start": "Int64", "stop": "Int64"})
+
+
+def _checked(rows: Iterator[dict]) -> Iterator[tuple]:
+    """Starts of a file's parts where every part begins at the end of the one before; else one row with part -1."""
+    expected, number, out = HEADER, 0, []
+    for row in rows:
+        end = HEADER + (row["part"] + 1) * row["size"]
+        if expected < 0 or expected >= end:  # the container broke off before, or a long record covers the part
+            continue
+        if row["start"] != expected:
+            yield -1, None, None
+            return
+        out.append((row["part"], expected, number))
+        expected, number = row["stop"], number + row["records"]
+    yield from out
+
+
+def _walked(rows: Iterator[dict]) -> Iterator[tuple]:
+    """The same by walking the headers in order; one part is held at a time."""
+    expected, number = HEADER, 0
+    for row in rows:
+        if expected is None or expected >= row["base"] + row["size"]:
+            continue
+        yield row["part"], expected, number
+        data = row["content"]
+        stop, records = _hop(data, expected - row["base"], min(row["size"], len(data)), _byte_order(row["head"]))
+        expected, number = None if stop is None else row["base"] + stop, number + records
+
+
+def _parse_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for row in batch.itertuples():
+            data = bytes(row.content)
+            yield from _packet_rows(row.capture_id, _records(bytes(row.head), data, row.start - row.base, min(row.size, len(data))), row.first_number)
 
 
 def tcp_packets(parsed: DataFrame) -> DataFrame:

@@ -119,3 +119,27 @@ def test_malformed_tls_never_raises():
     rng = random.Random(5)
     for size in (0, 1, 4, 5, 9, 40, 400):
         hello_facts(bytes(rng.randrange(256) for _ in range(size)), b"\x16\x03\x01\x00\x10" + bytes(rng.randrange(256) for _ in range(size)))
+
+
+def test_split_containers_give_the_same_packets(spark):
+    """Parts of every size, records longer than a part, payloads that look like headers, cut and broken ends."""
+    rng = random.Random(3)
+    frame = lambda payload: b"\0" * 12 + b"\x08\x00" + struct.pack(">BBHHHBBH4s4s", 0x45, 0, 40 + len(payload), 0, 0, 64, 6, 0, b"\x0a\0\0\1", b"\x0a\0\0\2") + struct.pack(">HHIIBBHHH", 1, 25, 7, 8, 0x50, 24, 9, 0, 0) + payload
+    rows = []
+    for n, order in enumerate("><><><"):
+        record = lambda body, order=order: struct.pack(order + "4I", 5, 6, len(body), len(body)) + body
+        fake = b"".join(struct.pack(order + "4I", 1, 2, 20, 20) + b"x" * 20 for _ in range(12))
+        bodies = [frame(fake if k % 3 == 0 and n > 1 else bytes(rng.randrange(256) for _ in range(rng.choice((0, 5, 90, 700))))) for k in range(40)]
+        data = struct.pack(order + "IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 262144, 1) + b"".join(map(record, bodies))
+        if n == 3:
+            data = data[:-5]
+        if n == 4:
+            data = data[: len(data) // 2] + struct.pack(order + "4I", 1, 2, 1 << 30, 1 << 30) + data[len(data) // 2 :]
+        rows.append((f"c{n}", data))
+    files = spark.createDataFrame([*rows, ("short", rows[0][1][:30]), ("none", b"")], "capture_id string, content binary")
+    order = ["capture_id", "number", "problem"]
+    whole = [tuple(r) for r in C.parse_packets(files, 1 << 20).orderBy(*order).collect()]
+    for part in (64, 300, 5000):
+        assert [tuple(r) for r in C.parse_packets(files, part).orderBy(*order).collect()] == whole
+    starts = C.part_starts(C.container_parts(files.where("capture_id IN ('c2', 'c0')"), 300), 300)
+    assert starts.count() > 30
