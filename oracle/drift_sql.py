@@ -245,7 +245,9 @@ LEFT JOIN (SELECT case_id, count(*) AS n FROM chain GROUP BY ALL) o USING (case_
 SELECT f.capture_id, c.* FROM (SELECT DISTINCT capture_id, protocol, server_ip, server_port FROM findings) f JOIN (
   SELECT capture_id AS target_capture_id, protocol, server_ip, server_port, min(session_id) AS matched_session_id, count(*) AS candidates FROM sessions GROUP BY ALL) c
 ON f.protocol IS NOT DISTINCT FROM c.protocol AND f.server_ip = c.server_ip AND f.server_port = c.server_port""",
-    "join_rule_in_candidates": "SELECT finding_id, rule_id, protocol, server_ip, server_port FROM findings",
+    "join_rule_in_candidates": """
+SELECT r.case_id, r.remediation_id, r.finding_id, r.target_capture_id, b.rule_id, s.protocol, s.server_ip, s.server_port FROM requests r JOIN findings b USING (finding_id) JOIN sessions s ON s.session_id = b.session_id
+WHERE EXISTS (SELECT 1 FROM findings f WHERE f.capture_id = r.target_capture_id AND f.rule_id = b.rule_id AND f.protocol IS NOT DISTINCT FROM s.protocol AND f.server_ip = s.server_ip AND f.server_port = s.server_port)""",
     "verification_eligibility": "SELECT r.remediation_id, r.case_id, c.capture_id AS target_capture_id FROM remediations r JOIN chain c USING (case_id)",
     "verification_by_result": "SELECT case_id, result, count(*) AS n FROM verifications GROUP BY ALL",
     "remediation_from_finding": """

@@ -66,6 +66,16 @@ def verify(requests: DataFrame, findings: DataFrame, sessions: DataFrame, postur
     )
 
 
+def rule_in_candidates(requests: DataFrame, findings: DataFrame, sessions: DataFrame) -> DataFrame:
+    """The requests whose rule fired in a candidate session of the target capture, with the rule and the baseline session's endpoint."""
+    baseline = findings.select("finding_id", "rule_id", "session_id")
+    endpoint = sessions.select("session_id", "protocol", "server_ip", "server_port")
+    asked = requests.join(baseline, "finding_id").join(endpoint, "session_id").alias("a")
+    fired = findings.select(F.col("capture_id").alias("target_capture_id"), "rule_id", "protocol", "server_ip", "server_port").distinct().alias("f")
+    same = [F.col(f"a.{c}") == F.col(f"f.{c}") for c in ("target_capture_id", "rule_id", "server_ip", "server_port")]
+    return asked.join(fired, [*same, F.col("a.protocol").eqNullSafe(F.col("f.protocol"))], "left_semi").drop("session_id")
+
+
 def eligible(requests: DataFrame, case_captures: DataFrame, captures: DataFrame, analysis: DataFrame) -> DataFrame:
     """Requests whose target is attached to the case, registered and analysed."""
     attached = case_captures.select("case_id", F.col("capture_id").alias("target_capture_id"))

@@ -221,8 +221,8 @@ def join_candidate_sessions(w):
 
 @query("join_rule_in_candidates")
 def join_rule_in_candidates(w):
-    asked = w.findings.select("rule_id", "protocol", "server_ip", "server_port").distinct()
-    return w.findings.select("finding_id", "rule_id", "protocol", "server_ip", "server_port").join(asked, ["rule_id", "protocol", "server_ip", "server_port"], "left_semi")
+    """Verification requests against the findings of the target capture's candidate sessions."""
+    return X.rule_in_candidates(w.verification_requests, w.findings, w.sessions)
 
 
 @query("verification_eligibility")

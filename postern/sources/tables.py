@@ -24,8 +24,9 @@ def replace_captures(rows: DataFrame, path: str, captures: DataFrame | None = No
     if captures is not None:
         emptied = captures.select("capture_id").distinct().join(rows.select("capture_id"), "capture_id", "left_anti")
         folder = _folder(rows.sparkSession, path)
+        escaped = rows.sparkSession._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName  # as the writer names partitions
         for row in emptied.toLocalIterator():
-            folder.getFileSystem(rows.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(_folder(rows.sparkSession, f"{path}/capture_id={row[0]}"), True)
+            folder.getFileSystem(rows.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(_folder(rows.sparkSession, f"{path}/capture_id={escaped(row[0])}"), True)
 
 
 def _folder(spark: SparkSession, path: str):

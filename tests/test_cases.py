@@ -191,6 +191,17 @@ def test_replace_empties_captures_without_rows(spark, tmp_path):
     assert {(r.finding_id, r.capture_id) for r in spark.read.parquet(path).collect()} == {("f4", "a"), ("f3", "c")}
 
 
+def test_replace_empties_captures_with_awkward_names(spark, tmp_path):
+    from postern.sources import tables
+
+    schema = "finding_id string, capture_id string"
+    path = f"{tmp_path}/findings"
+    tables.replace_captures(spark.createDataFrame([("f1", "a:1"), ("f2", "b/../c"), ("f3", "c"), ("f4", "50%=x")], schema), path)
+    gone = spark.createDataFrame([("a:1",), ("b/../c",), ("50%=x",)], "capture_id string")
+    tables.replace_captures(spark.createDataFrame([("f5", "50%=x")], schema), path, gone)
+    assert {(r.finding_id, r.capture_id) for r in spark.read.parquet(path).collect()} == {("f3", "c"), ("f5", "50%=x")}
+
+
 def test_lifecycle_keeps_anchors_apart(spark):
     names, states = ["a", "b", "c", "d"], "paap"
     ch = spark.createDataFrame([("k", n, p) for p, n in enumerate(names)], "case_id string, capture_id string, pos bigint")
