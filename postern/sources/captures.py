@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -155,8 +156,7 @@ def _tcp(link: int, frame: bytes):
 COLUMNS = [part.split()[0] for part in PACKET_DDL.split(", ")]
 
 
-def _packet_rows(capture: str, frames: Iterator[tuple], number: int = 0) -> Iterator[pd.DataFrame]:
-    rows: list[tuple] = []
+def _packet_rows(capture: str, frames: Iterator[tuple], number: int = 0) -> Iterator[tuple]:
     for link, ts, frame in frames:
         problem = frame if ts is None else None
         parsed = None
@@ -165,24 +165,16 @@ def _packet_rows(capture: str, frames: Iterator[tuple], number: int = 0) -> Iter
             parsed = "unknown interface link type" if frame is None else _tcp(link, frame)
             problem = parsed if isinstance(parsed, str) else None
         fields = parsed if isinstance(parsed, tuple) else (None,) * 10
-        rows.append((capture, number, ts, *fields, link, problem))
-        if len(rows) >= BATCH:
-            yield pd.DataFrame(rows, columns=COLUMNS)
-            rows = []
-    if rows:
-        yield pd.DataFrame(rows, columns=COLUMNS)
+        yield capture, number, ts, *fields, link, problem
+
+
+def _batched(rows: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+    while part := list(islice(rows, BATCH)):
+        yield pd.DataFrame(part, columns=COLUMNS)
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        waiting: list[pd.DataFrame] = []
-        for capture, data in zip(batch["capture_id"], batch["content"]):
-            waiting += _packet_rows(capture, _frames(bytes(data)))
-            if sum(map(len, waiting)) >= BATCH:
-                yield pd.concat(waiting)
-                waiting = []
-        if waiting:
-            yield pd.concat(waiting)
+    yield from _batched(row for batch in batches for capture, data in zip(batch["capture_id"], batch["content"]) for row in _packet_rows(capture, _frames(bytes(data))))
 
 
 PART_BYTES = 8 << 20
@@ -301,11 +293,13 @@ def _walked(rows: Iterator[dict]) -> Iterator[tuple]:
         expected, number = None if stop is None else row["base"] + stop, number + records
 
 
+def _part_rows(row) -> Iterator[tuple]:
+    data = bytes(row.content)
+    return _packet_rows(row.capture_id, _records(bytes(row.head), data, row.start - row.base, min(row.size, len(data))), row.first_number)
+
+
 def _parse_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for row in batch.itertuples():
-            data = bytes(row.content)
-            yield from _packet_rows(row.capture_id, _records(bytes(row.head), data, row.start - row.base, min(row.size, len(data))), row.first_number)
+    yield from _batched(packet for batch in batches for row in batch.itertuples() for packet in _part_rows(row))
 
 
 def tcp_packets(parsed: DataFrame) -> DataFrame:
