@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import oracle.graph_sql  # noqa: F401  nodes and edges
 from oracle.compose import WORD
 from oracle.evidence import CTES, case_sql, iso, q, sha
 from oracle.findings import findings_sql
@@ -101,9 +102,10 @@ def needs(name: str, below: set[str]) -> bool:
 
 
 def rewired_body(body: str) -> str:
-    renamed = {"sessions": "wire_session_rows", "findings": "wire_finding_rows", "captures": "wire_capture_rows"}
+    renamed = {"sessions": "wire_session_rows", "findings": "wire_finding_rows", "captures": "wire_capture_rows", "session_events": "wire_session_events", "anomalies": "wire_no_anomalies"}
+    below = set(renamed)
     for word in sorted(set(WORD.findall(body)) & CTES.keys()):
-        if needs(word, {"sessions", "findings", "captures"}):
+        if needs(word, below):
             body = re.sub(rf"\b{word}\b", rewired(word, renamed), body)
     return body
 
@@ -168,6 +170,13 @@ FROM (SELECT capture_id, number, d, unnest(range(1, len(parts))) AS k, unnest(pa
   FROM sent s JOIN (SELECT capture_id, i, number FROM packets) k ON k.capture_id = s.session_id AND k.i = s.i JOIN (SELECT session_id, implicit_tls FROM session_numbers) n USING (session_id) WHERE s.i NOT IN (7, 8)))
 WINDOW w AS (PARTITION BY capture_id, d ORDER BY number, k ROWS UNBOUNDED PRECEDING)"""
 
+CTES["wire_session_events"] = f"""
+SELECT t.capture_id, f.session_id, row_number() OVER (PARTITION BY t.capture_id ORDER BY number, part, k) - 1 AS seq, type, direction, ts, CAST(number AS INT) AS packet, detail
+FROM wire_timeline_rows t JOIN wire_flows f USING (capture_id)"""
+CTES["wire_no_anomalies"] = "SELECT * FROM anomalies WHERE FALSE"
+GRAPH_COUNTS = """
+SELECT capture_id, node_type AS type, count(*) AS n, 'node' AS part FROM nodes GROUP BY ALL UNION ALL SELECT capture_id, edge_type, count(*), 'edge' FROM edges GROUP BY ALL"""
+
 
 BODIES = {
     "src_captures": "SELECT 'pcap' AS format, count(*) AS captures, CAST(sum(24 + n) AS BIGINT) AS bytes FROM (SELECT capture_id, sum(70 + captured_len) AS n FROM packets GROUP BY ALL)",
@@ -221,6 +230,7 @@ FROM sessions s JOIN wire_flows f ON f.capture_id = s.session_id""",
 SELECT t.capture_id, f.session_id, row_number() OVER (PARTITION BY t.capture_id ORDER BY number, part, k) - 1 AS seq, type, direction, {iso('make_timestamp(CAST(ts AS BIGINT) * 1000000)')} AS ts, CAST(number AS VARCHAR) AS packets, detail
 FROM wire_timeline_rows t JOIN wire_flows f USING (capture_id)""",
     "wire_findings": f"SELECT {FLAT} FROM wire_finding_rows",
+    "wire_graph": rewired_body(GRAPH_COUNTS),
     "wire_posture": rewired_body(POSTURE_BODIES["posture_snapshot"]),
 }
 BODIES["src_packets_split"] = BODIES["src_packets"]
