@@ -66,6 +66,8 @@ FROM (SELECT doc_id AS upload_id, sha256(text) AS sha256, doc_id % 7 AS ingested
     "filename_valid": f"""
 SELECT page_id, length(n) > 0 AND length(n) <= 255 AND NOT ({VALID}) AND (ends_with(lower(n), '.pcap') OR ends_with(lower(n), '.pcapng')) AS valid FROM (
   SELECT page_id, trim(concat(CASE WHEN page_id % 2 = 0 THEN string_split(url, '/')[-1] ELSE url END, CASE page_id % 3 WHEN 0 THEN '.PCAP' WHEN 1 THEN '.pcapng' ELSE '.txt' END)) AS n FROM pages)""",
+    "src_case_evidence": """
+SELECT session_id, capture_id, protocol, packet_count FROM sessions WHERE capture_id IN (SELECT capture_id FROM case_captures JOIN cases USING (case_id) WHERE status = 'OPEN')""",
     "src_evidence_tables": "SELECT capture_id, protocol, count(*) AS sessions, CAST(sum(packet_count) AS BIGINT) AS packets FROM sessions GROUP BY ALL",
     "analysis_status": """
 SELECT c.capture_id, coalesce(a.status, 'not_analyzed') AS status, a.warning, CASE WHEN a.status = 'completed' THEN coalesce(s.n, 0) ELSE 0 END AS session_count

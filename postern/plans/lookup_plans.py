@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from postern.functions import ids, labels
@@ -11,6 +13,8 @@ from postern.operators import lookups as L
 from postern.operators import reports as R
 from postern.operators.rules import leaf
 from postern.plans.base import query
+from postern.session import shared_folder
+from postern.sources import tables
 
 S = ["session_id", "capture_id", "protocol", "server_ip", "server_port"]
 FND = ["finding_id", "capture_id", "session_id", "rule_id", "severity"]
@@ -123,6 +127,15 @@ def src_evidence_tables(w):
     return w.sessions.groupBy("capture_id", "protocol").agg(F.count("*").alias("sessions"), F.sum("packet_count").alias("packets"))
 
 
+@query("src_case_evidence")
+def src_case_evidence(w):
+    """Stored sessions of open cases; only the folders of their captures are opened."""
+    path = f"{shared_folder(w.spark)}/evidence-{uuid.uuid4().hex}"
+    tables.replace_captures(w.sessions.select("session_id", "capture_id", "protocol", "packet_count"), path)
+    wanted = w.case_captures.join(w.cases.where(F.col("status") == "OPEN"), "case_id")
+    return tables.scan(w.spark, path, wanted)
+
+
 @query("analysis_status")
 def analysis_status(w):
     return L.analysis_status(w.captures, w.analysis, w.sessions)

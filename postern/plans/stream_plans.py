@@ -26,10 +26,8 @@ def _stream_staged(w, table):
     return w.spark.readStream.schema(table.schema).parquet(path)
 
 
-def _finished_findings(w):
-    """All findings as a stream, then a row that closes the last windows."""
-    narrow = w.findings.select("severity", "detected_at")
-    return _stream_staged(w, w.findings).select("severity", "detected_at").unionByName(J.closing_stream(w.spark, narrow, "detected_at"))
+def _finding_times(w):
+    return _stream_staged(w, w.findings).select("severity", "detected_at")
 
 
 @query("stream_rules")
@@ -39,21 +37,20 @@ def stream_rules(w):
 
 @query("stream_flow_sessions")
 def stream_flow_sessions(w):
-    timed = lambda df: df.withColumn("ts", F.col("ts").cast("timestamp"))
-    events = timed(_stream_table(w, "events")).unionByName(J.closing_stream(w.spark, timed(w.table("events")), "ts"))
-    out = J.run_available(J.stream_flow_sessions(events, "user_id"), "flows")
+    events = _stream_table(w, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = J.run_closable(events, lambda s: J.stream_flow_sessions(s, "user_id"), "ts", "flows")
     return out.select("user_id", F.unix_micros("started_at").alias("started_us"), F.unix_micros("closed_at").alias("closed_us"), "packets")
 
 
 @query("stream_finding_counts")
 def stream_finding_counts(w):
-    out = J.run_available(J.stream_finding_counts(_finished_findings(w)), "counts")
+    out = J.run_closable(_finding_times(w), J.stream_finding_counts, "detected_at", "counts")
     return out.select(iso_text("window_start").alias("window_start"), "severity", "findings")
 
 
 @query("stream_finding_counts_sliding")
 def stream_finding_counts_sliding(w):
-    out = J.run_available(J.stream_finding_counts(_finished_findings(w), slide="15 minutes"), "sliding")
+    out = J.run_closable(_finding_times(w), lambda s: J.stream_finding_counts(s, slide="15 minutes"), "detected_at", "sliding")
     return out.select(iso_text("window_start").alias("window_start"), "severity", "findings")
 
 

@@ -7,6 +7,7 @@ deduplication keep bounded state behind a watermark.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from postern.operators import rules
 from postern.session import shared_folder
 from postern.sources.policy import Policy
 
+END_OF_TIME = 253_370_764_800  # 9999-01-01
+
 
 def stream_rules(sessions: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """Findings of an append stream of sessions: the batch expressions, nothing kept. The authentication rule needs
@@ -43,29 +46,48 @@ def stream_capture_dedup(uploads: DataFrame, ts: str = "ingested_at", late: str
     return uploads.withWatermark(ts, late).dropDuplicatesWithinWatermark(["sha256"])
 
 
-def closing_stream(spark: SparkSession, rows: DataFrame, ts: str) -> DataFrame:
-    """A stream of one row, NULL but for a time a day after all of ``rows``: united with a finished input, it moves the
-    watermark past every open window and session. Its own window stays open and is never emitted."""
-    folder = shared_folder(spark)
-    if folder is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    path = f"{folder}/stream-close-{uuid.uuid4().hex}"
-    last = rows.agg(F.max(ts).alias("_last"))
-    at = F.col("_last") + F.expr("INTERVAL 1 DAY")
-    last.select(*[(at if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema]).write.parquet(path)
-    return spark.readStream.schema(rows.schema).parquet(path)
-
+def run_available(stream: DataFrame, name: str, base: str | None = None) -> DataFrame:
+    """Process everything available, append it to a table in the shared folder and read it back.
 
-def run_available(stream: DataFrame, name: str) -> DataFrame:
-    """Process everything available, append it to a table in the shared folder and read it back."""
-    spark = stream.sparkSession
-    folder = shared_folder(spark)
-    if folder is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    base = f"{folder}/stream-{name}-{uuid.uuid4().hex}"
+    ``base`` is the query's own folder, with its table and checkpoint: run again with
+    it, also by another application after a failure, the query goes on where its
+    checkpoint stands, and no row is read or written twice.
+    """
+    base = base or query_folder(stream.sparkSession, name)
     query = (
         stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/table")
         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/table")
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/table")
+
+
+def run_closable(source: DataFrame, job: Callable[[DataFrame], DataFrame], ts: str, name: str, base: str | None = None, close: bool = True) -> DataFrame:
+    """Run ``job`` over all that ``source`` has; with ``close`` then emit its open windows and sessions.
+
+    The job reads a second, so far empty, folder too. Closing puts one row there, NULL
+    but for a time after all others, and runs the query again from its checkpoint:
+    the row comes after every micro-batch of the source, however many there were, so
+    none of them is late. Its own window stays open and is never emitted. A closed
+    query takes no more rows.
+    """
+    spark = source.sparkSession
+    base = base or query_folder(spark, name)
+    closing = f"{base}/closing"
+    spark.createDataFrame([], source.schema).write.mode("ignore").parquet(closing)
+    stream = job(source.unionByName(spark.readStream.schema(source.schema).parquet(closing)))
+    out = run_available(stream, name, base)
+    if not close:
+        return out
+    last = F.timestamp_seconds(F.lit(END_OF_TIME))
+    row = spark.range(1).select(*[(last if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in source.schema])
+    row.write.mode("append").parquet(closing)
+    return run_available(stream, name, base)
+
+
+def query_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a query in the shared one."""
+    folder = shared_folder(spark)
+    if folder is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return f"{folder}/stream-{name}-{uuid.uuid4().hex}"
