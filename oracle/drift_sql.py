@@ -66,15 +66,29 @@ FROM (SELECT k.*, a.severity AS a_severity, a.title AS a_title, a.n AS a_n, a.fi
     SELECT p.case_id, p.anchor_capture_id, p.later_capture_id, u.rule_id, c.capture_id, m.rule_id IS NOT NULL AS present,
       {COMPARABLE('p.anchor_capture_id', 'u.rule_id', 'c.capture_id')} AS comparable,
       EXISTS (SELECT 1 FROM rule_presence e JOIN chain ec ON ec.capture_id = e.capture_id WHERE ec.case_id = p.case_id AND e.rule_id = u.rule_id AND ec.pos >= p.anchor_pos AND ec.pos < c.pos) AS seen
-    FROM ({pairs}) p JOIN chain c ON c.case_id = p.case_id AND c.pos > p.anchor_pos AND c.pos < p.later_pos
+    FROM (SELECT DISTINCT case_id, anchor_capture_id, anchor_pos, later_capture_id, later_pos FROM ({pairs})) p JOIN chain c ON c.case_id = p.case_id AND c.pos > p.anchor_pos AND c.pos < p.later_pos
     CROSS JOIN (SELECT DISTINCT rule_id FROM rule_presence) u LEFT JOIN rule_presence m ON m.capture_id = c.capture_id AND m.rule_id = u.rule_id)
     GROUP BY ALL) g ON g.case_id = k.case_id AND g.anchor_capture_id = k.anchor_capture_id AND g.later_capture_id = k.later_capture_id AND g.rule_id = k.rule_id)"""
 
 
 CTES["lifecycle"] = lifecycle_sql("SELECT * FROM pairs")
-EXPLICIT = """SELECT c.case_id, f.capture_id AS previous_capture_id, c.capture_id AS later_capture_id, c.pos AS later_pos, f.capture_id AS anchor_capture_id, CAST(0 AS BIGINT) AS anchor_pos
-  FROM chain c JOIN chain f ON f.case_id = c.case_id AND f.pos = 0 WHERE c.pos > 0"""
-CTES["explicit_lifecycle"] = lifecycle_sql(EXPLICIT)
+CTES["compare_requests"] = """
+SELECT c.case_id, f.capture_id AS baseline, c.capture_id AS comparison, NULL AS anchor FROM case_captures c JOIN case_captures f ON f.case_id = c.case_id AND f.idx = 0
+UNION ALL SELECT f.case_id, (SELECT max_by(x.capture_id, x.idx) FROM case_captures x WHERE x.case_id = f.case_id), f.capture_id, NULL FROM case_captures f WHERE f.idx = 0
+UNION ALL SELECT case_id, NULL, capture_id, NULL FROM case_captures
+UNION ALL SELECT c.case_id, b.capture_id, c.capture_id, a.capture_id FROM case_captures c JOIN case_captures b ON b.case_id = c.case_id AND b.idx = c.idx - 2 JOIN case_captures a ON a.case_id = c.case_id AND a.idx = 1"""
+CTES["requested_pairs"] = """
+SELECT DISTINCT case_id, baseline AS previous_capture_id, comparison AS later_capture_id, later_pos, CASE WHEN own THEN baseline ELSE anchor END AS anchor_capture_id,
+  CASE WHEN own THEN base_pos ELSE anchor_pos END AS anchor_pos,
+  CASE WHEN baseline IS NULL THEN 'no baseline selected' WHEN baseline = comparison THEN 'captures are the same' WHEN base_pos IS NULL THEN 'baseline capture has not been analysed'
+    WHEN later_pos IS NULL THEN 'comparison capture has not been analysed' WHEN NOT own AND anchor_pos IS NULL THEN 'anchor capture has not been analysed' END AS problem
+FROM (SELECT r.*, bc.pos AS base_pos, cc.pos AS later_pos, ac.pos AS anchor_pos, ai.idx > ci.idx AS own
+  FROM (SELECT q.case_id, coalesce(q.baseline, b.baseline_capture_id) AS baseline, comparison, coalesce(anchor, b.baseline_capture_id, q.baseline) AS anchor FROM compare_requests q LEFT JOIN baselines b USING (case_id)) r
+  LEFT JOIN chain bc ON bc.case_id = r.case_id AND bc.capture_id = r.baseline LEFT JOIN chain cc ON cc.case_id = r.case_id AND cc.capture_id = r.comparison
+  LEFT JOIN chain ac ON ac.case_id = r.case_id AND ac.capture_id = r.anchor LEFT JOIN case_captures ci ON ci.case_id = r.case_id AND ci.capture_id = r.comparison
+  LEFT JOIN case_captures ai ON ai.case_id = r.case_id AND ai.capture_id = r.anchor)"""
+CTES["explicit_pairs"] = "SELECT * EXCLUDE (problem) FROM requested_pairs WHERE problem IS NULL"
+CTES["explicit_lifecycle"] = lifecycle_sql("SELECT * FROM explicit_pairs")
 LAST = """SELECT p.case_id, p.previous_capture_id, p.later_capture_id, p.later_pos, f.capture_id AS anchor_capture_id, CAST(0 AS BIGINT) AS anchor_pos FROM pairs p
   JOIN chain f ON f.case_id = p.case_id AND f.pos = 0 WHERE p.later_pos = (SELECT max(x.pos) FROM chain x WHERE x.case_id = p.case_id)"""
 
@@ -111,10 +125,10 @@ def finding_records(lifecycle: str) -> str:
     )
 
 
-def diff(presence: str, keys: str, columns: str) -> str:
+def diff(presence: str, keys: str, columns: str, pairs: str = "pairs") -> str:
     on = " AND ".join(f"l.{k} = e.{k}" for k in keys.split(", "))
     both = f"""SELECT p.case_id, p.previous_capture_id, p.later_capture_id, p.later_pos, p.anchor_capture_id, {{cols}}, {{flag}} AS in_later
-  FROM pairs p JOIN {presence} {{a}} ON {{a}}.capture_id = p.{{mine}} LEFT JOIN {presence} {{b}} ON {{b}}.capture_id = p.{{other}} AND {on} WHERE {{b}}.capture_id IS NULL"""
+  FROM {pairs} p JOIN {presence} {{a}} ON {{a}}.capture_id = p.{{mine}} LEFT JOIN {presence} {{b}} ON {{b}}.capture_id = p.{{other}} AND {on} WHERE {{b}}.capture_id IS NULL"""
     cols = lambda a: ", ".join(f"{a}.{c}" for c in columns.split(", "))
     return (
         both.format(cols=cols("e"), flag="FALSE", a="e", b="l", mine="previous_capture_id", other="later_capture_id") + " UNION ALL "
@@ -136,34 +150,38 @@ def presence_record(kind, prefix, entity, detail, name, source):
 
 
 CTES["protocol_presence"] = "SELECT DISTINCT capture_id, protocol FROM sessions"
-PARTS = {
-    "drift_posture": posture_records("SELECT * FROM pairs"),
-    "drift_findings": finding_records("lifecycle"),
-    "drift_tls_config": presence_record(
-        "tls_configuration_changed", "tls-config|", "fingerprint", "concat('present|', tls_version, '|', cipher_suite, '|', key_exchange)", "TLS configuration ",
-        diff("tls_presence", "fingerprint", "fingerprint, tls_version, cipher_suite, key_exchange"),
-    ),
-    "drift_certificate": presence_record(
-        "certificate_changed", "certificate|", "fingerprint", "concat('present|', subject, '|', issuer)", "Certificate ", diff("cert_presence", "fingerprint", "fingerprint, subject, issuer")
-    ),
-    "drift_certificate_validity": record(
-        "'certificate_validity_changed'", "concat('certificate-validity|', fingerprint)", "concat('valid=', CAST(was AS VARCHAR))", "concat('valid=', CAST(now AS VARCHAR))",
-        "concat('Certificate ', fingerprint, ' validity status changed between capture ', previous_capture_id, ' and capture ', later_capture_id, '.')",
-        "SELECT p.*, a.fingerprint, a.valid AS was, b.valid AS now FROM pairs p JOIN cert_presence a ON a.capture_id = previous_capture_id JOIN cert_presence b ON b.capture_id = later_capture_id AND b.fingerprint = a.fingerprint WHERE a.valid <> b.valid",
-    ),
-    "drift_protocol": presence_record("protocol_behavior_changed", "protocol|", "protocol", "'present'", "Protocol ", diff("protocol_presence", "protocol", "protocol")),
-    "drift_anomaly_bands": record(
-        "'anomaly_state_changed'", "'anomaly-bands'", "was", "now", "concat('Anomaly band distribution changed between capture ', previous_capture_id, ' and capture ', later_capture_id, '.')",
-        "SELECT p.*, a.bands AS was, b.bands AS now FROM pairs p JOIN band_text a ON a.capture_id = previous_capture_id JOIN band_text b ON b.capture_id = later_capture_id WHERE a.bands <> b.bands",
-    ),
-    "drift_correlation": record(
-        "'correlation_pattern_changed'", "concat('correlation|', correlation_type, '|', evidence_key)", "CAST(NOT in_later AS VARCHAR)", "CAST(in_later AS VARCHAR)",
-        "concat('Shared evidence ', correlation_type, ' (', evidence_key, ') is ', CASE WHEN in_later THEN 'observed' ELSE 'no longer observed' END, ' in capture ', CASE WHEN in_later THEN later_capture_id ELSE previous_capture_id END, '.')",
-        diff("corr_captures", "case_id, correlation_type, evidence_key", "correlation_type, evidence_key").replace(
-            "ON e.capture_id = p.previous_capture_id LEFT", "ON e.capture_id = p.previous_capture_id AND e.case_id = p.case_id LEFT"
-        ).replace("ON l.capture_id = p.later_capture_id LEFT", "ON l.capture_id = p.later_capture_id AND l.case_id = p.case_id LEFT"),
-    ),
-}
+def parts(pairs: str, lifecycle: str) -> dict[str, str]:
+    return {
+        "drift_posture": posture_records(f"SELECT * FROM {pairs}"),
+        "drift_findings": finding_records(lifecycle),
+        "drift_tls_config": presence_record(
+            "tls_configuration_changed", "tls-config|", "fingerprint", "concat('present|', tls_version, '|', cipher_suite, '|', key_exchange)", "TLS configuration ",
+            diff("tls_presence", "fingerprint", "fingerprint, tls_version, cipher_suite, key_exchange", pairs),
+        ),
+        "drift_certificate": presence_record(
+            "certificate_changed", "certificate|", "fingerprint", "concat('present|', subject, '|', issuer)", "Certificate ", diff("cert_presence", "fingerprint", "fingerprint, subject, issuer", pairs)
+        ),
+        "drift_certificate_validity": record(
+            "'certificate_validity_changed'", "concat('certificate-validity|', fingerprint)", "concat('valid=', CAST(was AS VARCHAR))", "concat('valid=', CAST(now AS VARCHAR))",
+            "concat('Certificate ', fingerprint, ' validity status changed between capture ', previous_capture_id, ' and capture ', later_capture_id, '.')",
+            f"SELECT p.*, a.fingerprint, a.valid AS was, b.valid AS now FROM {pairs} p JOIN cert_presence a ON a.capture_id = previous_capture_id JOIN cert_presence b ON b.capture_id = later_capture_id AND b.fingerprint = a.fingerprint WHERE a.valid <> b.valid",
+        ),
+        "drift_protocol": presence_record("protocol_behavior_changed", "protocol|", "protocol", "'present'", "Protocol ", diff("protocol_presence", "protocol", "protocol", pairs)),
+        "drift_anomaly_bands": record(
+            "'anomaly_state_changed'", "'anomaly-bands'", "was", "now", "concat('Anomaly band distribution changed between capture ', previous_capture_id, ' and capture ', later_capture_id, '.')",
+            f"SELECT p.*, a.bands AS was, b.bands AS now FROM {pairs} p JOIN band_text a ON a.capture_id = previous_capture_id JOIN band_text b ON b.capture_id = later_capture_id WHERE a.bands <> b.bands",
+        ),
+        "drift_correlation": record(
+            "'correlation_pattern_changed'", "concat('correlation|', correlation_type, '|', evidence_key)", "CAST(NOT in_later AS VARCHAR)", "CAST(in_later AS VARCHAR)",
+            "concat('Shared evidence ', correlation_type, ' (', evidence_key, ') is ', CASE WHEN in_later THEN 'observed' ELSE 'no longer observed' END, ' in capture ', CASE WHEN in_later THEN later_capture_id ELSE previous_capture_id END, '.')",
+            diff("corr_captures", "case_id, correlation_type, evidence_key", "correlation_type, evidence_key", pairs).replace(
+                "ON e.capture_id = p.previous_capture_id LEFT", "ON e.capture_id = p.previous_capture_id AND e.case_id = p.case_id LEFT"
+            ).replace("ON l.capture_id = p.later_capture_id LEFT", "ON l.capture_id = p.later_capture_id AND l.case_id = p.case_id LEFT"),
+        ),
+    }
+
+
+PARTS = parts("pairs", "lifecycle")
 CTES["drift_records"] = " UNION ALL ".join(PARTS.values())
 CTES["requests"] = """
 SELECT r.case_id, r.remediation_id, r.target_id AS finding_id, c.capture_id AS target_capture_id FROM remediations r JOIN chain c ON c.case_id = r.case_id AND c.pos > 0"""
@@ -227,7 +245,8 @@ FROM cases c LEFT JOIN (SELECT case_id, count(*) AS n FROM chain GROUP BY ALL) o
   SELECT case_id, count(*) AS drift_count, count(*) FILTER (drift_type = 'posture_change') AS posture_changes, count(*) FILTER (drift_type = 'finding_introduced') AS new_findings,
     count(*) FILTER (drift_type = 'finding_resolved') AS resolved_findings, count(*) FILTER (drift_type = 'finding_recurred') AS recurring_findings,
     count(*) FILTER (drift_type IN {V.CONFIGURATION_DRIFT_TYPES}) AS configuration_changes, count(*) FILTER (drift_type = 'anomaly_state_changed') AS anomaly_changes FROM drift_records GROUP BY case_id) d USING (case_id)""",
-    "drift_compare_explicit": f"{posture_records(EXPLICIT)} UNION ALL {finding_records('explicit_lifecycle')}",
+    "drift_compare_requests": "SELECT * EXCLUDE (later_pos, anchor_pos) FROM requested_pairs",
+    "drift_compare_explicit": " UNION ALL ".join(parts("explicit_pairs", "explicit_lifecycle").values()),
     "case_comparisons": f"""
 WITH state AS (SELECT p.capture_id, p.overall_score AS score, h.tls_version, h.cipher_suite, h.key_exchange, t.configurations, c.certificates, r.protocols FROM posture p
   LEFT JOIN (SELECT capture_id, {WORDS('tls_version')} AS tls_version, {WORDS('cipher_suite')} AS cipher_suite, {WORDS('key_exchange')} AS key_exchange FROM sessions WHERE has_handshake GROUP BY ALL) h USING (capture_id)

@@ -50,6 +50,38 @@ def pairs(chain_: DataFrame, baselines: DataFrame) -> DataFrame:
     )
 
 
+def requested_pairs(requests: DataFrame, case_captures: DataFrame, chain_: DataFrame, baselines: DataFrame) -> DataFrame:
+    """Every request with its resolved pair and anchor, or the problem that rules it out.
+
+    ``requests``: case_id, baseline_capture_id, comparison_capture_id,
+    anchor_capture_id. No baseline (NULL or blank) means the stored one. No anchor
+    means the stored baseline, else the pair's own; an anchor attached after the
+    comparison gives way to the pair's own baseline. Rows without a problem serve
+    as pairs; the same pair asked for twice is one.
+    """
+    given = lambda name: F.nullif(F.trim(name), F.lit(""))
+    asked = requests.select("case_id", *[given(f"{side}_capture_id").alias(side) for side in ("baseline", "comparison", "anchor")]).distinct()
+    stored = baselines.select("case_id", F.col("baseline_capture_id").alias("stored"))
+    rows = asked.join(stored, "case_id", "left").withColumn("baseline", F.coalesce("baseline", "stored"))
+    rows = rows.withColumn("anchor", F.coalesce("anchor", "stored", "baseline"))
+    attached = case_captures.join(chain_.select("case_id", "capture_id", "pos"), ["case_id", "capture_id"], "left")
+    for side in ("baseline", "comparison", "anchor"):
+        rows = rows.join(attached.select("case_id", F.col("capture_id").alias(side), F.col("idx").alias(f"{side}_idx"), F.col("pos").alias(f"{side}_pos")), ["case_id", side], "left")
+    foreign, undone = F.col("anchor_idx").isNull(), F.lit(" capture has not been analysed")
+    own = F.col("anchor_idx") > F.col("comparison_idx")
+    problem = (
+        F.when(F.col("baseline").isNull(), "no baseline selected").when(F.col("baseline") == F.col("comparison"), "captures are the same")
+        .when(F.col("baseline_idx").isNull(), "baseline capture is not in the case").when(F.col("baseline_pos").isNull(), F.concat(F.lit("baseline"), undone))
+        .when(F.col("comparison_idx").isNull(), "comparison capture is not in the case").when(F.col("comparison_pos").isNull(), F.concat(F.lit("comparison"), undone))
+        .when(foreign, "anchor capture is not in the case").when(~own & F.col("anchor_pos").isNull(), F.concat(F.lit("anchor"), undone))
+    )
+    resolved = lambda name: F.when(own, F.col(f"baseline{name}")).otherwise(F.col(f"anchor{name}"))
+    return rows.select(
+        "case_id", F.col("baseline").alias("previous_capture_id"), F.col("comparison").alias("later_capture_id"), F.col("comparison_pos").alias("later_pos"),
+        resolved("").alias("anchor_capture_id"), resolved("_pos").alias("anchor_pos"), problem.alias("problem"),
+    ).distinct()
+
+
 def intermediates(pairs_: DataFrame, chain_: DataFrame) -> DataFrame:
     """Captures strictly between anchor and later; the case is the equi key of the range join."""
     inner = chain_.select("case_id", F.col("capture_id").alias("between_capture_id"), F.col("pos").alias("between_pos"))
@@ -235,7 +267,7 @@ def finding_lifecycle(chain_, pairs_, findings, sessions) -> DataFrame:
 def absent_captures(lifecycle: DataFrame, trace_: DataFrame) -> DataFrame:
     """For recurred rules: the comparable captures in between that lacked the rule."""
     key = ["case_id", "anchor_capture_id", "rule_id"]
-    recurred = lifecycle.where(F.col("lifecycle") == "recurred").select(*key, "anchor_pos", "later_pos")
+    recurred = lifecycle.where(F.col("lifecycle") == "recurred").select(*key, "anchor_pos", "later_pos").distinct()
     t = trace_.where(~F.col("present") & F.col("comparable")).select(*key, "pos", "observed_capture_id")
     between = recurred.join(t, key).where((F.col("pos") > F.col("anchor_pos")) & (F.col("pos") < F.col("later_pos")))
     return between.groupBy(*key, "later_pos").agg(
@@ -310,7 +342,24 @@ def presence_changes(presence: DataFrame, chain_: DataFrame, entity: list[str])
 
 
 def _located(presence: DataFrame, chain_: DataFrame) -> DataFrame:
-    return presence.join(chain_, "capture_id").drop("capture_id")
+    return presence.join(chain_, [c for c in ("case_id", "capture_id") if c in presence.columns]).drop("capture_id")
+
+
+def neighbour_changes(presence: DataFrame, chain_: DataFrame, pairs_: DataFrame, entity: list[str]) -> DataFrame:
+    """Rows of pairs with the entities that only one of the two has, for consecutive pairs."""
+    return presence_changes(_located(presence, chain_), chain_, entity).join(pairs_, ["case_id", "later_pos"])
+
+
+def pair_changes(presence: DataFrame, chain_: DataFrame, pairs_: DataFrame, entity: list[str]) -> DataFrame:
+    """The same for any pairs: what both captures hold meets in one aggregate per (pair, entity)."""
+    on = [c for c in ("case_id", "capture_id") if c in presence.columns]
+    details = [c for c in presence.columns if c not in ("case_id", "capture_id", *entity)]
+    side = lambda capture, later: pairs_.withColumn("capture_id", F.col(capture)).join(presence, on).withColumn("in_later", F.lit(later)).drop("capture_id")
+    both = side("previous_capture_id", False).unionByName(side("later_capture_id", True))
+    # an entity of one capture only is one row, so its details are those of the group
+    return both.groupBy(*pairs_.columns, *entity).agg(
+        F.count("*").alias("sides"), F.first("in_later").alias("in_later"), *[F.first(c).alias(c) for c in details]
+    ).where("sides = 1").drop("sides")
 
 
 def _appeared(name: Column) -> Column:
@@ -319,38 +368,50 @@ def _appeared(name: Column) -> Column:
     return F.concat(name, F.lit(" was observed in capture "), here, F.lit(" but not in capture "), there, F.lit("."))
 
 
-def _presence_drift(presence, chain_, pairs_, entity, drift_type, prefix, detail, name) -> DataFrame:
-    changes = presence_changes(_located(presence, chain_), chain_, entity).join(pairs_, ["case_id", "later_pos"])
+def _presence_drift(changes, entity, drift_type, prefix, detail, name) -> DataFrame:
     before = F.when(F.col("in_later"), F.lit("absent")).otherwise(detail)
     after = F.when(F.col("in_later"), detail).otherwise(F.lit("absent"))
-    key = F.concat(F.lit(prefix), F.col(entity[0]))
-    return _records(changes, F.lit(drift_type), key, before, after, _appeared(F.concat(F.lit(name), F.col(entity[0]))))
+    key = F.concat(F.lit(prefix), F.col(entity))
+    return _records(changes, F.lit(drift_type), key, before, after, _appeared(F.concat(F.lit(name), F.col(entity))))
 
 
-def drift_tls_config(chain_, pairs_, sessions) -> DataFrame:
+def drift_tls_config(chain_, pairs_, sessions, changes=neighbour_changes) -> DataFrame:
     presence = tls_presence(sessions).drop("sessions")
     detail = F.concat_ws("|", F.lit("present"), "tls_version", "cipher_suite", "key_exchange")
-    return _presence_drift(presence, chain_, pairs_, ["fingerprint"], "tls_configuration_changed", "tls-config|", detail, "TLS configuration ")
+    return _presence_drift(changes(presence, chain_, pairs_, ["fingerprint"]), "fingerprint", "tls_configuration_changed", "tls-config|", detail, "TLS configuration ")
 
 
-def drift_certificate(chain_, pairs_, sessions) -> DataFrame:
+def drift_certificate(chain_, pairs_, sessions, changes=neighbour_changes) -> DataFrame:
     presence = certificate_presence(sessions).select("capture_id", "fingerprint", "subject", "issuer")
     detail = F.concat_ws("|", F.lit("present"), "subject", "issuer")
-    return _presence_drift(presence, chain_, pairs_, ["fingerprint"], "certificate_changed", "certificate|", detail, "Certificate ")
+    return _presence_drift(changes(presence, chain_, pairs_, ["fingerprint"]), "fingerprint", "certificate_changed", "certificate|", detail, "Certificate ")
 
 
-def drift_protocol(chain_, pairs_, sessions) -> DataFrame:
+def drift_protocol(chain_, pairs_, sessions, changes=neighbour_changes) -> DataFrame:
     presence = protocol_presence(sessions).select("capture_id", "protocol")
-    return _presence_drift(presence, chain_, pairs_, ["protocol"], "protocol_behavior_changed", "protocol|", F.lit("present"), "Protocol ")
+    return _presence_drift(changes(presence, chain_, pairs_, ["protocol"]), "protocol", "protocol_behavior_changed", "protocol|", F.lit("present"), "Protocol ")
 
 
-def drift_certificate_validity(chain_, pairs_, sessions) -> DataFrame:
+def neighbour_flips(chain_, pairs_, sessions) -> DataFrame:
+    """Consecutive pairs with the certificates of both whose validity differs."""
     rows = _located(certificate_presence(sessions), chain_)
     order = W.partitionBy("case_id", "fingerprint").orderBy("pos")
-    flipped = rows.select(
+    return rows.select(
         "case_id", "fingerprint", "subject", F.col("pos").alias("later_pos"), F.col("valid").alias("now"),
         F.lag("valid").over(order).alias("was"), F.lag("pos").over(order).alias("earlier"),
     ).where((F.col("earlier") == F.col("later_pos") - 1) & (F.col("was") != F.col("now"))).join(pairs_, ["case_id", "later_pos"])
+
+
+def pair_flips(chain_, pairs_, sessions) -> DataFrame:
+    """The same for any pairs."""
+    held = certificate_presence(sessions)
+    side = lambda capture, name: held.select(F.col("capture_id").alias(capture), "fingerprint", F.col("valid").alias(name))
+    both = pairs_.join(side("previous_capture_id", "was"), "previous_capture_id").join(side("later_capture_id", "now"), ["later_capture_id", "fingerprint"])
+    return both.where(F.col("was") != F.col("now"))
+
+
+def drift_certificate_validity(chain_, pairs_, sessions, flips=neighbour_flips) -> DataFrame:
+    flipped = flips(chain_, pairs_, sessions)
     statement = F.concat(
         F.lit("Certificate "), "fingerprint", F.lit(" validity status changed between capture "), "previous_capture_id", F.lit(" and capture "), "later_capture_id", F.lit(".")
     )
@@ -366,24 +427,23 @@ def drift_anomaly_bands(chain_, pairs_, anomalies) -> DataFrame:
     return _records(rows.where(F.col("was") != F.col("now")), F.lit("anomaly_state_changed"), F.lit("anomaly-bands"), F.col("was"), F.col("now"), statement)
 
 
-def drift_correlation(chain_, pairs_, correlation_captures) -> DataFrame:
-    presence = correlation_captures.join(chain_.select("capture_id", "pos"), "capture_id").drop("capture_id")
-    changes = presence_changes(presence, chain_, ["correlation_type", "evidence_key"]).join(pairs_, ["case_id", "later_pos"])
+def drift_correlation(chain_, pairs_, correlation_captures, changes=neighbour_changes) -> DataFrame:
+    changed = changes(correlation_captures, chain_, pairs_, ["correlation_type", "evidence_key"])
     text = F.when(F.col("in_later"), F.lit("observed")).otherwise(F.lit("no longer observed"))
     where = F.when(F.col("in_later"), F.col("later_capture_id")).otherwise(F.col("previous_capture_id"))
     statement = F.concat(F.lit("Shared evidence "), "correlation_type", F.lit(" ("), "evidence_key", F.lit(") is "), text, F.lit(" in capture "), where, F.lit("."))
     key = F.concat_ws("|", F.lit("correlation"), "correlation_type", "evidence_key")
-    return _records(changes, F.lit("correlation_pattern_changed"), key, (~F.col("in_later")).cast("string"), F.col("in_later").cast("string"), statement)
+    return _records(changed, F.lit("correlation_pattern_changed"), key, (~F.col("in_later")).cast("string"), F.col("in_later").cast("string"), statement)
 
 
-def drift_chain(chain_, pairs_, sessions, findings, anomalies, posture, correlation_captures) -> DataFrame:
+def drift_chain(chain_, pairs_, sessions, findings, anomalies, posture, correlation_captures, changes=neighbour_changes, flips=neighbour_flips) -> DataFrame:
     """Every drift record of every case."""
     lifecycle = finding_lifecycle(chain_, pairs_, findings, sessions)
     parts = [
         drift_posture(pairs_, posture), drift_findings(lifecycle, trace(chain_, pairs_, findings, sessions)),
-        drift_tls_config(chain_, pairs_, sessions), drift_certificate(chain_, pairs_, sessions),
-        drift_certificate_validity(chain_, pairs_, sessions), drift_protocol(chain_, pairs_, sessions),
-        drift_anomaly_bands(chain_, pairs_, anomalies), drift_correlation(chain_, pairs_, correlation_captures),
+        drift_tls_config(chain_, pairs_, sessions, changes), drift_certificate(chain_, pairs_, sessions, changes),
+        drift_certificate_validity(chain_, pairs_, sessions, flips), drift_protocol(chain_, pairs_, sessions, changes),
+        drift_anomaly_bands(chain_, pairs_, anomalies), drift_correlation(chain_, pairs_, correlation_captures, changes),
     ]
     out = parts[0]
     for part in parts[1:]:
@@ -391,6 +451,11 @@ def drift_chain(chain_, pairs_, sessions, findings, anomalies, posture, correlat
     return out
 
 
+def compare_pairs(chain_, pairs_, sessions, findings, anomalies, posture, correlation_captures) -> DataFrame:
+    """Drift records of any requested pairs of captures, in either order, over all dimensions."""
+    return drift_chain(chain_, pairs_, sessions, findings, anomalies, posture, correlation_captures, pair_changes, pair_flips)
+
+
 def drift_order() -> list[Column]:
     return [F.col(c) for c in ("drift_type", "evidence_key", "baseline_capture_id", "comparison_capture_id", "drift_id")]
 

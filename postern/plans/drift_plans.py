@@ -169,16 +169,16 @@ def drift_summary(w):
     return D.drift_summary(w.cases, w.chain, w.baselines, w.drift_records)
 
 
+@query("drift_compare_requests")
+def drift_compare_requests(w):
+    return w.requested_pairs.drop("later_pos", "anchor_pos")
+
+
 @query("drift_compare_explicit")
 def drift_compare_explicit(w):
-    """Explicit pairs: every capture against the first of its case, findings and posture."""
-    first = w.chain.where(F.col("pos") == 0).select("case_id", F.col("capture_id").alias("first_capture_id"))
-    explicit = w.chain.where(F.col("pos") > 0).join(first, "case_id").select(
-        "case_id", F.col("first_capture_id").alias("previous_capture_id"), F.col("capture_id").alias("later_capture_id"), F.col("pos").alias("later_pos"),
-        F.col("first_capture_id").alias("anchor_capture_id"), F.lit(0).cast("bigint").alias("anchor_pos"),
-    )
-    lifecycle = D.finding_lifecycle(w.chain, explicit, w.findings, w.sessions)
-    return D.drift_posture(explicit, w.posture).unionByName(D.drift_findings(lifecycle, D.trace(w.chain, explicit, w.findings, w.sessions)))
+    """Requested pairs forwards, backwards, against the stored baseline and under another anchor, in all dimensions."""
+    asked = w.requested_pairs.where(F.col("problem").isNull()).drop("problem")
+    return D.compare_pairs(w.chain, asked, w.sessions, w.findings, w.anomalies, w.posture, w.correlation_captures)
 
 
 @query("case_comparisons")

@@ -128,6 +128,27 @@ class Workspace(Evidence):
     def pairs(self) -> DataFrame:
         return drift.pairs(self.chain, self.baselines)
 
+    @cached_property
+    def comparison_requests(self) -> DataFrame:
+        """Attached captures against the first of their case, the first against the last, every capture against the
+        stored baseline and against the one two before it under the second as anchor, and each against itself."""
+        c = self.case_captures.select("case_id", "capture_id", "idx")
+        first = c.where("idx = 0").select("case_id", F.col("capture_id").alias("other"))
+        second = c.where("idx = 1").select("case_id", F.col("capture_id").alias("anchor"))
+        last = c.groupBy("case_id").agg(F.max_by("capture_id", "idx").alias("other"))
+        before = c.select("case_id", F.col("capture_id").alias("other"), (F.col("idx") + 2).alias("idx"))
+        none = F.lit(None).cast("string")
+        row = lambda df, base, comparison, anchor=none: df.select("case_id", base.alias("baseline_capture_id"), comparison.alias("comparison_capture_id"), anchor.alias("anchor_capture_id"))
+        one, other = F.col("capture_id"), F.col("other")
+        return (
+            row(c.join(first, "case_id"), other, one).union(row(c.where("idx = 0").join(last, "case_id"), other, one)).union(row(c, none, one))
+            .union(row(c.join(before, ["case_id", "idx"]).join(second, "case_id"), other, one, F.col("anchor")))
+        )
+
+    @cached_property
+    def requested_pairs(self) -> DataFrame:
+        return drift.requested_pairs(self.comparison_requests, self.case_captures, self.chain, self.baselines)
+
     @cached_property
     def lifecycle(self) -> DataFrame:
         return self._staged("lifecycle", lambda: drift.finding_lifecycle(self.chain, self.pairs, self.findings, self.sessions))

@@ -214,6 +214,32 @@ def test_lifecycle_keeps_anchors_apart(spark):
     assert lifecycle(pairs(("a", 0), ("b", 1)))["b"] == alone["b"] == "new"
 
 
+def test_requested_pairs_resolve_or_say_why_not(spark):
+    attached = spark.createDataFrame([("k", n, i) for i, n in enumerate("abcd")] + [("other", "z", 0)], "case_id string, capture_id string, idx bigint")
+    analysis = spark.createDataFrame([(n, "pending" if n == "c" else "completed") for n in "abcdz"], "capture_id string, status string")
+    stored = spark.createDataFrame([("k", "b")], "case_id string, baseline_capture_id string")
+    asked = [
+        ("k", "a", "d", None), ("k", " ", "d", None), ("k", "d", "a", None), ("k", "a", "d", "a"), ("k", "a", "b", "d"), ("k", "a", "a", None), ("k", "a", "c", None),
+        ("k", "z", "d", None), ("k", "a", "d", "z"), ("k", "a", "d", "c"), ("k", "d", "b", "c"), ("other", None, "z", None), ("k", "a", "d", None), ("k", "a", None, None),
+    ]
+    requests = spark.createDataFrame(asked, "case_id string, baseline_capture_id string, comparison_capture_id string, anchor_capture_id string")
+    rows = D.requested_pairs(requests, attached, D.chain(attached, analysis), stored).collect()
+    good = {(r.previous_capture_id, r.later_capture_id, r.anchor_capture_id, r.anchor_pos, r.later_pos) for r in rows if r.problem is None}
+    # b anchors what follows it; an anchor after the comparison, also one not analysed, gives way to the pair's baseline
+    assert good == {("a", "d", "b", 1, 2), ("b", "d", "b", 1, 2), ("d", "a", "d", 2, 0), ("a", "d", "a", 0, 2), ("a", "b", "a", 0, 1), ("d", "b", "d", 2, 1)}
+    assert sorted(r.problem for r in rows if r.problem) == sorted([
+        "captures are the same", "comparison capture has not been analysed", "baseline capture is not in the case", "anchor capture is not in the case",
+        "anchor capture has not been analysed", "no baseline selected", "comparison capture is not in the case",
+    ])
+
+
+def test_changes_of_any_pair(spark):
+    presence = spark.createDataFrame([("a", "x", "1"), ("a", "y", "2"), ("b", "y", "other"), ("b", "z", "3")], "capture_id string, entity string, detail string")
+    pairs = spark.createDataFrame([("k", "a", "b", 1, "a", 0), ("k", "b", "a", 0, "b", 1), ("k", "a", "none", 2, "a", 0)], "case_id string, previous_capture_id string, later_capture_id string, later_pos bigint, anchor_capture_id string, anchor_pos bigint")
+    rows = {(r.previous_capture_id, r.later_capture_id, r.entity, r.detail, r.in_later) for r in D.pair_changes(presence, None, pairs, ["entity"]).collect()}
+    assert rows == {("a", "b", "x", "1", False), ("a", "b", "z", "3", True), ("b", "a", "x", "1", True), ("b", "a", "z", "3", False), ("a", "none", "x", "1", False), ("a", "none", "y", "2", False)}
+
+
 def test_every_session_can_shape_a_tree(spark):
     """Only sessions outside one hash-ordered pool of 1,024 differ, yet trees tell them apart."""
     rank = F.row_number().over(Window.orderBy(F.xxhash64("session_id", F.lit(V.FOREST_SEED)), "session_id"))

@@ -11,6 +11,7 @@ QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 CHOSEN = (
     "evaluate_all_rules", "posture_snapshot", "posture_factors", "correlate_case", "drift_chain", "finding_lifecycle", "graph_edges", "graph_depth",
     "verify_rule", "session_features", "top_deviations", "session_build", "stream_coverage", "report_tls_summary", "join_reference_integrity", "stream_rules",
+    "drift_compare_explicit", "src_case_evidence", "stream_finding_counts_sliding",
 )
 
 
