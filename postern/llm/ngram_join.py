@@ -12,8 +12,11 @@ other's, so they share what their prefixes are built for:
   tokens count for t + 1.
 
 Groups depend on the size class of the set; a set near a class boundary is indexed
-in both classes. Sets of fewer than 16 tokens use single tokens only. The list of
-frequent tokens is bounded (``FREQUENT``); it decides cost, never the result.
+in both classes. Sets of fewer than 16 tokens use single tokens only. Frequent are
+the tokens that ``FREQUENT_FROM`` sets hold, or more where there are over ``FREQUENT``
+of those; tasks get them as bits at the tokens' low ends. Which tokens count as
+frequent, some by a shared bit, is the same for all sets and decides cost only.
+An entry of a rare token has few members, so it costs few pairs at any size.
 
 Candidates are verified exactly (sizes and parity bitmaps rule out most of the
 others before whole sets are compared), without all pairs of a group: in each index entry
@@ -38,11 +41,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from postern.llm.common import bucketed, input_blocks, text_slices, written
+from postern.llm.common import bucketed, input_blocks, most_frequent, text_slices, written
 from postern.llm.components import components
 from postern.llm.words import coded_words, mixed, split_words, word_hashes
 
-FREQUENT, FREQUENT_FROM = 65_536, 32
+FREQUENT, FREQUENT_FROM = 1 << 24, 8
 SMALL_CLASS = 4  # sets below 2**4 tokens
 GROUP = 4  # tokens of a set in each group, on average
 SPARE = 4
@@ -86,18 +89,14 @@ def class_salt(c: int) -> np.uint64:
 
 
 def signatures(tokens: np.ndarray, frequent: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
-    """Index keys of a set. ``tokens`` and ``frequent`` sorted by hash."""
+    """Index keys of a set. ``tokens`` sorted by hash, ``frequent`` as bits."""
     n = len(tokens)
     if not n:
         return np.zeros(0, np.uint64)
     part, whole = threshold
     classes = {size_class(-(-part * n // whole)), size_class(n), size_class(whole * n // part)}
     need = missing(n, threshold) + 1
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-        common = frequent[at] == tokens
-    else:
-        common = np.zeros(n, bool)
+    common = listed(tokens, frequent)
     out = []
     for c in classes:
         salt = class_salt(c)
@@ -128,6 +127,14 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, threshold: tuple[int, i
     return distinct(np.concatenate(out))
 
 
+def listed(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Which tokens have their bit set."""
+    if not len(frequent):
+        return np.zeros(len(tokens), bool)
+    at = tokens & np.uint64(len(frequent) * 64 - 1)
+    return (frequent[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def distinct(keys: np.ndarray) -> np.ndarray:
     keys = np.sort(keys)
     return keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
@@ -158,24 +165,31 @@ def described(texts: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame
     return written(texts.mapInArrow(describe, "row bigint, doc_id bigint, n_shingles bigint, digest binary, head array<bigint>, bits binary"), "sets")
 
 
-def frequent_tokens(classes: DataFrame) -> np.ndarray:
-    """The most frequent of the tokens that may be in a prefix, sorted by hash; at most FREQUENT."""
+def frequent_bits(classes: DataFrame) -> np.ndarray:
+    """The frequent ones of the tokens that may be in a prefix, as bits: eight a token, 16 MB at most."""
     counted = classes.select(F.explode("head").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT_FROM)
-    top = counted.orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").collect()
-    return np.sort(np.array([r[0] for r in top], dtype=np.int64).view(np.uint64))
+    chosen = written(most_frequent(counted, "n", FREQUENT), "frequent")
+    count = chosen.count()
+    if not count:
+        return np.zeros(0, np.uint64)
+    size = max(64, 1 << (8 * count - 1).bit_length()) if count < FREQUENT else 8 * FREQUENT
+    at = chosen.select(F.col("token").bitwiseAND(F.lit(size - 1)).alias("at"))
+    words = at.groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at & 63 AS INT)))").alias("bits"))
+    got = words.toArrow()
+    out = np.zeros(size // 64, np.uint64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return out
 
 
 def index_rows(texts: DataFrame, classes: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
     """(key, rep, size) of every class. Heads suffice unless frequent tokens use them up; those sets are built from their texts again."""
-    frequent = texts.sparkSession.sparkContext.broadcast(frequent_tokens(classes))
+    frequent = texts.sparkSession.sparkContext.broadcast(frequent_bits(classes))
 
     def short(tokens: np.ndarray, size: int) -> bool:
         """Whether the head holds fewer rare tokens than a prefix needs."""
-        listed = frequent.value
-        if len(tokens) == size or not len(listed):
+        if len(tokens) == size or not len(frequent.value):
             return False
-        at = np.minimum(np.searchsorted(listed, tokens), len(listed) - 1)
-        return int((listed[at] != tokens).sum()) <= missing(size, threshold)
+        return int((~listed(tokens, frequent.value)).sum()) <= missing(size, threshold)
 
     def from_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,9 +229,7 @@ def signatures_of_head(head: np.ndarray, size: int, frequent: np.ndarray, thresh
         return signatures(head, frequent, threshold)
     part, whole = threshold
     need = missing(size, threshold) + 1
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, head), len(frequent) - 1)
-        head = head[frequent[at] != head]
+    head = head[~listed(head, frequent)]
     classes = {size_class(-(-part * size // whole)), size_class(size), size_class(whole * size // part)}
     return distinct(np.concatenate([mixed(head[:need] + class_salt(c)) for c in classes]))
 
