@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 ROWS = "rows"
 SPREAD = 16  # tasks that write one capture
-PRUNING_ROWS = 100_000  # selections up to this size are broadcast, which prunes folders at run time
+PRUNING_ROWS = 10_000  # selections up to this size become a filter on folders; larger ones are joined
 _COMMIT = "version bigint, write string, schemas map<string, string>"
 _REPLACED = "table_name string, capture_id string, write string"
 
@@ -31,8 +31,8 @@ _REPLACED = "table_name string, capture_id string, write string"
 def scan(spark: SparkSession, path: str, captures: list[str] | DataFrame | None = None, table: str = ROWS) -> DataFrame:
     """A stored table as of its last commit.
 
-    ``captures``, names or a frame with ``capture_id``, limits what is read: only
-    the folders of those captures' current versions are opened.
+    ``captures``, names or a frame with ``capture_id``, limits what is read: up to
+    ``PRUNING_ROWS`` of them, only the folders of their current versions are opened.
     """
     commits = _commits(spark, path)
     named = commits.where(F.col("schemas").getItem(table).isNotNull())
@@ -44,10 +44,14 @@ def scan(spark: SparkSession, path: str, captures: list[str] | DataFrame | None
         live = live.where(F.col("capture_id").isin(*captures))
     elif captures is not None:
         live = live.join(captures.select("capture_id").distinct(), "capture_id", "left_semi").select("write", "capture_id")
-    if captures is not None and live.limit(PRUNING_ROWS + 1).count() <= PRUNING_ROWS:
-        live = F.broadcast(live)
+    folders = F.lit(True)
+    if captures is not None:
+        chosen = live.limit(PRUNING_ROWS + 1).collect()
+        if len(chosen) <= PRUNING_ROWS:
+            live = F.broadcast(spark.createDataFrame(chosen, "write string, capture_id string"))
+            folders = F.concat_ws("/", "write", "capture_id").isin([f"{r.write}/{r.capture_id}" for r in chosen])
     rows = T.StructType.fromJson(json.loads(last[0]))
-    stored = spark.read.schema(_with_folders(rows)).parquet(f"{path}/{table}")
+    stored = spark.read.schema(_with_folders(rows)).parquet(f"{path}/{table}").where(folders)
     return stored.join(live, ["write", "capture_id"], "left_semi").select(*rows.names)
 
 
