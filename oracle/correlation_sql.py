@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from oracle.digests import tree_sql
 from oracle.evidence import CTES, iso, q, sha
 from postern.functions import fixed_values as V
+from postern.operators.correlation import DIGEST_LEAF
 
 K = "case_id, correlation_type, evidence_key"
 B = lambda c: f"CASE WHEN {c} THEN 'True' WHEN NOT {c} THEN 'False' ELSE 'None' END"
@@ -65,9 +67,11 @@ SELECT {K}, min(strength) AS strength, count(*) AS occurrence_count, count(DISTI
 FROM index_entries GROUP BY {K} HAVING count(DISTINCT capture_id) >= 2"""
 CTES["members"] = f"""
 SELECT DISTINCT {K}, capture_id, session_id, finding_id, anomaly_id FROM index_entries SEMI JOIN shared_keys USING ({K})"""
+CTES["member_items"] = f"""
+SELECT {K}, occurrence_count AS n, concat_ws('|', nullif(capture_id, ''), nullif(session_id, ''), nullif(finding_id, ''), nullif(anomaly_id, '')) AS item
+FROM members JOIN shared_keys USING ({K})"""
 CTES["digests"] = f"""
-SELECT {K}, concat('corr_', substr(sha256(concat(case_id, '|', correlation_type, '|', evidence_key, '|', string_agg(src, '|' ORDER BY src))), 1, 16)) AS correlation_id
-FROM (SELECT {K}, concat_ws('|', nullif(capture_id, ''), nullif(session_id, ''), nullif(finding_id, ''), nullif(anomaly_id, '')) AS src FROM members) GROUP BY {K}"""
+SELECT {K}, concat('corr_', substr(sha256(concat_ws('|', {K}, text)), 1, 16)) AS correlation_id FROM ({tree_sql('member_items', K, DIGEST_LEAF)})"""
 CTES["evidence_fields"] = f"""
 SELECT {K}, rk, json_extract_string(f, '$.k') AS field, json_extract_string(f, '$.v') AS value FROM (
   SELECT {K}, (idx, coalesce(observed_at, TIMESTAMP '9999-01-01'), session_id, finding_id, anomaly_id) AS rk,

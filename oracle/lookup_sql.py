@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from oracle.correlation_sql import STATE
+from oracle.digests import tree_sql
 from oracle.evidence import CTES, bands_sql, case_sql, half_even, iso, key_exchange, q, suite_class
 from oracle.posture_sql import SEV_RANK, STATUS
 from postern.functions import fixed_values as V
+from postern.operators.reports import EVIDENCE_LEAF
 
 S = "session_id, capture_id, protocol, server_ip, server_port"
 FND = "finding_id, capture_id, session_id, rule_id, severity"
@@ -168,7 +170,9 @@ SELECT case_id, count(*) FILTER (status IN ('OPEN', 'PLANNED')) AS open, count(*
     "evidence_manifest": f"""
 SELECT k.case_id, k.capture_id, k.idx, c.filename, c.sha256, c.size_bytes, {iso('c.ingested_at')} AS ingested_at, coalesce(a.status, 'not_analyzed') AS status, {iso('a.analyzed_at')} AS analyzed_at
 FROM case_captures k JOIN captures c USING (capture_id) LEFT JOIN analysis a USING (capture_id)""",
-    "evidence_digest": """
-SELECT case_id, sha256(string_agg(d, '' ORDER BY prefix)) AS evidence_digest FROM (SELECT case_id, left(h, 4) AS prefix, sha256(string_agg(h, '' ORDER BY h)) AS d FROM (
-  SELECT case_id, sha256(concat(finding_id, '|', severity, '|', confidence, '|', observed_value)) AS h FROM findings JOIN case_captures USING (capture_id)) GROUP BY ALL) GROUP BY case_id""",
+    "evidence_digest": f"""
+WITH hashed AS (
+  SELECT case_id, sha256(concat(finding_id, '|', severity, '|', confidence, '|', observed_value)) AS h, count(*) AS copies FROM findings JOIN case_captures USING (capture_id) GROUP BY ALL
+), evidence_items AS (SELECT case_id, concat(h, ':', copies) AS item, count(*) OVER (PARTITION BY case_id) AS n FROM hashed)
+SELECT case_id, sha256(text) AS evidence_digest FROM ({tree_sql('evidence_items', 'case_id', EVIDENCE_LEAF)})""",
 }

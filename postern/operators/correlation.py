@@ -7,8 +7,7 @@ correlation. Keys such as a protocol can hold most sessions of a case, so
 * counts, capture sets and time ranges come from partial aggregates per
   (key, capture, evidence);
 * members are a child table, never an array per key;
-* the identifying digest over all members is built in two levels, see
-  :func:`member_digest`.
+* the identifying digest over all members is a tree, see :func:`member_digest`.
 """
 
 from __future__ import annotations
@@ -21,6 +20,7 @@ from postern.functions import fixed_values as V
 from postern.functions import ids, labels
 from postern.functions import normalize as N
 from postern.functions.columns import memo, prefixed_sha
+from postern.operators.digests import tree_text
 
 KEY = ["case_id", "correlation_type", "evidence_key"]
 DIRECT, DERIVED = "direct", "derived"
@@ -236,22 +236,12 @@ def members(entries: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def member_digest(members_: DataFrame, leaf: int = DIGEST_LEAF) -> DataFrame:
-    """Correlation id per key: SHA-256 over case, type, key and all sorted member ids.
+    """Correlation id per key: SHA-256 over case, type, key and the text of the tree over all member ids.
 
-    A key with at most ``leaf`` occurrences hashes its plain joined member list.
-    A larger one is split by member hash into about ``leaf``-sized parts, each
-    part hashed over its sorted members, and the sorted part digests take the
-    place of the member list - no task ever holds all members of a key.
+    With at most ``leaf`` occurrences that text is the sorted member ids, joined.
     """
     source = F.concat_ws("|", *[F.nullif(c, F.lit("")) for c in ("capture_id", "session_id", "finding_id", "anomaly_id")])
-    parts = F.ceil(F.col("occurrence_count") / leaf).cast("bigint")
-    bucketed = members_.select(*KEY, source.alias("source"), parts.alias("parts")).withColumn(
-        "bucket", F.pmod(F.xxhash64("source"), F.col("parts"))
-    )
-    leaves = bucketed.groupBy(*KEY, "parts", "bucket").agg(
-        F.array_join(F.array_sort(F.collect_list("source")), "|").alias("text")
-    ).withColumn("text", F.when(F.col("parts") > 1, F.sha2("text", 256)).otherwise(F.col("text")))
-    whole = leaves.groupBy(*KEY).agg(F.array_join(F.array_sort(F.collect_list("text")), "|").alias("text"))
+    whole = tree_text(members_.select(*KEY, source.alias("item"), F.col("occurrence_count").alias("n")), KEY, leaf)
     identity = F.concat_ws("|", *KEY, "text")
     return whole.select(*KEY, prefixed_sha("corr_", identity, 16).alias("correlation_id"))
 

@@ -9,6 +9,9 @@ from pyspark.sql.window import Window as W
 from postern.functions import fixed_values as V
 from postern.functions import labels
 from postern.functions.columns import literal_table
+from postern.operators.digests import tree_text
+
+EVIDENCE_LEAF = 4_096
 
 
 def executive_summary(sessions: DataFrame, findings: DataFrame, anomalies: DataFrame, captures: DataFrame) -> DataFrame:
@@ -149,16 +152,8 @@ def evidence_manifest(case_captures, captures, analysis) -> DataFrame:
     ).join(analysis.select("capture_id", "status", "analyzed_at"), "capture_id", "left")
 
 
-def evidence_digest(rows: DataFrame) -> DataFrame:
-    """Digest of (case_id, text) evidence rows: rows hashed, grouped by hash prefix, then the groups.
-
-    The two fixed levels keep every group small, whatever the size of a case.
-    """
-    hashed = rows.select("case_id", F.sha2("text", 256).alias("h"))
-    parts = hashed.groupBy("case_id", F.left("h", F.lit(4)).alias("prefix")).agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d")
-    )
-    in_order = F.array_sort(F.collect_list(F.struct("prefix", "d")))
-    return parts.groupBy("case_id").agg(
-        F.sha2(F.array_join(F.transform(in_order, lambda s: s["d"]), ""), 256).alias("evidence_digest")
-    )
+def evidence_digest(rows: DataFrame, leaf: int = EVIDENCE_LEAF) -> DataFrame:
+    """Digest of (case_id, text) evidence rows: SHA-256 over the tree text of the rows' hashes, each with its number of copies."""
+    hashed = rows.groupBy("case_id", F.sha2("text", 256).alias("h")).agg(F.concat_ws(":", "h", F.count("*").cast("string")).alias("item")).drop("h")
+    sizes = hashed.groupBy("case_id").agg(F.count("*").alias("n"))
+    return tree_text(hashed.join(sizes, "case_id"), ["case_id"], leaf).select("case_id", F.sha2("text", 256).alias("evidence_digest"))
