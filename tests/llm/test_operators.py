@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import pickle
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -233,6 +235,46 @@ def test_page_text(spark):
     assert got[5].text == ("plain words without any article " * 8).strip()
 
 
+def main_text(page):
+    found = html_text.blocks(page)
+    kept = html_text.tree().predict(html_text.features(found)) >= 0.5 if found else []
+    return [b[0] for b, k in zip(found, kept, strict=True) if k]
+
+
+PARAGRAPH = "a plain sentence of the article that goes on for a while without any link in it, as they do " * 3
+
+
+def test_article_blocks_stay_whatever_their_neighbours():
+    inner = [f"<p>one {PARAGRAPH}</p>", f"<p>two {PARAGRAPH}</p>", "<h2 id='related-work'>Related work</h2>", "<ul><li class=item-menu><a href=x>a link</a></li></ul>", "<p>Short.</p>", "<p><a href=y>only a link here</a></p>"]
+    plain = ["one " + PARAGRAPH.strip(), "two " + PARAGRAPH.strip(), "Related work", "a link", "Short.", "only a link here"]
+    for order in itertools.permutations(range(len(inner)), 3):
+        for before, after in itertools.product(("", "<nav><a href=z>Home</a></nav>", "<header>Name of the site</header>"), ("", "<nav><a href=z>Up</a></nav>", "<footer>" + PARAGRAPH + "</footer>")):
+            for wrapper in ("", "<div class='layout with-sidebar'>", "<div class='page header-fixed'>"):
+                page = f"<body>{before}{wrapper}<article>{''.join(inner[k] for k in order)}</article>{'</div>' * bool(wrapper)}{after}"
+                assert main_text(page) == [plain[k] for k in order]
+
+
+def test_names_of_page_furniture():
+    gone = ["<p class='advert'>Buy</p>", "<div id='site-header'>Name</div>", "<div class='ad-banner2'>Buy</div>", "<section id=comments><article>I liked it</article></section>", "<span class=ad>Buy</span>", "<div class='cookie-notice'>" + PARAGRAPH + "</div>"]
+    for g in gone:
+        assert main_text(f"<article><p>{PARAGRAPH}</p>{g}<p>End</article>") == [PARAGRAPH.strip(), "End"]
+    for kept in ("<section id='search-results'>Found</section>", "<h2 class='menu'>Found</h2>", "<div class='social-science'>Found</div>", "<td class=notice>Found</td>"):
+        assert main_text(f"<article><p>{PARAGRAPH}</p>{kept}</article>") == [PARAGRAPH.strip(), "Found"]
+    # without an article element the neighbours decide
+    assert main_text(f"<div><h1>Title</h1><p>{PARAGRAPH}</p></div>") == ["Title", PARAGRAPH.strip()]
+    links = "<p>" + "<a href=x>some words of a link</a> " * 12 + "</p>"
+    assert main_text(f"<div>{links}<h3>More</h3>{links}</div>") == []
+
+
+def test_broken_pages_take_linear_time():
+    for broken in ("<a '", "<a ", "<a '>'", "<button>", "<select>", "<head>", "<!--", "<div></x>", "<div class=ad><article>"):
+        started = time.process_time()
+        html_text.blocks(broken * (1_000_000 // len(broken)))
+        assert time.process_time() - started < 10, broken
+    assert main_text("<article><p>1 < 2 and a <b title='x > y'>bold</b> word, <i title='open>it</i> ends") == ["1 < 2 and a bold word, it ends"]
+    assert main_text("<p>" + PARAGRAPH + " a <b") == [PARAGRAPH.strip() + " a <b"]
+
+
 def test_toxicity_learns_and_rejects(spark, docs, nothing):
     draw = np.random.default_rng(4)
     plain = [f"w{k}" for k in range(300)]
