@@ -9,8 +9,9 @@ pairs that may reach the threshold are recomputed in double precision. A tile
 gives link counts and the least node of each of its components, never its pairs.
 
 Defined cases: null, zero and non-finite vectors link with nothing and keep
-themselves; shorter vectors are filled up with zeros; rows that repeat an id and
-a vector count as copies; an empty table gives no rows.
+themselves, and so do rows with a null id; shorter vectors are filled up with
+zeros; every row is a vector of its own, also where rows repeat an id: its links
+follow from its own vector only; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,12 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postern.llm.common import written
 from postern.llm.components import components
-from postern.llm.vectors import blob, blocks_of, dimension, matrix, usable
+from postern.llm.vectors import blob, blocks_of, dimension, finite, matrix, usable
 
 BLOCK, STEP, PIVOTS = 4096, 512, 64
 
@@ -59,16 +60,23 @@ def tile_links(a, b, same: bool, threshold: float):
             yield r[good], c[good]
 
 
+def takes_part() -> Column:
+    """Rows whose vectors can link; never null."""
+    return F.coalesce(F.col("vec_id").cast("bigint").isNotNull() & finite() & F.exists("embedding", lambda x: x != 0), F.lit(False))
+
+
 def near_duplicates(vectors: DataFrame, threshold: float) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row."""
-    good = usable(vectors)
+    """vec_id, n_links, component_id, kept for every row.
+
+    A class has a number of its own (``node``), as different vectors may carry one id.
+    """
+    good = usable(vectors.where(takes_part()))
     dim = max(dimension(good), 1)
 
     def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = matrix(batch.column("embedding"), dim) + 0.0  # one zero
-            keep = np.flatnonzero((v != 0).any(axis=1))
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(keep)), pa.array([blob(r, "<f8") for r in v[keep]], pa.binary())], ["vec_id", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([blob(r, "<f8") for r in v], pa.binary())], ["vec_id", "v"])
 
     members = written(good.mapInArrow(flatten, "vec_id bigint, v binary"), "vectors")
     classes = members.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
@@ -76,11 +84,17 @@ def near_duplicates(vectors: DataFrame, threshold: float) -> DataFrame:
     pivots = unit_rows(pivots)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
             cosine = unit_rows(np.frombuffer(b"".join(batch.column("v").to_pylist()), dtype="<f8").reshape(-1, dim)) @ pivots.T
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cosine.argmax(axis=1)), pa.array(-cosine.max(axis=1))], [*batch.schema.names, "pivot", "distance"])
+            node = np.arange(number, number + batch.num_rows)
+            number += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node), pa.array(cosine.argmax(axis=1)), pa.array(-cosine.max(axis=1))], [*batch.schema.names, "node", "pivot", "distance"])
 
-    placed = written(classes.mapInArrow(place, "v binary, rep bigint, copies bigint, pivot bigint, distance double"), "classes")
+    # numbers follow the order of rows in a task; they hold once written
+    placed = written(classes.mapInArrow(place, "v binary, rep bigint, copies bigint, node bigint, pivot bigint, distance double"), "classes")
     partitions = max(1, placed.count() // (4 * BLOCK))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,12 +109,12 @@ def near_duplicates(vectors: DataFrame, threshold: float) -> DataFrame:
             centre = centre / max(np.sqrt(centre @ centre), 1e-300)
             radius = float(np.arccos(np.clip(unit @ centre, -1, 1)).max()) if centre @ centre > 0.5 else 4.0
             yield pa.RecordBatch.from_arrays(
-                [pa.array([(part << 32) + number]), pa.array([centre.tolist()]), pa.array([radius]), *(pa.array([x], pa.binary()) for x in (blob(raw, "<f8"), blob(code, "i1"), blob(scale, "<f8"), blob(error, "<f8"), blob(block.column("rep").to_numpy(), "<i8"), blob(block.column("copies").to_numpy(), "<i8")))],
-                ["block", "centre", "radius", "raw", "code", "scale", "error", "rep", "copies"],
+                [pa.array([(part << 32) + number]), pa.array([centre.tolist()]), pa.array([radius]), *(pa.array([x], pa.binary()) for x in (blob(raw, "<f8"), blob(code, "i1"), blob(scale, "<f8"), blob(error, "<f8"), blob(block.column("node").to_numpy(), "<i8"), blob(block.column("copies").to_numpy(), "<i8")))],
+                ["block", "centre", "radius", "raw", "code", "scale", "error", "node", "copies"],
             )
 
     laid = placed.repartitionByRange(partitions, "pivot", "distance", "rep").sortWithinPartitions("pivot", "distance", "rep")
-    blocks = written(laid.mapInArrow(pack, "block bigint, centre array<double>, radius double, raw binary, code binary, scale binary, error binary, rep binary, copies binary"), "vector-blocks")
+    blocks = written(laid.mapInArrow(pack, "block bigint, centre array<double>, radius double, raw binary, code binary, scale binary, error binary, node binary, copies binary"), "vector-blocks")
     # which tiles can hold a link: centres and radii only, a few hundred bytes for each block of vectors
     outline = blocks.select("block", "centre", "radius")
     other = outline.select(*[F.col(c).alias(f"o_{c}") for c in outline.columns])
@@ -119,9 +133,9 @@ def near_duplicates(vectors: DataFrame, threshold: float) -> DataFrame:
                 get = lambda name, kind: np.frombuffer(batch.column(name)[r].as_py(), dtype=kind)  # noqa: B023, E731
                 side = lambda p: (get(p + "raw", "<f8").reshape(-1, dim), get(p + "code", "i1").reshape(-1, dim), get(p + "scale", "<f8"), get(p + "error", "<f8"))  # noqa: B023, E731
                 same = batch.column("block")[r].as_py() == batch.column("o_block")[r].as_py()
-                rep_a, rep_b, copies_a, copies_b = get("rep", "<i8"), get("o_rep", "<i8"), get("copies", "<i8"), get("o_copies", "<i8")
-                ids = rep_a if same else np.concatenate([rep_a, rep_b])
-                shift = 0 if same else len(rep_a)
+                node_a, node_b, copies_a, copies_b = get("node", "<i8"), get("o_node", "<i8"), get("copies", "<i8"), get("o_copies", "<i8")
+                ids = node_a if same else np.concatenate([node_a, node_b])
+                shift = 0 if same else len(node_a)
                 copies = copies_a if same else np.concatenate([copies_a, copies_b])
                 n_links = np.zeros(len(ids), np.int64)
                 label = ids.copy()
@@ -130,20 +144,19 @@ def near_duplicates(vectors: DataFrame, threshold: float) -> DataFrame:
                     n_links += np.bincount(row, copies[column], len(ids)).astype(np.int64) + np.bincount(column, copies[row], len(ids)).astype(np.int64)
                     label = joined(label, row, column)
                 linked = np.flatnonzero(n_links)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(n_links[linked]), pa.array(label[linked])], ["rep", "n", "low"])
-
-    found = written(pair.repartition(max(partitions, vectors.sparkSession.sparkContext.defaultParallelism)).mapInArrow(multiply, "rep bigint, n bigint, low bigint"), "tile-links")
-    counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    group = components(found.select(F.col("rep").alias("a"), F.col("low").alias("b")))
-    member = (
-        members.join(classes.select("v", "rep", "copies"), "v").join(counts, "rep", "left").join(group, F.col("rep") == F.col("node"), "left")
-        .select(F.col("vec_id").alias("own"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id")).distinct()
-    )
-    everything = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"))
-    component = F.coalesce("component_id", "vec_id")
-    return everything.join(member, F.col("vec_id") == F.col("own"), "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept")
+                yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(n_links[linked]), pa.array(label[linked])], ["node", "n", "low"])
+
+    found = written(pair.repartition(max(partitions, vectors.sparkSession.sparkContext.defaultParallelism)).mapInArrow(multiply, "node bigint, n bigint, low bigint"), "tile-links")
+    counts = found.groupBy("node").agg(F.sum("n").alias("n"))
+    group = components(found.select(F.col("node").alias("a"), F.col("low").alias("b"))).withColumnRenamed("component_id", "root")
+    named = placed.select("v", "node", "rep", "copies").join(counts, "node", "left").join(group, "node", "left")
+    least = named.where("root IS NOT NULL").groupBy("root").agg(F.min("rep").alias("least"))
+    classed = named.join(least, "root", "left").select(
+        "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least", "rep").alias("component_id")
     )
+    linked = members.join(classed, "v").select("vec_id", "n_links", "component_id")
+    alone = vectors.where(~takes_part()).select(F.col("vec_id").cast("bigint").alias("vec_id")).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def unit_rows(v: np.ndarray) -> np.ndarray:
