@@ -15,9 +15,10 @@ others follow closer, in the same proportions.
 
 Defined cases: a null source is the source named by the empty text; a null doc_id
 comes as the empty text in the order of its source; rows that repeat a doc_id
-follow one another in no stated order; weights null, zero or negative, or
-missing for a source, count as the least share of one slot in a frame; an empty
-table gives no rows.
+follow one another in no stated order; weights null, zero, negative or not
+finite, or missing for a source, count as the least share of one slot in a frame;
+columns of the table with the name of a result column are replaced by it; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +30,11 @@ from pyspark.sql.window import Window as W
 from postern.llm.common import written
 
 RESOLUTION, BLOCK = 1024, 8
+RESULT = ("block_no", "slot", "release", "deadline", "position")
+
+
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def numbered(docs: DataFrame, carried: list[str]) -> DataFrame:
@@ -51,7 +57,7 @@ def shares(docs: DataFrame, weights: DataFrame | None = None, resolution: int =
         sized = sizes.withColumn("w", F.floor(F.sqrt("n")).cast("double"))
     else:
         given = weights.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.max("weight").cast("double").alias("w"))
-        sized = sizes.join(given, "source", "left").withColumn("w", F.when(F.col("w") > 0, F.col("w")).otherwise(0.0))
+        sized = sizes.join(given, "source", "left").withColumn("w", F.when((F.col("w") > 0) & (F.col("w") < float("inf")), F.col("w")).otherwise(0.0))
     total = F.sum("w").over(W.partitionBy(F.lit(0)))  # one row for each source
     part = F.when(total > 0, F.floor(F.lit(resolution) * F.col("w") / total)).otherwise(0)
     return sized.select("source", "n", F.greatest(F.lit(1), part).cast("bigint").alias("a"))
@@ -93,10 +99,10 @@ def frame(share: DataFrame) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, resolution: int = RESOLUTION, carried: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, resolution: int = RESOLUTION) -> DataFrame:
     """The rows of ``docs`` with block_no, slot, release, deadline (in slots) and position (from 0, without gaps)."""
-    carried = carried or docs.columns
-    rows = numbered(docs, carried)
+    carried = [c for c in docs.columns if c.lower() not in RESULT]
+    rows = numbered(docs.select(F.struct(*map(quoted, carried)).alias("mix_document"), "doc_id", "source"), ["mix_document"])
     # as many rows as a frame has slots: at most ``resolution`` and one for each source
     turns = written(frame(shares(docs, weights, resolution)), "frame")
     slots = F.broadcast(turns.withColumnRenamed("f_source", "mix_source"))
@@ -110,17 +116,18 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, r
         F.zip_with("all_shares", "given", lambda a, g: (F.col("mix_frame") * a + g) * block), "sizes", lambda before, n: F.least(before, n)
     )
     return placed.select(
-        *[c for c in carried], F.col("mix_block").alias("block_no"), (F.col("mix_frame") * F.col("length") + F.col("f_slot")).alias("slot"),
+        *[F.col("mix_document").getField(c).alias(c) for c in carried], F.col("mix_block").alias("block_no"), (F.col("mix_frame") * F.col("length") + F.col("f_slot")).alias("slot"),
         F.floor(F.col("mix_block") * F.col("length") / F.col("mix_share")).alias("release"), F.ceil((F.col("mix_block") + 1) * F.col("length") / F.col("mix_share")).alias("deadline"),
         (F.aggregate(per_source, F.lit(0).cast("bigint"), lambda x, y: x + y) + F.col("mix_number") % block).alias("position"),
     )
 
 
 def mixed_documents(docs: DataFrame, partitions: int, weights: DataFrame | None = None, position: str | None = None, resolution: int = RESOLUTION) -> DataFrame:
-    """All documents, range partitioned and sorted by their position in the mix, which a column named ``position`` keeps: files have no order."""
-    whole = docs.select(F.struct(*docs.columns).alias("mix_document"), "doc_id", "source")
-    laid = mix(whole, weights, resolution=resolution, carried=["mix_document"])
-    return laid.repartitionByRange(partitions, "position").sortWithinPartitions("position").select("mix_document.*", *([F.col("position").alias(position)] if position else []))
+    """All documents, range partitioned and sorted by their position in the mix, which a column named ``position`` (in place of one of the table with that name) keeps: files have no order."""
+    kept = [c for c in docs.columns if c.lower() != (position or "").lower()]
+    whole = docs.select(F.struct(*map(quoted, kept)).alias("document"), "doc_id", "source")
+    laid = mix(whole, weights, resolution=resolution)
+    return laid.repartitionByRange(partitions, "position").sortWithinPartitions("position").select("document.*", *([F.col("position").alias(position)] if position else []))
 
 
 MIX_SQL = f"""

@@ -91,6 +91,14 @@ def test_top_k_and_near_duplicate_vectors(spark):
     assert topk.top_k(empty, empty, k=5).count() == 0 and embedding_dedup.near_duplicates(empty, 0.9).count() == 0
 
 
+def test_rows_that_repeat_a_vector_id(spark):
+    a, b, c = [1.0, 0.0], [0.0, 1.0], [0.999, 0.001]
+    rows = [(1, a), (1, b), (1, None), (1, [0.0, 0.0]), (2, c), (2, c), (3, b), (None, a), (4, [math.nan, 1.0]), (0, [0.0, 0.999])]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").selectExpr("*", "1 AS node", "'x' AS v", "2 AS kept")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(table, 0.9).collect()), key=str)
+    assert got == sorted([(1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), (1, 2, 0, False), (3, 2, 0, False), (0, 2, 0, True), (1, 0, 1, True), (1, 0, 1, True), (None, 0, None, True), (4, 0, 4, True)], key=str)
+
+
 def shingles(text, n):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
     return frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
@@ -220,6 +228,16 @@ def test_mixing_stays_within_a_block_of_the_shares(spark, nothing):
             assert abs(sum(s <= t and o == name for s, o in turns) - (t + 1) * a / length) < 1
     weighted = mixing.shares(docs, spark.createDataFrame([("big", 1.0), ("mid", 3.0), ("", None)], "source string, weight double"), 16)
     assert {r.source: r.a for r in weighted.collect()} == {"big": 4, "mid": 12, "": 1}
+    odd = mixing.shares(docs, spark.createDataFrame([("big", math.inf), ("mid", 3.0), ("", math.nan)], "source string, weight double"), 16)
+    assert {r.source: r.a for r in odd.collect()} == {"big": 1, "mid": 16, "": 1}
+    clashing = docs.selectExpr("*", "'p' AS position", "'s' AS Slot", "'l' AS length", "'t' AS turn", "'g' AS given", "'d' AS mix_document", "'x' AS `a.b`", "'m' AS mix_position")
+    again = mixing.mix(clashing, block=2, resolution=16)
+    assert sorted(c.lower() for c in again.columns) == sorted({c.lower() for c in clashing.columns} | set(mixing.RESULT))
+    assert Counter((r.doc_id, r.source, r.position) for r in again.collect()) == Counter((r.doc_id, r.source, r.position) for r in got)
+    assert {(r.length, r.turn, r.given, r.mix_document, r["a.b"]) for r in again.collect()} == {("l", "t", "g", "d", "x")}
+    kept = mixing.mixed_documents(clashing, 2, position="mix_position", resolution=16)
+    assert sorted(kept.columns) == sorted(clashing.columns) and sorted(r.mix_position for r in kept.collect()) == list(range(len(rows)))
+    assert {(r.position, r.Slot) for r in kept.collect()} == {("p", "s")}
     assert mixing.mix(nothing).count() == 0
     assert mixing.mixed_documents(nothing, 2).columns == nothing.columns
 
