@@ -3,6 +3,7 @@
 from datetime import date
 
 from postern.operators import flows as FL
+from postern.operators import graph as G
 from postern.plans.workspace import Workspace
 
 
@@ -26,8 +27,18 @@ def test_flows_order_endpoints_by_number_and_split_an_address_once(spark):
 
 
 def test_session_numbers_are_spread_over_tasks(spark, tmp_path):
-    spark.createDataFrame([(0, "ALGERIA", 0), (1, "PERU", 1)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
-    spark.createDataFrame([(k, k % 2) for k in range(10)], "c_custkey bigint, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(0, "ALGERIA", 0), (1, "PERU", 1)], "n_nationkey int, n_name string, n_regionkey int").coalesce(1).write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(k, k % 2) for k in range(10)], "c_custkey bigint, c_nationkey int").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
     spark.createDataFrame([(k, k % 10, date(1995, 1, 1)) for k in range(400)], "o_orderkey bigint, o_custkey bigint, o_orderdate date").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
     numbers = Workspace(spark, str(tmp_path)).session_numbers
     assert numbers.count() == 400 and len(numbers.inputFiles()) > 1
+
+
+def test_depth_collapses_parallel_edges_after_the_join(spark, monkeypatch):
+    nodes = spark.createDataFrame([("c", "r", "capture"), ("c", "h", "host"), ("c", "s", "session"), ("c", "x", "host")], "capture_id string, node_id string, node_type string")
+    edges = spark.createDataFrame([("c", "r", "h", k, "") for k in ("one", "two")] + [("c", "h", "s", "t", ""), ("c", "s", "h", "t", "")], "capture_id string, source_node_id string, target_node_id string, edge_type string, basis string")
+    steps, cut = [], G.cut_lineage
+    monkeypatch.setattr(G, "cut_lineage", lambda df: steps.append(optimized(df)) or cut(df))
+    got = {r["node_id"]: r["depth"] for r in G.graph_depth(nodes, edges).collect()}
+    assert got == {"r": 0, "h": 1, "s": 2, "x": 3}
+    assert all(plan.count("Aggregate [") == 1 for plan in steps[1:])
