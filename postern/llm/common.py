@@ -32,6 +32,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discarded(df: DataFrame) -> None:
+    """Deletes an intermediate table that ``written`` made, once everything that reads it is written itself."""
+    files = df.inputFiles()
+    if files:
+        jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext
+        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def block_count(spark: SparkSession) -> int:
     """Blocks for a shuffle whose groups are handled whole: follows the session's shuffle partitions, which follow the data."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)

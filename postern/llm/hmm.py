@@ -10,8 +10,9 @@ P(symbol | state) times the word's part of its symbol. Words not seen in trainin
 are one symbol whose probability is the share of words seen once.
 
 Baum-Welch: every partition runs forward and backward over its documents and
-gives expected counts per symbol, summed by Spark; the start comes from a bounded
-sample. The score is the scaled forward recursion over the whole text.
+gives expected counts per symbol, summed by Spark; the start is a mixture of word
+distributions, fitted the same way to all of them. The score is the scaled forward
+recursion over the whole text.
 
 Defined cases: null text is empty (the end token alone); a null doc_id counts as
 the empty text in the fold; repeated rows are documents of their own; without
@@ -20,19 +21,21 @@ training documents every word is unknown; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postern.llm.common import ragged, text_slices, written
+from postern.llm.common import discarded, ragged, text_slices, written
 from postern.llm.words import coded_words, mixed, split_words, word_hashes
 
 STATES, TOP_WORDS, CLASSES, ROUNDS = 8, 8192, 4096, 3
 SEGMENT = 256  # longest sequence in training; scores run over whole texts
-START_DOCS, START_ROUNDS = 2000, 12
+START_ROUNDS = 12
+ROWS = 256  # documents counted at once in training
 WAVE = 4_000_000  # tokens scored side by side
 UNKNOWN = TOP_WORDS + CLASSES
 END_HASH = 0
@@ -236,63 +239,76 @@ def segments(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return out, length, number == 0
 
 
-def start_counts(texts: list[np.ndarray], corpus: Corpus, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First counts: a mixture of word distributions over a bounded sample, and states that tend to stay."""
-    emissions = np.zeros((UNKNOWN + 1, states))
-    if texts:
-        draw = np.random.default_rng(3)
-        size = np.array([len(t) for t in texts], dtype=np.int64)
-        flat, row = np.concatenate(texts).astype(np.int64), np.repeat(np.arange(len(size)), size)
-        belong = draw.dirichlet(np.full(states, 0.3), len(texts))
-        known = corpus.mass + 1e-12
-        for _ in range(START_ROUNDS):
-            emissions = np.stack([np.bincount(flat, belong[row, j], UNKNOWN + 1) for j in range(states)], axis=1)
-            e = np.log((emissions + 20 * known[:, None]) / (emissions.sum(axis=0) + 20))
-            weight = np.log(belong.sum(axis=0) + 1)
-            fit = np.stack([np.bincount(row, e[flat, j], len(size)) for j in range(states)], axis=1) + weight
-            belong = np.exp(0.05 * (fit - fit.max(axis=1, keepdims=True)))
-            belong /= belong.sum(axis=1, keepdims=True)
+def mixture_start(training: DataFrame, corpus: Corpus, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First counts: a mixture of word distributions over all training documents, and states that tend to stay.
+
+    Every round weighs each whole document by the distributions of the round before; in
+    the first, a document's weights are drawn from its own symbols, so they do not depend on partitions.
+    """
+    known = corpus.mass + 1e-12
+    emissions, belong = np.zeros((UNKNOWN + 1, states)), np.zeros(states)
+    for number in range(START_ROUNDS):
+        e = np.log((emissions + 20 * known[:, None]) / (emissions.sum(axis=0) + 20))
+        shared = training.sparkSession.sparkContext.broadcast((e, np.log(belong + 1)) if number else None)
+
+        def weigh(texts: list[np.ndarray], shared=shared) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            size = np.array([len(t) for t in texts], dtype=np.int64)
+            flat = np.concatenate(texts).astype(np.int64)
+            if shared.value is None:
+                weights = np.stack([np.random.default_rng([3, zlib.crc32(t.tobytes())]).dirichlet(np.full(states, 0.3)) for t in texts])
+            else:
+                e, prior = shared.value
+                fit = np.add.reduceat(e[flat], np.cumsum(size) - size) + prior  # the end token is in every text
+                weights = np.exp(0.05 * (fit - fit.max(axis=1, keepdims=True)))
+                weights /= weights.sum(axis=1, keepdims=True)
+            yield weights.sum(axis=0), np.zeros((states, states)), np.stack([np.bincount(flat, np.repeat(weights[:, j], size), UNKNOWN + 1) for j in range(states)], axis=1)
+
+        belong, _, emissions = summed(training, weigh, states)
     return np.ones(states), np.eye(states) * 50 + 1, emissions
 
 
-def learn(coded: DataFrame, corpus: Corpus, states: int = STATES, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch over all training documents; each round's counts are a sum over partitions, by symbol."""
-    training = coded.where("NOT held_out").select("doc_id", "symbols")
-    known = training.count()
-    # about START_DOCS documents by hash, whatever the table's size
-    near = training.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (1 << 20) * START_DOCS / max(known, 1)).where(F.length("symbols") <= 2 * 8192)
-    sample = near.select("symbols").limit(2 * START_DOCS)
-    model = Model(*start_counts([np.frombuffer(r[0], "<u2") for r in sample.collect()], corpus, states), corpus)
+def summed(training: DataFrame, counts: Callable[[list[np.ndarray]], Iterator[tuple]], states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, move and emission counts of all training documents: a sum over partitions, by symbol."""
     columns = [f"s{j}" for j in range(states)]
+
+    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, moves, emissions = np.zeros(states), np.zeros((states, states)), np.zeros((UNKNOWN + 1, states))
+        for batch in batches:
+            for k in range(0, batch.num_rows, ROWS):
+                for s, m, e in counts([np.frombuffer(t, "<u2") for t in batch.column("symbols").slice(k, ROWS).to_pylist()]):
+                    start, moves, emissions = start + s, moves + m, emissions + e
+        used = np.flatnonzero(emissions.any(axis=1))
+        table = np.concatenate([emissions[used], start[None], moves])
+        key = np.concatenate([used, [-1], -2 - np.arange(states)])
+        yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(np.ascontiguousarray(table[:, j])) for j in range(states))], ["symbol", *columns])
+
+    sums = training.mapInArrow(expect, "symbol bigint, " + ", ".join(f"{c} double" for c in columns)).groupBy("symbol").agg(*[F.sum(c).alias(c) for c in columns])
+    start, moves, emissions = np.zeros(states), np.zeros((states, states)), np.zeros((UNKNOWN + 1, states))
+    for row in sums.collect():  # one row for each symbol of the model
+        values = np.array(row[1:])
+        if row.symbol >= 0:
+            emissions[row.symbol] = values
+        elif row.symbol == -1:
+            start = values
+        else:
+            moves[-2 - row.symbol] = values
+    return start, moves, emissions
+
+
+def learn(coded: DataFrame, corpus: Corpus, states: int = STATES, rounds: int = ROUNDS) -> Model:
+    """Baum-Welch over all training documents, from a mixture over all of them."""
+    training = coded.where("NOT held_out").select("symbols")
+    model = Model(*mixture_start(training, corpus, states), corpus)
     for _ in range(rounds):
         shared = coded.sparkSession.sparkContext.broadcast(model)
 
-        def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = shared.value
-            start, moves, emissions = np.zeros(states), np.zeros((states, states)), np.zeros((UNKNOWN + 1, states))
-            for batch in batches:
-                for k in range(0, batch.num_rows, 512):
-                    rows, size, first = segments([np.frombuffer(t, "<u2") for t in batch.column("symbols").slice(k, 512).to_pylist()])
-                    for a in range(0, len(rows), 1024):
-                        part = slice(a, a + 1024)
-                        s, m, e = own.counts(rows[part], size[part], first[part])
-                        start, moves, emissions = start + s, moves + m, emissions + e
-            used = np.flatnonzero(emissions.any(axis=1))
-            table = np.concatenate([emissions[used], start[None], moves])
-            key = np.concatenate([used, [-1], -2 - np.arange(states)])
-            yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(np.ascontiguousarray(table[:, j])) for j in range(states))], ["symbol", *columns])
-
-        sums = training.select("symbols").mapInArrow(expect, "symbol bigint, " + ", ".join(f"{c} double" for c in columns)).groupBy("symbol").agg(*[F.sum(c).alias(c) for c in columns])
-        start, moves, emissions = np.zeros(states), np.zeros((states, states)), np.zeros((UNKNOWN + 1, states))
-        for row in sums.collect():  # one row for each symbol of the model
-            values = np.array(row[1:])
-            if row.symbol >= 0:
-                emissions[row.symbol] = values
-            elif row.symbol == -1:
-                start = values
-            else:
-                moves[-2 - row.symbol] = values
-        model = Model(start, moves, emissions, corpus)
+        def expected(texts: list[np.ndarray], shared=shared) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            rows, size, first = segments(texts)
+            for a in range(0, len(rows), 1024):
+                part = slice(a, a + 1024)
+                yield shared.value.counts(rows[part], size[part], first[part])
+
+        model = Model(*summed(training, expected, states), corpus)
     return model
 
 
@@ -302,6 +318,7 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
     local, totals = vocabulary(cut)
     corpus = Corpus(totals)
     coded = symbols(cut, local, totals, corpus)
+    discarded(cut)  # the symbols are all that later rounds read
     model = docs.sparkSession.sparkContext.broadcast(learn(coded, corpus, states, rounds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
