@@ -59,3 +59,10 @@ def test_long_texts_of_a_container_are_built_once(spark):
     content = {r.path: bytes(r.content) for r in files.collect()}
     body = spark.sql(f"SELECT unhex({wire._record('01', wire.CLIENT_BODY, wire.CCS)}) AS x FROM VALUES (1L, 11L) AS t(p, host)").first()[0]
     assert bytes(body) in content["s.pcap"] and content["s.pcap"][24:32] == (800_000_000).to_bytes(4, "big") + bytes(4)
+
+
+def test_staged_tables_are_written_small(spark):
+    from postern.plans.workspace import staged
+
+    table = staged(spark, "small-test", "rows", lambda: spark.range(10))
+    assert table.count() == 10 and all(".zstd." in name for name in table.inputFiles())
