@@ -1,10 +1,14 @@
 """Steps whose cost must grow with the tables and spread over tasks."""
 
+import struct
 from datetime import date
 
+from pyspark.sql import functions as F
+
 from postern.operators import flows as FL
 from postern.operators import graph as G
 from postern.plans.workspace import Workspace
+from postern.sources import captures as C
 
 
 def optimized(df) -> str:
@@ -42,3 +46,31 @@ def test_depth_collapses_parallel_edges_after_the_join(spark, monkeypatch):
     got = {r["node_id"]: r["depth"] for r in G.graph_depth(nodes, edges).collect()}
     assert got == {"r": 0, "h": 1, "s": 2, "x": 3}
     assert all(plan.count("Aggregate [") == 1 for plan in steps[1:])
+
+
+def capture(bodies) -> bytes:
+    record = lambda body: struct.pack("<4I", 5, 6, len(body), len(body)) + body
+    return struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 262144, 1) + b"".join(map(record, bodies))
+
+
+def test_small_parts_do_not_multiply_a_container(spark):
+    data = capture([b"\0" * 100] * 400)
+    files = spark.createDataFrame([("c", data)], "capture_id string, content binary")
+    assert C.container_parts(files, 256).agg(F.sum(F.length("content"))).first()[0] <= len(data)
+    assert C.part_starts(C.container_parts(files, 256), 256).count() >= 181  # records of 116 bytes begin in every part
+
+
+def frame(payload: bytes) -> bytes:
+    ip = struct.pack(">BBHHHBBH4s4s", 0x45, 0, 40 + len(payload), 0, 0, 64, 6, 0, b"\x0a\0\0\1", b"\x0a\0\0\2")
+    return b"\0" * 12 + b"\x08\x00" + ip + struct.pack(">HHIIBBHHH", 1, 25, 7, 8, 0x50, 24, 9, 0, 0) + payload
+
+
+def test_runs_of_several_parts_give_the_same_packets(spark):
+    """Runs of two parts each: three of a plain file, two of one whose payloads look like headers, and a file cut short that is one run."""
+    fake = struct.pack("<4I", 1, 2, 20, 20) + b"x" * 20
+    whole = capture([frame(bytes([k % 251]) * (60_000 + k)) for k in range(230)])
+    files = spark.createDataFrame([("a", whole), ("b", capture([frame(fake * 1500)] * 230)), ("c", whole[: 6 << 20])], "capture_id string, content binary")
+    assert C.container_parts(files, 3 << 20).count() == 6
+    rows = lambda size: sorted(map(tuple, C.parse_packets(files, size).select("capture_id", "number", "ts", "problem", F.md5("payload")).collect()), key=str)
+    assert rows(3 << 20) == rows(1 << 28)
+    assert len(rows(3 << 20)) == 565
