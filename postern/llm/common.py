@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,9 @@ from pyspark.sql import functions as F
 from postern.session import shared_folder
 
 
+_MADE: ContextVar[list[tuple[str, str | None]] | None] = ContextVar("made", default=None)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -22,23 +27,63 @@ def new_folder(spark: SparkSession, name: str) -> str:
     folder = shared_folder(spark)
     if folder is None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return f"{folder}/llm/{name}-{uuid.uuid4().hex}"
+    path = f"{folder}/llm/{name}-{uuid.uuid4().hex}"
+    if _MADE.get() is not None:
+        _MADE.get().append((path, None))
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back, so that a lost executor costs no recomputation."""
     path = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with _shuffles_dropped(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries that end inside leave no shuffle files: their result is a table, nothing reads its shuffles again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def discarded(df: DataFrame) -> None:
     """Deletes an intermediate table that ``written`` made, once everything that reads it is written itself."""
     files = df.inputFiles()
     if files:
-        jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext
-        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+        _delete(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[list[tuple[str, str | None]]]:
+    """Folders (and their table names) made inside, in order; those still listed at the end are deleted.
+
+    For work that ends with a written result: what it went through is not read again.
+    """
+    made: list[tuple[str, str | None]] = []
+    before = _MADE.set(made)
+    try:
+        yield made
+    finally:
+        _MADE.reset(before)
+        for path, label in made:
+            if label:
+                spark.sql(f"DROP TABLE IF EXISTS {label}")
+            _delete(spark, path)
 
 
 def block_count(spark: SparkSession) -> int:
@@ -77,8 +122,11 @@ def binary_view(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
 def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
     """Written once, split by ``key``: later joins and cogroups on it move only their other side."""
     spark = df.sparkSession
-    label = f"llm_{name}_{uuid.uuid4().hex}"
-    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", new_folder(spark, name)).option("compression", "zstd").saveAsTable(label)
+    label, path = f"llm_{name}_{uuid.uuid4().hex}", new_folder(spark, name)
+    if _MADE.get() is not None:
+        _MADE.get()[-1] = (path, label)
+    with _shuffles_dropped(spark):
+        df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").saveAsTable(label)
     return spark.table(label)
 
 
