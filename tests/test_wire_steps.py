@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from postern.operators import flows as FL
-from postern.operators.folds import batch_of, column_values
+from postern.operators.folds import batch_of, column_values, equal_runs
 from postern.operators.reconstruct import Reconstruction
 from postern.sources import wire
 from tests.test_growth import optimized
@@ -36,6 +36,43 @@ def test_flows_and_their_orientation_come_from_one_pass(spark):
     assert {(x.capture_id, x.protocol) for x in r.roles.collect()} == {("c", "smtp"), ("d", None)}
 
 
+def test_only_the_tables_that_are_asked_for_are_made(spark):
+    made = []
+
+    def keep(name, build):
+        made.append(name)
+        return build()
+
+    r = Reconstruction(packets(spark), keep)
+    assert r.pieces.count() == 2 and made == ["pieces", "segments"]
+    assert r.roles.count() == 2 and sorted(made) == ["flows", "pieces", "roles", "segments"]
+    assert r.events.count() == 1 and "tls" not in made
+    assert r.tls.count() == 0 and r.sessions.count() == 2 and len(made) == len(set(made)) == 8
+
+
+def test_packets_with_their_flow_keep_it(spark):
+    p = packets(spark)
+    located = FL.with_flow(p)
+    assert FL.with_flow(located) is located
+    stored = spark.createDataFrame(located.collect(), located.schema)
+    key = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    for step in (FL.build_flows, FL.normalize_sequence, FL.oriented_flows, FL.flow_orientation):
+        assert key(step(stored)) == key(step(p)) and "split(" not in optimized(step(stored))
+
+
+def test_runs_of_equal_keys():
+    rows = [("a", 1, "x"), ("a", 1, "y"), ("a", None, "z"), (None, None, "u"), (None, None, "v"), ("b", 2, None), ("a", 1, "w")]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["k", "n", "t"])
+    for part in (batch, batch.slice(1, 4), batch.slice(2, 1)):
+        got = [(key, [r["t"] for r in members]) for key, members in equal_runs(part, ["k", "n"])]
+        want: list = []
+        for k, n, t in zip(*(c.to_pylist() for c in part.columns)):
+            if not want or want[-1][0] != (k, n):
+                want.append(((k, n), []))
+            want[-1][1].append(t)
+        assert got == want
+
+
 def test_columns_read_whole_equal_values_read_one_by_one():
     arrays = [
         pa.array(["a", None, "é"]), pa.array([b"", None, b"\x00\xff"]), pa.array([1, 2, 3], pa.int64()), pa.array([1, None, 3], pa.int32()), pa.array([0.5, None, -1.0]), pa.array([True, False, None]),
