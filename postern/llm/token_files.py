@@ -16,6 +16,7 @@ doc_ids are ordered by text; an empty table gives no files and no rows.
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,40 +28,103 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from postern.llm.bpe import encode_with
-from postern.llm.common import new_folder, text_slices, written
+from postern.llm.bpe import LETTER, _classes, encode_with
+from postern.llm.common import new_folder, ragged, text_slices, written
 
 LENGTH = 2048
 BATCH_SEQUENCES = 256
 END_ID = 0
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
+BATCH_WORDS = 4096
+RUN_WORDS = 64  # words that are encoded as one text
+
+
+def lettered(texts: list[str]) -> np.ndarray:
+    """Which texts are one space and letters, as the library's own expressions see them."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    starts = np.cumsum(sizes) - sizes
+    good = _classes()[points] == LETTER
+    good[starts[sizes > 0]] = points[starts[sizes > 0]] == 0x20
+    wrong = np.concatenate([[0], np.cumsum(~good)])
+    return (sizes > 1) & (wrong[starts + sizes] == wrong[starts])
 
 
 class LibraryEncoder:
-    """Words through the tokenizers library; a bounded memory of words seen by this worker."""
+    """Words through the tokenizers library; a bounded memory of words seen by this worker.
+
+    Words of one space and letters are handed over in runs: the library's own
+    pre-tokens part them again, and the ids of a run are told apart by the bytes they
+    stand for. All other words, and runs whose ids do not end where words do, go one by one.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks fill the cores; the library's threads would wait for one another
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.added = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.seen: dict[bytes, np.ndarray] = {}
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = tuple(t.encode() for t in added)
+        self.in_runs = not any(all(c == " " or c.isalpha() for c in t) for t in added)
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = np.zeros(max(vocabulary.values(), default=-1) + 1, np.int64)  # bytes of an id
+        for token, k in vocabulary.items():
+            self.width[k] = len(token)
+        self.forget()
+
+    def forget(self) -> None:
+        self.seen: dict[bytes, int] = {}
+        self.ids, self.begin, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode_types(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        raw, seen = data.tobytes(), self.seen
+        raw = data.tobytes()
         words = [raw[a : a + n] for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
-        new = [w for w in words if w not in seen]
-        if len(seen) + len(new) > CACHED_WORDS:
-            seen.clear()
+        new = [w for w in words if w not in self.seen]
+        if len(self.seen) + len(new) > CACHED_WORDS:
+            self.forget()
             new = words
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            seen.update(zip(part, (np.array(e.ids, dtype=np.uint32) for e in coded), strict=True))
-        found = [seen[w] for w in words]
-        return np.concatenate(found) if found else np.zeros(0, np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+        if new:
+            self._learn(new)
+        at = np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
+        counts = self.count[at]
+        return self.ids[ragged(self.begin[at], counts)], counts
+
+    def _learn(self, new: list[bytes]) -> None:
+        texts = [w.decode("utf-8", "replace") for w in new]
+        joined = lettered(texts) if self.in_runs else np.zeros(len(texts), bool)
+        run, single = np.flatnonzero(joined), np.flatnonzero(~joined)
+        ids, counts = [], np.zeros(len(new), np.int64)
+        order = []
+        for k in range(0, len(run), BATCH_WORDS):
+            part = run[k : k + BATCH_WORDS]
+            ends = np.cumsum([len(new[i]) for i in part.tolist()])
+            parts = [part[j : j + RUN_WORDS] for j in range(0, len(part), RUN_WORDS)]
+            flat = np.concatenate([np.array(e, np.uint32) for e in self._encoded(["".join([texts[i] for i in p.tolist()]) for p in parts])])
+            reached = np.cumsum(self.width[flat])
+            last = np.searchsorted(reached, ends)
+            if not len(flat) or reached[-1] != ends[-1] or (reached[last] != ends).any():
+                single = np.concatenate([single, part])
+                continue
+            counts[part] = np.diff(last, prepend=-1)
+            ids.append(flat)
+            order.append(part)
+        for k in range(0, len(single), BATCH_WORDS):
+            part = single[k : k + BATCH_WORDS]
+            each = self._encoded([texts[i] for i in part.tolist()])
+            counts[part] = list(map(len, each))
+            ids.append(np.array([i for e in each for i in e], np.uint32))
+            order.append(part)
+        order = np.concatenate(order)
+        self.seen.update(zip([new[i] for i in order.tolist()], range(len(self.seen), len(self.seen) + len(new))))
+        ends = len(self.ids) + np.cumsum(counts[order])
+        self.begin = np.concatenate([self.begin, ends - counts[order]])
+        self.count = np.concatenate([self.count, counts[order]])
+        self.ids = np.concatenate([self.ids, *ids])
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_batch(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return encode_with(self.encode_types, self.added, data, offsets)
