@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -86,6 +86,16 @@ def intermediates(spark: SparkSession) -> Iterator[list[tuple[str, str | None]]]
             _delete(spark, path)
 
 
+def kept(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The written result of ``build``; the tables it went through are deleted, its own is left to whoever called."""
+    with intermediates(spark) as made:
+        out = written(build(), name)
+        own = made.pop()
+    if _MADE.get() is not None:
+        _MADE.get().append(own)
+    return out
+
+
 def block_count(spark: SparkSession) -> int:
     """Blocks for a shuffle whose groups are handled whole: follows the session's shuffle partitions, which follow the data."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from postern.llm.common import bucketed, input_blocks, most_frequent, text_slices, written
+from postern.llm.common import bucketed, input_blocks, kept, most_frequent, text_slices, written
 from postern.llm.components import components
 from postern.llm.words import coded_words, mixed, split_words, word_hashes
 
@@ -338,5 +338,5 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4
 
 def one_of_each_group(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
     """The documents without those that are not the least of their group."""
-    gone = near_duplicates(docs, n, threshold).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = kept(docs.sparkSession, lambda: near_duplicates(docs, n, threshold).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
     return docs.join(gone, F.col("doc_id").cast("bigint") == F.col("gone_id"), "left_anti")

@@ -3,7 +3,8 @@
 import os
 
 import corpus_pipeline
-from postern.llm.common import bucketed, intermediates, new_folder, written
+from postern.llm import ngram_join
+from postern.llm.common import bucketed, intermediates, kept, new_folder, written
 
 
 def folders(spark) -> set[str]:
@@ -39,3 +40,22 @@ def test_written_tables_leave_no_setting(spark):
     before = spark.conf.get(key, None)
     written(spark.range(5).repartition(3), "rows")
     assert spark.conf.get(key, None) == before
+
+
+def test_stages_called_alone_leave_one_table(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen " * 3
+    docs = written(spark.createDataFrame([(k, text if k % 2 else f"{text} {k} {k} {k} {k}", k) for k in range(12)], "doc_id bigint, text string, n_chars bigint"), "documents")
+    before, tables = folders(spark), len(spark.catalog.listTables())
+    one = ngram_join.one_of_each_group(docs)
+    assert sorted(f.split("-")[0] for f in folders(spark) - before) == ["gone"] and one.count() < 12
+    cut = corpus_pipeline.cut_repeats(spark, docs, "")
+    assert sorted(f.split("-")[0] for f in folders(spark) - before) == ["gone", "without"]
+    assert cut.count() == 12 and len(spark.catalog.listTables()) == tables
+
+
+def test_a_kept_table_belongs_to_the_caller(spark):
+    before = folders(spark)
+    with intermediates(spark):
+        assert kept(spark, lambda: written(spark.range(3), "step"), "result").count() == 3
+        assert sorted(f.split("-")[0] for f in folders(spark) - before) == ["result"]
+    assert folders(spark) == before
