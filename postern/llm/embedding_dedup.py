@@ -7,6 +7,9 @@ threshold's angle. In a tile the int8 codes are multiplied (exact in float32);
 with the quantisation error of each vector the true cosine is bounded, and only
 pairs that may reach the threshold are recomputed in double precision. A tile
 gives link counts and the least node of each of its components, never its pairs.
+A tile reads its two blocks from the written blocks, so the bodies of blocks are
+never shuffled: what lies on disk grows with the vectors, only the arithmetic
+with their pairs.
 
 Defined cases: null, zero and non-finite vectors link with nothing and keep
 themselves, and so do rows with a null id; shorter vectors are filled up with
@@ -22,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from postern.llm.common import written
+from postern.llm.common import discarded, written
 from postern.llm.components import components
 from postern.llm.vectors import blob, blocks_of, dimension, finite, matrix, usable
 
@@ -72,89 +76,100 @@ def near_duplicates(vectors: DataFrame, threshold: float) -> DataFrame:
     """
     good = usable(vectors.where(takes_part()))
     dim = max(dimension(good), 1)
+    kind = "<f4" if vectors.schema["embedding"].dataType.elementType == FloatType() else "<f8"  # stored as given, computed in double precision
+    doubles = lambda stored: np.frombuffer(stored, dtype=kind).reshape(-1, dim).astype(np.float64)
 
     def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = matrix(batch.column("embedding"), dim) + 0.0  # one zero
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([blob(r, "<f8") for r in v], pa.binary())], ["vec_id", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([blob(r, kind) for r in v], pa.binary())], ["vec_id", "v"])
 
     members = written(good.mapInArrow(flatten, "vec_id bigint, v binary"), "vectors")
     classes = members.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    pivots = np.frombuffer(b"".join(bytes(r.v) for r in classes.orderBy(F.xxhash64("rep"), "rep").limit(PIVOTS).select("v").collect()), dtype="<f8").reshape(-1, dim)
-    pivots = unit_rows(pivots)
+    pivots = unit_rows(doubles(b"".join(bytes(r.v) for r in classes.orderBy(F.xxhash64("rep"), "rep").limit(PIVOTS).select("v").collect())))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            cosine = unit_rows(np.frombuffer(b"".join(batch.column("v").to_pylist()), dtype="<f8").reshape(-1, dim)) @ pivots.T
+            cosine = unit_rows(doubles(b"".join(batch.column("v").to_pylist()))) @ pivots.T
             node = np.arange(number, number + batch.num_rows)
             number += batch.num_rows
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node), pa.array(cosine.argmax(axis=1)), pa.array(-cosine.max(axis=1))], [*batch.schema.names, "node", "pivot", "distance"])
 
     # numbers follow the order of rows in a task; they hold once written
     placed = written(classes.mapInArrow(place, "v binary, rep bigint, copies bigint, node bigint, pivot bigint, distance double"), "classes")
-    partitions = max(1, placed.count() // (4 * BLOCK))
+    partitions = max(1, placed.count() // (2 * BLOCK))
+    numbered = written(members.join(placed.select("v", "node"), "v").select("vec_id", "node"), "nodes")
+    discarded(members)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
         for number, block in enumerate(blocks_of(batches, BLOCK)):
-            raw = np.frombuffer(b"".join(block.column("v").to_pylist()), dtype="<f8").reshape(-1, dim)
-            unit = unit_rows(raw)
-            code, scale, error = quantise(unit)
+            raw = b"".join(block.column("v").to_pylist())
+            unit = unit_rows(doubles(raw))
             centre = unit.sum(axis=0)
             centre = centre / max(np.sqrt(centre @ centre), 1e-300)
             radius = float(np.arccos(np.clip(unit @ centre, -1, 1)).max()) if centre @ centre > 0.5 else 4.0
             yield pa.RecordBatch.from_arrays(
-                [pa.array([(part << 32) + number]), pa.array([centre.tolist()]), pa.array([radius]), *(pa.array([x], pa.binary()) for x in (blob(raw, "<f8"), blob(code, "i1"), blob(scale, "<f8"), blob(error, "<f8"), blob(block.column("node").to_numpy(), "<i8"), blob(block.column("copies").to_numpy(), "<i8")))],
-                ["block", "centre", "radius", "raw", "code", "scale", "error", "node", "copies"],
+                [pa.array([(part << 32) + number]), pa.array([centre.tolist()]), pa.array([radius]), *(pa.array([x], pa.binary()) for x in (raw, blob(block.column("node").to_numpy(), "<i8"), blob(block.column("copies").to_numpy(), "<i8")))],
+                ["block", "centre", "radius", "raw", "node", "copies"],
             )
 
     laid = placed.repartitionByRange(partitions, "pivot", "distance", "rep").sortWithinPartitions("pivot", "distance", "rep")
-    blocks = written(laid.mapInArrow(pack, "block bigint, centre array<double>, radius double, raw binary, code binary, scale binary, error binary, node binary, copies binary"), "vector-blocks")
-    # which tiles can hold a link: centres and radii only, a few hundred bytes for each block of vectors
-    outline = blocks.select("block", "centre", "radius")
-    other = outline.select(*[F.col(c).alias(f"o_{c}") for c in outline.columns])
+    blocks = written(laid.mapInArrow(pack, "block bigint, centre array<double>, radius double, raw binary, node binary, copies binary"), "vector-blocks")
+    # which tiles can hold a link: centres and radii only
+    other = blocks.select(*[F.col(c).alias(f"o_{c}") for c in blocks.columns])
     cosine = F.aggregate(F.zip_with("centre", "o_centre", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     reach = F.acos(F.lit(threshold)) + F.col("radius") + F.col("o_radius") + 1e-6
-    tiles = outline.join(other, (F.col("block") <= F.col("o_block")) & (F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))) <= reach))
-    body = blocks.drop("centre", "radius")
-    pair = (
-        tiles.select("block", "o_block").join(body, "block")
-        .join(body.select(*[F.col(c).alias(f"o_{c}") for c in body.columns]), "o_block")
-    )
+    # of the two orders of a pair one is taken, by parity, so that the tasks (i, j) and (j, i) share its tiles
+    place_sum = sum((F.col(c) + F.shiftright(c, 32) for c in ("block", "o_block")), F.lit(0))
+    once = (F.col("block") == F.col("o_block")) | ((F.col("block") < F.col("o_block")) == (place_sum % 2 == 0)) & (F.col("block") != F.col("o_block"))
+    # each task reads one split of the blocks against another; without the hint a join on numbers would shuffle a block once a tile
+    pair = blocks.hint("shuffle_replicate_nl").join(other, once & (F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))) <= reach)).drop("centre", "o_centre", "radius", "o_radius")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready: dict[int, tuple] = {}  # the blocks of the last tiles: neighbouring tiles share one
+
+        def side(batch: pa.RecordBatch, r: int, p: str) -> tuple:
+            number = batch.column(p + "block")[r].as_py()
+            if number not in ready:
+                if len(ready) >= 8:
+                    del ready[next(iter(ready))]
+                raw = doubles(batch.column(p + "raw")[r].as_py())
+                ready[number] = (raw, *quantise(unit_rows(raw)))
+            return ready[number]
+
         for batch in batches:
             for r in range(batch.num_rows):
-                get = lambda name, kind: np.frombuffer(batch.column(name)[r].as_py(), dtype=kind)  # noqa: B023, E731
-                side = lambda p: (get(p + "raw", "<f8").reshape(-1, dim), get(p + "code", "i1").reshape(-1, dim), get(p + "scale", "<f8"), get(p + "error", "<f8"))  # noqa: B023, E731
+                get = lambda name: np.frombuffer(batch.column(name)[r].as_py(), dtype="<i8")  # noqa: B023, E731
                 same = batch.column("block")[r].as_py() == batch.column("o_block")[r].as_py()
-                node_a, node_b, copies_a, copies_b = get("node", "<i8"), get("o_node", "<i8"), get("copies", "<i8"), get("o_copies", "<i8")
+                node_a, node_b, copies_a, copies_b = get("node"), get("o_node"), get("copies"), get("o_copies")
                 ids = node_a if same else np.concatenate([node_a, node_b])
                 shift = 0 if same else len(node_a)
                 copies = copies_a if same else np.concatenate([copies_a, copies_b])
                 n_links = np.zeros(len(ids), np.int64)
                 label = ids.copy()
-                for row, column in tile_links(side(""), side("o_"), same, threshold):
+                for row, column in tile_links(side(batch, r, ""), side(batch, r, "o_"), same, threshold):
                     column = column + shift
                     n_links += np.bincount(row, copies[column], len(ids)).astype(np.int64) + np.bincount(column, copies[row], len(ids)).astype(np.int64)
                     label = joined(label, row, column)
                 linked = np.flatnonzero(n_links)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(n_links[linked]), pa.array(label[linked])], ["node", "n", "low"])
 
-    found = written(pair.repartition(max(partitions, vectors.sparkSession.sparkContext.defaultParallelism)).mapInArrow(multiply, "node bigint, n bigint, low bigint"), "tile-links")
+    found = written(pair.mapInArrow(multiply, "node bigint, n bigint, low bigint"), "tile-links")
+    discarded(blocks)
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     group = components(found.select(F.col("node").alias("a"), F.col("low").alias("b"))).withColumnRenamed("component_id", "root")
-    named = placed.select("v", "node", "rep", "copies").join(counts, "node", "left").join(group, "node", "left")
+    named = placed.select("node", "rep", "copies").join(counts, "node", "left").join(group, "node", "left")
     least = named.where("root IS NOT NULL").groupBy("root").agg(F.min("rep").alias("least"))
     classed = named.join(least, "root", "left").select(
-        "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least", "rep").alias("component_id")
+        "node", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least", "rep").alias("component_id")
     )
-    linked = members.join(classed, "v").select("vec_id", "n_links", "component_id")
+    linked = numbered.join(classed, "node").select("vec_id", "n_links", "component_id")
     alone = vectors.where(~takes_part()).select(F.col("vec_id").cast("bigint").alias("vec_id")).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
