@@ -62,3 +62,19 @@ def test_stored_segments_are_brought_together_again(spark):
     stored = Reconstruction(packets, lambda name, build: build().repartition(7) if name == "segments" else build())
     shown = lambda r: sorted(str(x) for x in r.pieces.select(*STREAM, "start", "stop", "offset", "duplicate", "retransmitted", "segments").collect())
     assert shown(stored) == shown(Reconstruction(packets)) and len(shown(stored)) == 60
+
+
+def test_heads_are_shuffled_once_for_the_roles(spark):
+    r = Reconstruction(spark.createDataFrame([packet(k, 1000 + 3 * k, b"220 x ESMTP\r\n", capture=f"c{k % 5}", forth=k % 2 == 0) for k in range(20)], PACKET))
+    r.__dict__["pieces"] = r.pieces.localCheckpoint()
+    r.__dict__["flows"] = r.flows.localCheckpoint()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = r.roles._jdf.queryExecution().executedPlan().toString()
+        rows = r.roles.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    with_heads = [line for line in plan.splitlines() if "Exchange" in line and "REPARTITION" in line]
+    assert len(with_heads) == 1 and plan.count("Exchange hashpartitioning") <= 3  # and the flows on both sides of their joins
+    assert len(rows) == 5 and {(x["protocol"], x["server_side"]) for x in rows} == {("smtp", "b")}
